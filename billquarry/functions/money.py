@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from billquarry import vocabulary as V
-from billquarry.functions.text import U
+from billquarry.functions.text import U, let
 
 AMOUNT = "decimal(20,6)"
 
@@ -17,22 +17,25 @@ def ocr_amount_or_null(c: Column) -> Column:
     With both separators the last one is decimal; several dots followed by groups
     of three keep the last as decimal (millimes); a lone comma is decimal.
     """
-    kept = F.regexp_replace(c, U + r"[^\d,.\-]", "")
-    dots = F.length(kept) - F.length(F.replace(kept, F.lit("."), F.lit("")))
-    text = (
-        F.when(
-            kept.contains(",") & kept.contains("."),
-            F.when(kept.rlike(r",[^.,]*$"), F.translate(kept, ",.", ".")).otherwise(F.translate(kept, ",", "")),
-        )
-        .when(
-            dots > 1,
-            F.when(kept.rlike(r"^[^.]*(?:\.[^.]{3})+$"), F.regexp_replace(kept, r"\.(?=.*\.)", "")).otherwise(
-                F.translate(kept, ".", "")
-            ),
+
+    def read(kept: Column) -> Column:
+        dots = F.length(kept) - F.length(F.replace(kept, F.lit("."), F.lit("")))
+        return (
+            F.when(
+                kept.contains(",") & kept.contains("."),
+                F.when(kept.rlike(r",[^.,]*$"), F.translate(kept, ",.", ".")).otherwise(F.translate(kept, ",", "")),
+            )
+            .when(
+                dots > 1,
+                F.when(kept.rlike(r"^[^.]*(?:\.[^.]{3})+$"), F.regexp_replace(kept, r"\.(?=.*\.)", "")).otherwise(
+                    F.translate(kept, ".", "")
+                ),
+            )
+            .otherwise(F.translate(kept, ",", "."))
+            .try_cast(AMOUNT)
         )
-        .otherwise(F.translate(kept, ",", "."))
-    )
-    return text.try_cast(AMOUNT)
+
+    return let(F.regexp_replace(c, U + r"[^\d,.\-]", ""), read)
 
 
 def ocr_amount(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -44,6 +45,15 @@ def _folding_tables() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(source), "".join(target), longer
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it several times inside one expression.
+
+    Inside higher-order functions Catalyst does not share repeated parts, so a
+    value used twice would be computed twice at every level of nesting.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Case-folded text without marks; Arabic alef forms unified, tatweel dropped."""
     source, target, longer = _folding_tables()
@@ -80,8 +90,10 @@ def plain_tokens(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines of a text; a final line break opens no further line."""
-    parts = F.split(c, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return let(
+        F.split(c, LINE_BREAK),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+    )
 
 
 def squeeze(c: Column) -> Column:
