@@ -67,7 +67,7 @@ def amounts_in(c: Column) -> Column:
 
 def scale_fixed(value: Column, reading: Column) -> Column:
     """Model amount corrected by the printed reading when off by thousands or far too small."""
-    ratio = value / reading
+    ratio = F.try_divide(value, reading)
     return (
         F.when((reading > 0) & (value > 0) & ratio.between(900, 1100), reading)
         .when((reading >= 10) & (value > 0) & (value < reading * F.lit("0.1").cast("decimal(3,1)")), reading)
