@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from billquarry.operators.matching import LARGE_GROUP, previous_in_group
 
+# fields of a correction that hold amounts (fixed values)
+NUMERIC_FIELDS = ["subtotal", "tax_amount", "discount", "stamp_duty", "additional_tax_total", "total_amount", "net_payable"]
+
 
 def neighbours(events: DataFrame, large: int = LARGE_GROUP) -> DataFrame:
     """Previous and next action of every event in its invoice, and seconds since the previous one.
@@ -36,8 +39,37 @@ def merged(before: Column, patch: Column) -> Column:
 
 def changed_fields(before: Column, after: Column) -> Column:
     """Entries of the new record that differ from the old one; absent and NULL are the same."""
-    changed = F.map_filter(after, lambda k, v: ~F.coalesce(v, F.lit("")).eqNullSafe(F.coalesce(F.try_element_at(before, k), F.lit(""))))
-    return changed
+    return F.map_filter(after, lambda k, v: F.coalesce(v, F.lit("")) != F.coalesce(F.try_element_at(before, k), F.lit("")))
+
+
+def correction(before: Column, after: Column) -> Column:
+    """Changed fields only: amounts as plain decimals, the vendor's identifier mirrored to ``tax_id``."""
+    parsed = F.transform_values(
+        changed_fields(before, after),
+        lambda k, v: F.when(k.isin(*NUMERIC_FIELDS), F.translate(F.regexp_replace(v, r"\s", ""), ",", ".").try_cast("decimal(20,3)").cast("string")).otherwise(F.trim(v)),
+    )
+    mirrored = F.map_from_arrays(F.array(F.lit("tax_id")), F.array(F.try_element_at(parsed, F.lit("vendor_tax_id"))))
+    return F.when(F.map_contains_key(parsed, "vendor_tax_id"), merged(parsed, mirrored)).otherwise(parsed)
+
+
+def with_before(events: DataFrame, payload: str, large: int = LARGE_GROUP) -> DataFrame:
+    """Events with the payload of the event before them in the same invoice."""
+    looked = previous_in_group(events, "invoice_id", "at", "id", [payload], 1, large)
+    return looked.withColumn("before", F.get("previous", F.lit(0))[payload]).drop("previous")
+
+
+def latest_version(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """Rows of the newest version per key: the newest version is a small aggregate joined back."""
+    newest = rows.groupBy(F.col(key).alias("_k")).agg(F.max(version).alias("_v"))
+    return rows.join(newest, (F.col(key) == F.col("_k")) & (F.col(version) == F.col("_v")), "left_semi")
+
+
+def drafts(invoices: DataFrame, candidates: DataFrame) -> DataFrame:
+    """New draft records with their duplicate flag, candidates (five at most) and creation event."""
+    found = candidates.groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "candidate_id"))), lambda c: c["candidate_id"]).alias("duplicates")
+    )
+    return invoices.join(found, "id", "left").withColumn("is_duplicate", F.col("duplicates").isNotNull()).withColumn("action", F.lit("created_draft"))
 
 
 def current_state(events: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:

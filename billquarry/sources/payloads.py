@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from billquarry import vocabulary as V
+from billquarry.functions.money import optional_number
 from billquarry.functions.text import first_non_empty, non_empty
 
 
@@ -56,3 +57,12 @@ def structured_fields(payload: Column) -> list[Column]:
         F.coalesce(value("currency"), F.lit("TND")).alias("currency"),
         F.get_json_object(payload, "$.total_amount").alias("total_text"),
     ]
+
+
+def backfill(rows: DataFrame, payload: str = "payload", number: str = "number", total: str = "total") -> DataFrame:
+    """Rows that lack a number or a total, with both recomputed from the stored record."""
+    lacking = rows.filter(F.col(number).isNull() | (F.trim(number) == "") | F.col(total).isNull())
+    fields = F.from_json(payload, "invoice_number STRING, total_amount STRING")
+    return lacking.withColumn(number, F.coalesce(non_empty(fields["invoice_number"]), F.lit(""))).withColumn(
+        total, optional_number(fields["total_amount"])
+    )
