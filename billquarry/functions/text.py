@@ -136,10 +136,11 @@ def count_contained(c: Column, words: list[str]) -> Column:
     return total
 
 
-def count_matched(c: Column, patterns: list[str]) -> Column:
+def count_matched(lowered: Column, patterns: list[str]) -> Column:
+    """How many of the lower-case patterns occur in lower-cased text."""
     total = F.lit(0)
     for pattern in patterns:
-        total = total + match(c, pattern).cast("int")
+        total = total + lowered.rlike(U + pattern).cast("int")
     return total
 
 

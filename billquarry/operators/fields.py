@@ -108,16 +108,15 @@ def tax_ids_by_party(text: Column) -> Column:
             after = F.lower(F.left(F.array_join(F.slice(parts, i + 2, F.lit(60)), ""), F.lit(120)))
 
             def scored(s: Column) -> Column:
-                around = F.concat(s["before"], F.lower(part), s["after"])
-                close = F.right(s["before"], F.lit(120))
-                usable = s["value"].isNotNull() & ((X.count_contained(around, V.TAX_ID_LABELS) > 0) | s["value"].contains("/"))
-                return F.when(
-                    usable,
-                    F.struct(s["value"].alias("value"), (score(around, close, V.VENDOR_LABELS) - score(around, close, V.CUSTOMER_LABELS)).alias("lead"), i.alias("at")),
-                )
+                lead = score(s["around"], s["close"], V.VENDOR_LABELS) - score(s["around"], s["close"], V.CUSTOMER_LABELS)
+                usable = s["value"].contains("/") | (X.count_contained(s["around"], V.TAX_ID_LABELS) > 0)
+                return F.when(s["value"].isNotNull() & usable, F.struct(s["value"].alias("value"), lead.alias("lead"), i.alias("at")))
+
+            def contexts(s: Column) -> Column:
+                return F.struct(s["value"].alias("value"), F.concat(s["before"], F.lower(part), s["after"]).alias("around"), F.right(s["before"], F.lit(120)).alias("close"))
 
             bundle = F.struct(parties.clean_tax_id(part).alias("value"), before.alias("before"), after.alias("after"))
-            return F.when(i % 2 == 1, X.let(bundle, scored))
+            return F.when(i % 2 == 1, X.let(X.let(bundle, contexts), scored))
 
         return F.array_compact(F.transform(parts, candidate))
 
@@ -152,18 +151,28 @@ def amount_in_words(text: Column) -> Column:
         lines = F.slice(F.filter(F.transform(X.split_lines(rest), lambda s: F.btrim(X.squeeze(s), F.lit(" :-;\t"))), lambda s: s != ""), 1, 3)
         return F.regexp_replace(F.array_join(lines, " "), X.IU + WORDS_STOP + ".*$", "")
 
-    def phrase(candidate: Column) -> Column:
+    def judged(candidate: Column) -> Column:
+        """The phrase of a candidate, and whether it names a currency without a readable phrase."""
         found = F.btrim(X.squeeze(X.grab(candidate, WORDS_AMOUNT)), F.lit(" .:-;"))
-        return F.when(F.length(found) >= 8, found)
+        return X.let(
+            found,
+            lambda f: F.struct(
+                F.when(F.length(f) >= 8, f).alias("phrase"),
+                (F.coalesce(F.length(f) < 8, F.lit(True)) & candidate.rlike(X.IU + r"\b(?:Dinar|Millime)s?\b")).alias("broken"),
+            ),
+        )
 
     direct = F.filter(X.grab_all(text, WORDS_DIRECT), lambda s: ~s.rlike(X.IU + r"\b(?:montant|total|cachet|signature)\b"))
-    broken = F.lit(False)
-    values = []
-    for lead in WORDS_LEAD:
-        candidate = labelled(lead)
-        values.append(phrase(candidate))
-        broken = broken | (phrase(candidate).isNull() & candidate.rlike(X.IU + r"\b(?:Dinar|Millime)s?\b"))
-    return F.substring(F.coalesce(*values, F.when(~broken, X.squeeze(F.get(direct, F.lit(0))))), 1, 240)
+    tried = F.array(*[X.let(labelled(lead), judged) for lead in WORDS_LEAD])
+    chosen = X.let(
+        tried,
+        lambda j: F.coalesce(
+            *[F.get(j, F.lit(n))["phrase"] for n in range(len(WORDS_LEAD))],
+            F.when(~F.exists(j, lambda x: x["broken"]), X.squeeze(F.get(direct, F.lit(0)))),
+        ),
+    )
+    # without any currency word there is nothing to find
+    return F.when(X.match(text, "dinar"), F.substring(chosen, 1, 240))
 
 
 def currency(text: Column) -> Column:

@@ -157,14 +157,18 @@ def discounts(text: Column) -> Column:
         rows = F.transform(lines, lambda line, i: F.struct(line.alias("line"), (i + 1).alias("line_id"), cells(line).alias("cells")))
         return F.aggregate(rows, start, step, lambda acc: acc["found"])
 
-    return X.let(X.split_lines(text), walk)
+    # a text without a discount word has none
+    return F.when(X.match(text, "remise|discount|rabais"), X.let(X.split_lines(text), walk)).otherwise(F.array().cast(_DISCOUNT_TYPE))
 
 
 def invoice_discount(entries: Column) -> Column:
     """The invoice's own discount when it is the only one, else a lone item discount."""
-    own = F.filter(entries, lambda e: e["scope"] == "invoice")
-    chosen = F.when(F.size(own) > 0, own).otherwise(entries)
-    return F.when(F.size(chosen) == 1, F.get(chosen, F.lit(0)))
+
+    def choose(all_entries: Column) -> Column:
+        own = F.filter(all_entries, lambda e: e["scope"] == "invoice")
+        return X.let(F.when(F.size(own) > 0, own).otherwise(all_entries), lambda kept: F.when(F.size(kept) == 1, F.get(kept, F.lit(0))))
+
+    return X.let(entries, choose)
 
 
 def stamp_pairs(text: Column) -> Column:

@@ -47,19 +47,27 @@ def q_classify_layout(spark, d):
     return out.select("doc_id", F.col("layout_invoice").alias("is_invoice"), F.col("layout_score").alias("score_pct"))
 
 
-def proposals(spark, d):
-    """Model output per invoice and field: right, raised by one, or missing, by order number."""
+def proposals(spark, d, fallbacks=()):
+    """Model output per invoice and field: right, raised by one, or missing, by order number.
+
+    Fallback amounts are read by the rules in the document's own row, before its
+    proposals become rows, so texts are never shuffled.
+    """
     case = F.col("order_id") % 5
     shift = F.when(case == 0, 1000).otherwise(0)
 
     def row(name, value):
-        return F.struct(F.lit(name).alias("field"), F.when(case != 2, value).alias("value"), value.alias("truth"))
+        read = F.translate(F.col("read_" + name).cast("decimal(18,3)").cast("string"), ".", ",") if name in fallbacks else F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("field"), F.when(case != 2, value).alias("value"), read.alias("fallback"))
 
     def money(c):
         return R.milli_text(c + shift)
 
-    return R.texts(spark, d).select(
-        "doc_id", "order_id", "text",
+    docs = R.texts(spark, d).withColumn("lines", totals.tidy_lines(F.col("text"))).withColumn("seen", X.canonical(F.col("text")))
+    for name in fallbacks:
+        docs = docs.withColumn("read_" + name, totals.labelled_money(F.col("lines"), name))
+    return docs.select(
+        "doc_id", "order_id", "text", "seen",
         F.inline(F.array(
             row("subtotal", money(F.col("ht"))), row("tax_amount", money(F.col("tva"))), row("stamp_duty", money(F.col("stamp"))), row("total_amount", money(F.col("ttc"))),
             row("date", F.col("day")), row("vendor_name", F.col("vendor")), row("customer_tax_id", F.col("customer_tax")),
@@ -76,7 +84,7 @@ OK = """CASE WHEN order_id % 5 = 2 THEN false WHEN field = 'currency' THEN false
 @query("q_value_supported", R.sheets_sql(f"SELECT doc_id, field, {OK} AS supported FROM sheets, {FIELDS}"))
 def q_value_supported(spark, d):
     rows = proposals(spark, d)
-    return rows.select("doc_id", "field", G.value_supported(F.col("field"), F.col("value"), F.col("text")).alias("supported"))
+    return rows.select("doc_id", "field", G.value_supported(F.col("field"), F.col("value"), F.col("text"), F.col("seen")).alias("supported"))
 
 
 @query("q_money_in_source", R.sheets_sql("""SELECT doc_id, field, order_id % 5 NOT IN (0, 2) AND NOT (field = 'tax_amount' AND order_id % 4 = 3) AS supported
@@ -115,10 +123,7 @@ def q_identifier_whole(spark, d):
     FROM (SELECT doc_id, order_id, field, CASE WHEN order_id % 5 IN (0, 2) AND field IN ('subtotal', 'total_amount') THEN true ELSE {OK} END AS supported FROM sheets, {FIELDS})"""))
 def q_evidence_guard(spark, d):
     """Refused totals are replaced by the amounts the rules read, when those are supported."""
-    docs = R.texts(spark, d).withColumn("lines", totals.tidy_lines(F.col("text")))
-    read = docs.select("doc_id", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("field"), F.translate(totals.labelled_money(F.col("lines"), n).cast("decimal(18,3)").cast("string"), ".", ",").alias("fallback")) for n in ("subtotal", "total_amount")])))
-    rows = proposals(spark, d).join(read, ["doc_id", "field"], "left")
+    rows = proposals(spark, d, fallbacks=["subtotal", "total_amount"])
     return G.guarded(rows).select("doc_id", "field", "supported", "source")
 
 

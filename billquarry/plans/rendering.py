@@ -58,10 +58,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SHEETS = f"""priced AS (
-  SELECT *, (total_cents * (100 - discount_pct) + 5) // 10 AS milli FROM (
-    SELECT i.*, CASE WHEN n > 64 THEN (part_id * 31 + source_id * 17 + line * 7 + total_cents) % ((n + 63) // 64) ELSE 0 END AS part
-    FROM (SELECT items.*, count(*) OVER (PARTITION BY invoice_id) AS n FROM items) i)),
+SHEETS = f"""priced AS (SELECT *, (total_cents * (100 - discount_pct) + 5) // 10 AS milli FROM parts),
  lines AS (SELECT *, (2 * milli + quantity) // (2 * quantity) AS unit_milli, invoice_id || '/' || part AS doc_id FROM priced),
  sums AS (SELECT doc_id, invoice_id, CAST(sum(milli) AS BIGINT) AS ht, CAST(sum(unit_milli * quantity) AS BIGINT) AS qu, count(*) AS n FROM lines GROUP BY doc_id, invoice_id),
  sheets AS (
@@ -75,7 +72,7 @@ SHEETS = f"""priced AS (
 
 
 def sheets_sql(body: str, *more: str) -> str:
-    return B.with_ctes(B.INVOICES, B.ITEMS, SHEETS, *more, body=body)
+    return B.with_ctes(B.INVOICES, B.ITEMS, B.PARTS, SHEETS, *more, body=body)
 
 
 def unit_rows() -> Column:

@@ -223,9 +223,7 @@ def snk_document_record(spark, d):
     B.with_ctes(
         B.INVOICES,
         B.ITEMS,
-        """sized AS (SELECT items.*, count(*) OVER (PARTITION BY invoice_id) AS n FROM items)""",
-        """parts AS (SELECT *, CASE WHEN n > 64 THEN
-             (part_id * 31 + source_id * 17 + line * 7 + total_cents) % ((n + 63) // 64) ELSE 0 END AS part FROM sized)""",
+        B.PARTS,
         body="""SELECT id, coalesce(part, 0) AS part, 'facture_' || invoice_number || '.json' AS file_name,
                   count(invoice_id) AS lines, coalesce(sum(quantity), 0)::BIGINT AS quantity,
                   coalesce(sum(total_cents), 0)::BIGINT AS total_cents

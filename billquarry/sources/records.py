@@ -50,7 +50,9 @@ def export_parts(invoices: DataFrame, lines: DataFrame) -> DataFrame:
 def part_of_lines(lines: DataFrame, key: str) -> DataFrame:
     """Adds ``part``: 0 for keys of ordinary size, spread by row content for large keys.
 
-    Only keys above the limit enter the join, so its small side shrinks with the limit.
+    Identical rows of a large key are counted before they are shuffled and dealt
+    out in runs of the limit, so that copies do not end in one part either. When
+    no key is large the second branch is empty and adaptive execution drops it.
     """
     large = (
         lines.groupBy(key)
@@ -58,9 +60,12 @@ def part_of_lines(lines: DataFrame, key: str) -> DataFrame:
         .filter(F.col("_n") > LINES_PER_PART)
         .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / LINES_PER_PART).alias("_parts"))
     )
-    salt = F.col("part_id") * 31 + F.col("source_id") * 17 + F.col("line") * 7 + F.col("total_cents")
-    return (
-        lines.join(large, F.col(key) == F.col("_key"), "left")
-        .withColumn("part", F.coalesce(F.pmod(salt, F.col("_parts")), F.lit(0)).cast("long"))
-        .drop("_key", "_parts")
-    )
+    ordinary = lines.join(large, F.col(key) == F.col("_key"), "left_anti").withColumn("part", F.lit(0).cast("long"))
+    counted = lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    last_run = F.floor((F.col("_copies") - 1) / LINES_PER_PART)
+    runs = counted.join(large, F.col(key) == F.col("_key")).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last_run)))
+    content = F.concat_ws("|", "part_id", "source_id", "line", "total_cents", "_run")
+    spread = runs.withColumn("part", F.conv(F.substring(F.md5(content), 1, 8), 16, 10).cast("long") % F.col("_parts"))
+    in_run = F.least(F.lit(LINES_PER_PART), F.col("_copies") - F.col("_run") * LINES_PER_PART).cast("int")
+    dealt = spread.withColumn("_i", F.explode(F.sequence(F.lit(1), in_run))).select(*lines.columns, "part")
+    return ordinary.unionByName(dealt)
