@@ -60,7 +60,8 @@ def fold(c: Column) -> Column:
     folded = F.translate(F.lower(c), source, target)
     for char, replacement in [p for p in longer if p[0] in "ßŉǰĳǆǉǌǳﬁﬂ"]:
         folded = F.replace(folded, F.lit(char), F.lit(replacement))
-    return F.regexp_replace(folded, "[\\p{M}ـ]", "")
+    # plain ASCII needs no table
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(folded, "[\\p{M}ـ]", "")).otherwise(F.lower(c))
 
 
 def canonical(c: Column) -> Column:
@@ -149,25 +150,29 @@ def safe_filename(c: Column) -> Column:
 
 
 def answer_language(question: Column) -> Column:
-    folded = fold(question)
-    return (
-        F.when(folded.rlike(U + r"(?:en|in)\s+(?:arabe|arabic)\b|بالعربية|بالعربي"), "ar")
+    return let(
+        fold(question),
+        lambda folded: F.when(folded.rlike(U + r"(?:en|in)\s+(?:arabe|arabic)\b|بالعربية|بالعربي"), "ar")
         .when(folded.rlike(U + r"(?:en|in)\s+(?:francais|french)\b|بالفرنسية|بالفرنسي"), "fr")
         .when(folded.rlike("[ء-ي]"), "ar")
-        .otherwise("fr")
+        .otherwise("fr"),
     )
 
 
 def expand_question(question: Column) -> Column:
     """The question followed by the synonyms of every concept it mentions."""
-    folded = fold(question)
-    return F.concat_ws(" ", question, *[F.when(folded.rlike(U + p), F.lit(terms)) for p, terms in V.CONCEPTS])
+    return let(
+        fold(question),
+        lambda folded: F.concat_ws(" ", question, *[F.when(folded.rlike(U + p), F.lit(terms)) for p, terms in V.CONCEPTS]),
+    )
 
 
 def section_hint(line: Column) -> Column:
     """Section a line announces, by ordered rules; NULL when it announces none."""
-    value = fold(line)
+    return let(fold(line), _section)
+
 
+def _section(value: Column) -> Column:
     def has(pattern: str) -> Column:
         return value.rlike(U + pattern)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billquarry import vocabulary as V
 from billquarry.functions import text as X
-from billquarry.operators.lines import PAGE_MARKER, closes_table, opens_table
+from billquarry.operators.lines import PAGE_MARKER, table_border
 
 _STRIP = X.U + r"^\s+|\s+$"
 
@@ -79,7 +79,7 @@ def line_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_
         X.split_lines(F.col(text)),
         lambda s, i: F.struct(
             s.alias("raw"), strip(s).alias("text"), (i + 1).alias("gl"),
-            F.regexp_extract(s, X.IU + PAGE_MARKER, 1).try_cast("int").alias("marker"), opens_table(s).alias("opens"), closes_table(s).alias("closes"),
+            F.regexp_extract(s, X.IU + PAGE_MARKER, 1).try_cast("int").alias("marker"), table_border(s).alias("border"),
         ),
     )
     none = F.array().cast(f"array<{_LINE}>")
@@ -91,7 +91,7 @@ def line_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_
         return F.when(F.size(pending) > 0, F.concat(acc["done"], F.array(F.struct(acc["page"].alias("page"), pending.alias("lines"))))).otherwise(acc["done"])
 
     def step(acc: Column, x: Column) -> Column:
-        tab = F.when(x["opens"], True).when(x["closes"], False).otherwise(acc["tab"])
+        tab = F.coalesce(x["border"], acc["tab"])
         pending = acc["pending"]
         line = F.struct((acc["local"] + 1).alias("local"), x["gl"].alias("gl"), x["text"].alias("text"), tab.alias("tab"))
         used = F.aggregate(pending, F.lit(0), lambda a, p: a + F.length(p["text"]) + 1)

@@ -247,10 +247,13 @@ ANSWER_WORDS = {
 
 def asked_amount(question: Column) -> Column:
     """The one amount a question names; NULL when it names none, several, a rate or a difference."""
-    folded = X.fold(question)
-    named = F.array_compact(F.array(*[F.when(folded.rlike(X.U + p), F.lit(n)) for n, p in ANSWER_WORDS.items()]))
-    excluded = folded.rlike("taux|pourcentage|نسبة|%|difference|فرق|somme|مجموع")
-    return F.when(~excluded & (F.size(named) == 1), F.get(named, F.lit(0)))
+
+    def decide(folded: Column) -> Column:
+        named = F.array_compact(F.array(*[F.when(folded.rlike(X.U + p), F.lit(n)) for n, p in ANSWER_WORDS.items()]))
+        excluded = folded.rlike("taux|pourcentage|نسبة|%|difference|فرق|somme|مجموع")
+        return X.let(named, lambda n: F.when(~excluded & (F.size(n) == 1), F.get(n, F.lit(0))))
+
+    return X.let(X.fold(question), decide)
 
 
 def labelled_answer(asked: Column, text: Column) -> Column:

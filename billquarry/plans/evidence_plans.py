@@ -206,7 +206,8 @@ def q_visual_grounding(spark, d):
 
 
 LINE_REASONS = """SELECT doc_id, pos, CASE (part_id + pos) % 9 WHEN 0 THEN 'description_missing' WHEN 1 THEN 'ocr_table_artifact' WHEN 2 THEN 'table_header' WHEN 3 THEN 'metadata_or_address'
-   WHEN 4 THEN 'not_proven_inside_article_table' WHEN 5 THEN 'missing_line_amount' WHEN 6 THEN 'negative_line_amount' WHEN 7 THEN 'line_math_mismatch' END AS reason FROM numbered"""
+   WHEN 4 THEN 'not_proven_inside_article_table' WHEN 5 THEN 'missing_line_amount' WHEN 6 THEN 'negative_line_amount' WHEN 7 THEN 'line_math_mismatch'
+   ELSE CASE WHEN row_number() OVER (PARTITION BY doc_id, (part_id + pos) % 9, description, milli, quantity, unit_milli ORDER BY pos) > 1 THEN 'duplicate_ocr_line' END END AS reason FROM numbered"""
 
 
 def altered_items():

@@ -61,9 +61,10 @@ def part_of_lines(lines: DataFrame, key: str) -> DataFrame:
         .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / LINES_PER_PART).alias("_parts"))
     )
     ordinary = lines.join(large, F.col(key) == F.col("_key"), "left_anti").withColumn("part", F.lit(0).cast("long"))
-    counted = lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    crowded = lines.join(large, F.col(key) == F.col("_key")).drop("_key")
+    counted = crowded.groupBy(*lines.columns, "_parts").agg(F.count(F.lit(1)).alias("_copies"))
     last_run = F.floor((F.col("_copies") - 1) / LINES_PER_PART)
-    runs = counted.join(large, F.col(key) == F.col("_key")).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last_run)))
+    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last_run)))
     content = F.concat_ws("|", "part_id", "source_id", "line", "total_cents", "_run")
     spread = runs.withColumn("part", F.conv(F.substring(F.md5(content), 1, 8), 16, 10).cast("long") % F.col("_parts"))
     in_run = F.least(F.lit(LINES_PER_PART), F.col("_copies") - F.col("_run") * LINES_PER_PART).cast("int")
