@@ -16,6 +16,7 @@ U = "(?U)"
 IU = "(?iU)"
 
 LINE_BREAK = "\r\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+RARE_BREAK = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 
 @lru_cache(maxsize=1)
@@ -91,10 +92,19 @@ def plain_tokens(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines of a text; a final line break opens no further line."""
-    return let(
-        F.split(c, LINE_BREAK),
-        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
-    )
+    # most texts break lines with a plain line feed, which splits without a pattern
+    parts = F.when(c.rlike(RARE_BREAK), F.split(c, LINE_BREAK)).otherwise(F.split(c, "\n"))
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+
+
+def tail(c: Column, n: int) -> Column:
+    """Last n characters."""
+    return F.substring(c, -n, n)
+
+
+def western_digits(c: Column) -> Column:
+    """Arabic digits and separators as Western ones; texts without any are left alone."""
+    return F.when(c.rlike("[٠-٩۰-۹٫٬٪]"), F.translate(c, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬٪", "01234567890123456789. %")).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:

@@ -104,7 +104,7 @@ def tax_ids_by_party(text: Column) -> Column:
     def read(parts: Column) -> Column:
         def candidate(part: Column, i: Column) -> Column:
             # identifiers are at least five characters, so 100 pieces hold more than 260 characters
-            before = F.lower(F.right(F.array_join(F.slice(parts, F.greatest(i - 99, F.lit(1)), F.least(i, F.lit(100))), ""), F.lit(260)))
+            before = F.lower(X.tail(F.array_join(F.slice(parts, F.greatest(i - 99, F.lit(1)), F.least(i, F.lit(100))), ""), 260))
             after = F.lower(F.left(F.array_join(F.slice(parts, i + 2, F.lit(60)), ""), F.lit(120)))
 
             def scored(s: Column) -> Column:
@@ -113,7 +113,7 @@ def tax_ids_by_party(text: Column) -> Column:
                 return F.when(s["value"].isNotNull() & usable, F.struct(s["value"].alias("value"), lead.alias("lead"), i.alias("at")))
 
             def contexts(s: Column) -> Column:
-                return F.struct(s["value"].alias("value"), F.concat(s["before"], F.lower(part), s["after"]).alias("around"), F.right(s["before"], F.lit(120)).alias("close"))
+                return F.struct(s["value"].alias("value"), F.concat(s["before"], F.lower(part), s["after"]).alias("around"), X.tail(s["before"], 120).alias("close"))
 
             bundle = F.struct(parties.clean_tax_id(part).alias("value"), before.alias("before"), after.alias("after"))
             return F.when(i % 2 == 1, X.let(X.let(bundle, contexts), scored))
@@ -140,7 +140,7 @@ def tax_ids_by_party(text: Column) -> Column:
 def cash_payment(text: Column) -> Column:
     """First explicit cash wording, unless negated just before it."""
     prefix = F.regexp_extract(text, "(?siU)^(.*?)" + CASH, 1)
-    return F.when(~F.right(prefix, F.lit(30)).rlike(X.IU + r"(?:non|pas(?:\s+encore)?)\s*$"), X.grab(text, CASH, 0))
+    return F.when(~X.tail(prefix, 30).rlike(X.IU + r"(?:non|pas(?:\s+encore)?)\s*$"), X.grab(text, CASH, 0))
 
 
 def amount_in_words(text: Column) -> Column:

@@ -267,7 +267,7 @@ def labelled_answer(asked: Column, text: Column) -> Column:
 
 def numbers_of(text: Column) -> Column:
     """Distinct numbers of a text, citation marks removed, digits and separators unified."""
-    western = F.translate(F.regexp_replace(text, r"\[\d+\]", ""), "٠١٢٣٤٥٦٧٨٩٫٬", "0123456789. ")
+    western = X.western_digits(F.regexp_replace(text, r"\[\d+\]", ""))
     found = F.regexp_extract_all(western, F.lit("\\d+(?:[  ]\\d{3})*(?:[.,]\\d+)?"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda n: F.translate(n, ",  ", ".")))
 

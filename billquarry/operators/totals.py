@@ -190,7 +190,7 @@ def stamp_pairs(text: Column) -> Column:
 
 def source_amounts(text: Column, field: str) -> Column:
     """Amounts printed right after the field's own label; rates are skipped."""
-    western = F.translate(text, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬٪", "01234567890123456789. %")
+    western = X.western_digits(text)
     pattern = (
         SOURCE_LABELS[field] + r"(?:[\s|]*\(?\d{1,2}(?:[.,]\d+)?\s*%\)?)*[\s:|=]*(?:TND|USD|EUR|\$|€)?\s*(" + V.STRICT_NUMBER + r")(?![\d.,]|\s*%)"
     )
