@@ -79,8 +79,3 @@ def scale_fixed(value: Column, reading: Column) -> Column:
 def french_format(value: Column) -> Column:
     """Three decimals, comma, narrow no-break space between thousands."""
     return F.translate(F.format_number(value, 3), ",.", "\u202f,")
-
-
-def cents_average(total_cents: Column, n: Column) -> Column:
-    """Average with four decimals by integer arithmetic, so engines cannot differ by rounding."""
-    return F.floor((total_cents * 200 + n) / (n * 2)).cast("double") / 10000

@@ -143,10 +143,6 @@ def fused(bm25_scores: DataFrame, semantic: DataFrame, passage_keys: list[str],
     return ranked.withColumn("score", score)
 
 
-def field_queries(queries: dict[str, str] = V.FIELD_QUERIES) -> list[tuple[str, str]]:
-    return list(queries.items())
-
-
 def field_bm25(passages: DataFrame, queries: dict[str, str] = V.FIELD_QUERIES, doc: str = "doc_id", k: int = 3) -> DataFrame:
     """Top passages of every document for the fixed field queries."""
     spark = passages.sparkSession

@@ -30,7 +30,6 @@ def titled(spark, d):
     return R.texts(spark, d, title=title)
 
 
-# rendered words: weak keywords total, prix?, tva, ht, ttc, tax? ; see the counts in the check below
 @query("q_classify_text", R.sheets_sql("""SELECT doc_id, order_id % 4 = 0 AS is_invoice,
     CASE order_id % 4 WHEN 0 THEN 97 ELSE 68 END AS score_pct, order_id % 4 IN (1, 2) AS other_title FROM sheets"""))
 def q_classify_text(spark, d):

@@ -196,9 +196,6 @@ def txt_fields_targeted(spark, d):
     return both.select("doc_id", "invoice_number", "date", *[milli(F.col(a).cast("decimal(20,6)")).alias(a) for a in ("subtotal", "total_amount")])
 
 
-ROLE_LINES = """'Fournisseur : A | Client : B'"""
-
-
 @query("win_role_lookback", R.sheets_sql("""SELECT doc_id, line_id, col, CASE WHEN line_id <= 2 THEN CASE WHEN col = 0 THEN 'supplier' ELSE 'customer' END WHEN line_id = 5 AND col = 0 THEN 'customer' WHEN line_id BETWEEN 6 AND 16 AND col = 0 THEN 'customer' END AS role
    FROM sheets, (SELECT unnest([1,1,2,2,3,4,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18]) AS line_id, unnest([0,1,0,1,0,0,1,0,0,0,0,0,0,0,0,0,0,0,0,0,0]) AS col)"""))
 def win_role_lookback(spark, d):

@@ -170,8 +170,7 @@ def join_tax_support(spark, d):
     proposed = docs.select(
         "doc_id", F.lit(19).cast("decimal(20,6)").alias("rate"), ((F.col("tva") + F.when(F.col("order_id") % 5 == 2, 1000).otherwise(0)) / 1000).cast("decimal(20,6)").alias("amount")
     )
-    stripped = printed.withColumn("amount", F.col("amount"))
-    out = totals.supported_tax(proposed, stripped)
+    out = totals.supported_tax(proposed, printed)
     return out.select("doc_id", F.lit("TVA").alias("label"), "supported")
 
 

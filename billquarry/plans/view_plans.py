@@ -324,7 +324,6 @@ def prj_evidence_view(spark, d):
     key = F.col("doc_id")
     rows = B.documents(spark, d).select(
         "doc_id",
-        F.trim("text").alias("_t"),
         F.col("text"),
         F.when(key % 3 == 0, (key % 100).cast("double") / 100).alias("own"),
         F.when(key % 3 == 1, (key % 20).cast("double") / 2).alias("score"),
