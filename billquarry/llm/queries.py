@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from billquarry.llm import tokens
+from billquarry.llm import simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +32,9 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary, by rank-synchronous merging."""
     counted = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op8_simhash_components")
+def op8_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of at most 4 of 64 differing fingerprint bits."""
+    return simhash.near_duplicates(table(spark, folder, "documents"), simhash.EXACT)
