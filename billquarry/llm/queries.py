@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billquarry.llm import simhash, tokens
+from billquarry.llm import packing, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +39,10 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under links of at most 4 of 64 differing fingerprint bits."""
     return simhash.near_duplicates(table(spark, folder, "documents"), simhash.EXACT)
+
+
+@query("op2_retrieval_packing")
+def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of training sequences of 2048 tokens, filled with lexical neighbours."""
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
