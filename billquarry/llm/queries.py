@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billquarry.llm import packing, simhash, tokens
+from billquarry.llm import packing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,68 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _quality_sql() -> str:
+    bucket = "CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END"
+    value = {m: e[0].replace("DIV", "//") for m, e in quality.MEASURES.items()}
+    rows = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS m, CASE WHEN n_words > 0 THEN {v} END AS v FROM counts" for m, v in value.items())
+    widths = "GREATEST({k} * (q2 - q1), CASE m {above} END) AS above, GREATEST({k} * (q3 - q2), CASE m {below} END) AS below".format(
+        k=quality.SPREADS,
+        above=" ".join(f"WHEN '{m}' THEN {e[1]}" for m, e in quality.MEASURES.items()),
+        below=" ".join(f"WHEN '{m}' THEN {e[2]}" for m, e in quality.MEASURES.items()),
+    )
+    lower = ", ".join(f"'{m}'" for m, e in quality.MEASURES.items() if e[2])
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, COALESCE(text, '') AS text FROM documents),
+split AS (
+  SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts
+),
+windows AS (SELECT rid, p, array_to_string(ws[p:p + {quality.WINDOW - 1}], ' ') AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - {quality.WINDOW - 2})) AS p FROM split)),
+twice AS (SELECT rid, p FROM windows QUALIFY COUNT(*) OVER (PARTITION BY rid, win) > 1),
+covered AS (SELECT rid, COUNT(*) AS n FROM (SELECT DISTINCT rid, p + k AS at FROM twice, range({quality.WINDOW}) AS r(k)) GROUP BY rid),
+counts AS (
+  SELECT s.rid, doc_id, lang, source, len(ws) AS n_words, CAST(COALESCE(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    COALESCE(c.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_doubled
+  FROM split s LEFT JOIN covered c ON s.rid = c.rid
+),
+measured AS ({rows}),
+fine AS (SELECT lang, source, m, {bucket} AS bucket, COUNT(*) AS n FROM measured WHERE v IS NOT NULL GROUP BY ALL),
+levels AS (
+  SELECT 2 AS level, lang, source, m, bucket, n FROM fine
+  UNION ALL SELECT 1, lang, NULL, m, bucket, SUM(n) FROM fine GROUP BY lang, m, bucket
+  UNION ALL SELECT 0, NULL, NULL, m, bucket, SUM(n) FROM fine GROUP BY m, bucket
+),
+running AS (
+  SELECT *, SUM(n) OVER (PARTITION BY level, lang, source, m ORDER BY bucket) AS upto, SUM(n) OVER (PARTITION BY level, lang, source, m) AS total FROM levels
+),
+quartiles AS (
+  SELECT level, lang, source, m, MAX(total) AS total, MIN(CASE WHEN 4 * upto >= total THEN bucket END) AS q1,
+    MIN(CASE WHEN 2 * upto >= total THEN bucket END) AS q2, MIN(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
+  FROM running GROUP BY ALL
+),
+chosen AS (
+  SELECT x.rid, x.m, x.v, q.q1, q.q2, q.q3 FROM measured x JOIN quartiles q ON q.m = x.m AND (
+    q.level = 2 AND q.lang IS NOT DISTINCT FROM x.lang AND q.source IS NOT DISTINCT FROM x.source AND q.total >= {quality.GROUP}
+    OR q.level = 1 AND q.lang IS NOT DISTINCT FROM x.lang AND q.total >= {quality.GROUP} OR q.level = 0)
+  QUALIFY row_number() OVER (PARTITION BY x.rid, x.m ORDER BY q.level DESC) = 1
+),
+limited AS (SELECT rid, m, v, q2, {widths} FROM chosen WHERE v IS NOT NULL),
+outliers AS (
+  SELECT DISTINCT l.rid FROM limited l JOIN counts c ON l.rid = c.rid
+  WHERE (v - q2) * n_words > above * (n_words + {quality.SLACK}) OR m IN ({lower}) AND (q2 - v) * n_words > below * (n_words + {quality.SLACK})
+)
+SELECT doc_id, {", ".join(quality.COUNTS)}, base_failed, outlier, NOT base_failed AND NOT outlier AS kept FROM (
+  SELECT c.*, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, o.rid IS NOT NULL AS outlier
+  FROM counts c LEFT JOIN outliers o ON c.rid = o.rid)"""
+
+
+@query("op1_quality_rules", _quality_sql())
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document and the verdict of limits adapted to its language and source."""
+    return quality.judge(table(spark, folder, "documents"))
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary, by rank-synchronous merging."""
