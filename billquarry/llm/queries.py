@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billquarry.llm import packing, quality, simhash, tokens
+from billquarry.llm import decontamination, packing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,9 @@ def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of training sequences of 2048 tokens, filled with lexical neighbours."""
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, whole or edited, with the best passage of each."""
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
