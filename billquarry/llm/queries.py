@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billquarry.llm import decontamination, packing, quality, simhash, tokens
+from billquarry.llm import decontamination, packing, quality, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +90,31 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+#: Rules of the URL query: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""
+WITH rules(h, p, v) AS (VALUES {rules}),
+places AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    translate(regexp_extract(COALESCE(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(COALESCE(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages
+)
+SELECT page_id, host, path, h || p AS rule, COALESCE(v, 'allow') AS verdict
+FROM places LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, length(h) DESC, v DESC) = 1"""
+
+
+@query("op5_url_filters", _url_sql())
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict of the longest rule that fits the URL of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary, by rank-synchronous merging."""
