@@ -144,7 +144,7 @@ def _encoded(path: str, end_id: int):
                 part = batch.slice(at, 1000)
                 ids = [value + end for value in encoder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([int(order[np.frombuffer(i, dtype=encoder.dtype)].min()) for i in ids]), pa.array(ids, type=pa.large_binary()).cast(pa.binary())],
+                    [part.column(0), pa.array([int(order[np.frombuffer(i, dtype=encoder.dtype)].min()) for i in ids]), pa.array(ids, type=pa.binary())],
                     ["doc_id", "near", "ids"],
                 )
 
@@ -153,16 +153,20 @@ def _encoded(path: str, end_id: int):
 
 def _counted(width: int, dtype: np.dtype):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_by, here = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=bool)
+        held_by, few, here = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.uint8), np.zeros(width, dtype=np.uint8)
         documents = total = 0
         for batch in batches:
             for raw in batch.column(0):
                 ids = np.frombuffer(raw.as_buffer(), dtype=dtype)
-                here[ids] = True
-                held_by += here
-                here[ids] = False
+                here[ids] = 1
+                few += here
+                here[ids] = 0
                 documents += 1
                 total += len(ids)
+                if documents % 255 == 0:  # as far as a byte counts
+                    held_by += few
+                    few[:] = 0
+        held_by += few
         some = np.flatnonzero(held_by)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(held_by[some], [documents, total]))], ["id", "n"])
 

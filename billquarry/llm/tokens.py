@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Fixed value: pre-token pattern of the byte-level vocabulary, as its library has it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces a worker remembers, and characters it works on at a time.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 CHARACTERS = 1 << 20
 NONE = np.int32(2**31 - 1)
 
@@ -73,11 +73,10 @@ class PairRanks:
             open_ = open_[~hit & (held >= 0)]
         return found
 
-    def merge(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols that survive in each non-empty byte sequence: ids one after the other, and how many each has."""
-        count = len(sequences)
-        lengths = np.fromiter(map(len, sequences), dtype=np.int64, count=count)
-        symbols = self.of_byte[np.frombuffer(b"".join(sequences), dtype=np.uint8)]
+    def merge(self, raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that survive in each byte sequence of ``raw``: ids one after the other, and how many each has. No sequence is empty."""
+        count = len(lengths)
+        symbols = self.of_byte[np.frombuffer(raw, dtype=np.uint8)]
         owner = np.arange(count)
         ranks = np.full(len(symbols), NONE, dtype=np.int32)
         if len(symbols) > 1:
@@ -162,44 +161,74 @@ class Encoder:
         self.pattern = regex.compile(PRE_TOKEN)
         specials = sorted(self.ranks.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
-        self.join = b"".join if as_bytes else sum
+        self.join, self.nothing = (b"".join, b"") if as_bytes else (sum, 0)
         #: Values of pieces with a space before them, by what follows the space; the generation before is kept for one more.
         self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}
+        self.marks: dict[str, object] = dict(zip(".,;:!?", self._values(list(".,;:!?"))))
+
+    def _each(self, raw: bytes, lengths: np.ndarray) -> list[object]:
+        """Value of each byte sequence of ``raw``."""
+        ids, sizes = self.ranks.merge(raw, lengths)
+        if not self.as_bytes:
+            return sizes.tolist()
+        ends = np.cumsum(sizes) * self.dtype.itemsize
+        held = ids.astype(self.dtype).tobytes()
+        return [held[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def _values(self, parts: list[str]) -> list[object]:
         """Value of each piece: its pre-tokens are merged together with those of the others, each distinct one once."""
-        # a space and letters are one pre-token, and a mark after them a second one: the frequent kinds need no pattern
-        found = [(p,) if p[0] == " " and p[1:].isalpha() else (p[:-1], p[-1]) if p[-1] in ".,;:!?" and p[0] == " " and p[1:-1].isalpha() else self.pattern.findall(p) for p in parts]
+        found = [self.pattern.findall(p) for p in parts]
         distinct = list(dict.fromkeys(chain.from_iterable(found)))
-        ids, sizes = self.ranks.merge([t.encode("utf-8", "surrogatepass") for t in distinct])
-        if self.as_bytes:
-            ends, raw, width = np.cumsum(sizes), ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            of = dict(zip(distinct, [raw[a:b] for a, b in zip(((ends - sizes) * width).tolist(), (ends * width).tolist())]))
-        else:
-            of = dict(zip(distinct, sizes.tolist()))
+        raw = [t.encode("utf-8", "surrogatepass") for t in distinct]
+        of = dict(zip(distinct, self._each(b"".join(raw), np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))))
         return [of[ts[0]] if len(ts) == 1 else self.join([of[t] for t in ts]) for ts in found]
 
     def _learn(self, missing: list[str]) -> None:
-        older, unknown = self.older, []
+        """Values of pieces that have a space before them.
+
+        A space and letters are one pre-token, and a mark after them a second one; these frequent kinds need no pattern.
+        """
+        known, older = self.known, self.older
+        words: dict[str, None] = {}
+        marked, rest = [], []
         for p in dict.fromkeys(missing):
-            if (value := older.get(p)) is None:
-                unknown.append(p)
+            if (value := older.get(p)) is not None:
+                known[p] = value
+            elif p.isalpha():
+                words[p] = None
+            elif p and p[-1] in self.marks and p[:-1].isalpha():
+                marked.append(p)
+                if p[:-1] not in known:
+                    words[p[:-1]] = None
             else:
-                self.known[p] = value
-        if unknown:
-            self.known.update(zip(unknown, self._values([" " + p for p in unknown])))
+                rest.append(p)
+        if words:
+            raw = (" " + " ".join(words)).encode("utf-8", "surrogatepass")
+            starts = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32)
+            ends = np.append(starts[1:], len(raw))
+            # the space that parts two words is the one that begins the second
+            known.update(zip(words, self._each(raw, ends - starts)))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+        if rest:
+            known.update(zip(rest, self._values([" " + p for p in rest])))
 
     def _encode(self, cut: list[list[str]]) -> list[object]:
         """Value of each segment, given as its pieces."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known = self.known
-        if missing := [p for parts in cut for p in parts[1:] if p not in known]:
-            self._learn(missing)
+        known, get = self.known, self.known.get
+        looked = [list(map(get, parts)) for parts in cut]
         starts = {p: i for i, p in enumerate(dict.fromkeys(parts[0] for parts in cut if parts[0]))}
         first = self._values(list(starts))
-        return [self.join([*([first[starts[parts[0]]]] if parts[0] else []), *map(known.__getitem__, parts[1:])]) for parts in cut]
+        for parts, values in zip(cut, looked):  # a first piece has no space before it, so what is known does not hold for it
+            values[0] = first[starts[parts[0]]] if parts[0] else self.nothing
+        missing = [p for parts, values in zip(cut, looked) for p, v in zip(parts, values) if v is None]
+        if missing:
+            self._learn(missing)
+            looked = [[known[p] if v is None else v for p, v in zip(parts, values)] for parts, values in zip(cut, looked)]
+        return [self.join(values) for values in looked]
 
     def encode(self, texts: list[str | None]) -> list[object]:
         """The ids (bytes) or the number of ids of each text; a missing text is empty."""
