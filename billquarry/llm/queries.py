@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billquarry.llm import decontamination, packing, quality, simhash, tokens, urls
+from billquarry.llm import decontamination, packing, quality, secrets, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,6 +115,12 @@ def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate of every document with the forest's score and verdict."""
+    return secrets.scan(table(spark, folder, "documents")).select("doc_id", "nth", "start", "length", "value", "score", "secret")
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary, by rank-synchronous merging."""
