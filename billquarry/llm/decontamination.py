@@ -233,4 +233,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """The rows of ``docs`` whose text holds no benchmark item, with their columns; rows without a text stay."""
     hashes = stash(contaminated(docs, benchmark, text=text).select("text_hash").distinct(), "contaminated")
     known = hashes.select(F.col("text_hash").alias("contaminated_hash"))
-    return docs.join(known, F.xxhash64(docs["`" + text.replace("`", "``") + "`"]) == F.col("contaminated_hash"), "left_anti")
+    return docs.join(known, F.xxhash64(docs["`" + text.replace("`", "``") + "`"]) == known["contaminated_hash"], "left_anti")

@@ -1,13 +1,55 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: five stages, each written and reread by the next.
+
+Quality rules reject documents; of near-duplicate groups one document stays; documents with a benchmark item go; secrets
+are redacted in the text; what is left is packed into sequences of 2048 ids. All stages but the last return the columns
+of ``documents``. Rows without an id, empty and very long texts, repeated rows, empty tables and further columns are
+handled as the operators say; a near-duplicate group whose rows have no id keeps them all.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from billquarry.llm import decontamination, packing, quality, secrets, simhash
+from billquarry.llm.shared import stash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs, simhash.JACCARD_80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("secret_scans", secret_scans),
+    ("pack", pack),
+]
+
+#: Alignment, fingerprints and the forest have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of the documents that all stages keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -107,3 +107,11 @@ def test_forest_finds_every_neighbour(radius):
     pairs = {(q, n) for query, node in simhash.Forest(words, unit, 64).search(words, unit, radius) for q, n in zip(query.tolist(), node.tolist())}
     want = {(q, n) for q in range(300) for n in range(300) if unit[q] == unit[n] and int(words[q, 0] ^ words[n, 0]).bit_count() <= radius}
     assert pairs == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(4, "same text here now and more"), (3, "same text here now and more"), (None, "same text here now and more"), (None, "alone " * 9), (7, None), (8, ""), (9, "quite another one of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS other_id", "2 AS fp")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 9, None]
+    assert simhash.keep_first(docs.where("false")).count() == 0
