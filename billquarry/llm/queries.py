@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billquarry.llm import decontamination, packing, quality, secrets, simhash, tokens, urls
+from billquarry.llm import decontamination, licenses, packing, quality, secrets, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -145,3 +145,44 @@ def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, whole or edited, with the best passage of each."""
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+def _license_sql() -> str:
+    of_templates, of_phrases = licenses.postings()
+    rows = lambda values: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in values)
+    needed = [(n, p, len(ps)) for n, (_, _, ps) in enumerate(licenses.TEMPLATES) for p in ps]
+    return f"""
+WITH postings(template, label, size, word, spot) AS (VALUES {rows(of_templates)}),
+phrases(phrase, words, word, spot) AS (VALUES {rows(of_phrases)}),
+needed(template, phrase, needs) AS (VALUES {rows(needed)}),
+base(phrase, base_label) AS (VALUES {rows(licenses.BASE_PHRASES.items())}),
+texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+),
+everywhere AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM texts),
+places AS (SELECT * FROM everywhere WHERE word IN (SELECT word FROM postings UNION SELECT word FROM phrases)
+  AND rid IN (SELECT rid FROM everywhere JOIN (SELECT word FROM postings UNION SELECT word FROM phrases) USING (word) WHERE length(word) >= {licenses.LETTERS})),
+held AS (SELECT word, COUNT(DISTINCT rid) AS held_by FROM places GROUP BY word),
+ranked AS (SELECT p.*, row_number() OVER (PARTITION BY template ORDER BY COALESCE(held_by, 0), spot) AS rank FROM postings p LEFT JOIN held USING (word)),
+rare AS (SELECT *, COUNT(*) OVER (PARTITION BY template) AS of_all FROM ranked WHERE rank <= {licenses.RARE}),
+votes AS (SELECT rid, template, label, size, of_all, place - spot AS start, COUNT(*) AS votes FROM places JOIN rare USING (word) GROUP BY ALL),
+found AS (SELECT rid, phrase, words, place - spot AS start FROM places JOIN phrases USING (word) GROUP BY ALL HAVING COUNT(*) = words),
+verified AS (
+  SELECT v.rid, v.label FROM votes v JOIN needed n ON n.template = v.template JOIN found f ON f.rid = v.rid AND f.phrase = n.phrase
+    AND f.start >= v.start - {licenses.SLACK} AND f.start + f.words <= v.start + v.size + {licenses.SLACK}
+  WHERE 100 * v.votes >= {licenses.SHARE} * v.of_all GROUP BY v.rid, v.template, v.label, v.start, n.needs HAVING COUNT(DISTINCT n.phrase) = n.needs
+),
+of_base AS (SELECT rid, COUNT(*) AS n_base, MIN(start) AS first_word, MAX(start) AS last_word FROM found JOIN base USING (phrase) GROUP BY rid),
+base_labels AS (SELECT rid, string_agg(DISTINCT base_label, ',' ORDER BY base_label) AS base_labels FROM found JOIN base USING (phrase) GROUP BY rid),
+all_labels AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, base_label AS label FROM found JOIN base USING (phrase) UNION SELECT rid, label FROM verified) GROUP BY rid),
+shares AS (SELECT rid, MAX(votes / of_all) AS share FROM votes GROUP BY rid)
+SELECT t.doc_id, len(t.ws) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word, COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE COALESCE(share, 0.0) END::DOUBLE AS score
+FROM texts t LEFT JOIN of_base USING (rid) LEFT JOIN base_labels USING (rid) LEFT JOIN all_labels USING (rid) LEFT JOIN shares USING (rid)"""
+
+
+@query("op10_license_scan", _license_sql())
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses of every document by phrases and by rare words in place."""
+    return licenses.scan(table(spark, folder, "documents"))
