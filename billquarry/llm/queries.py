@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billquarry.llm import decontamination, licenses, packing, quality, secrets, simhash, tokens, urls
+from billquarry.llm import decontamination, licenses, packing, quality, secrets, simhash, tokens, urls, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +90,12 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+@query("op4_wrapper_induction")
+def op4_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page: what varies between pages of its host and is no menu, notice, advert or the like."""
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
