@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billquarry.llm import decontamination, licenses, packing, quality, secrets, simhash, tokens, urls, wrappers
+from billquarry.llm import decontamination, licenses, packing, quality, secrets, simhash, spans, tokens, urls, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +192,9 @@ FROM texts t LEFT JOIN of_base USING (rid) LEFT JOIN base_labels USING (rid) LEF
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licenses of every document by phrases and by rare words in place."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op3_sentence_spans")
+def op3_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Text of every document without the passages that an earlier place holds."""
+    return spans.remove_repeats(table(spark, folder, "documents"))
