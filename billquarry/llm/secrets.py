@@ -115,7 +115,9 @@ def derived_findings(docs: DataFrame, text: str = "text") -> DataFrame:
     Secrets are digests of a text in the usual alphabets, bare or after a name; what is none are long words of the text,
     plain, in capitals or joined, runs of digits, versions and paths. The words beside them are the text's own.
     """
-    sample = docs.where(F.length(text) > 0).select(F.col(text).alias("text"), F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(TRAINING_DOCUMENTS)
+    texts = docs.where(F.length(text) > 0).select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    smallest = stash(texts.select("h").distinct().orderBy("h").limit(TRAINING_DOCUMENTS), "training-texts")
+    sample = texts.join(smallest, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
     parts = sample.select(
         "h", F.sha2("text", 512).alias("hex"), F.base64(F.unhex(F.sha2("text", 512))).alias("b64"),
         F.expr("filter(split(substring(text, 1, 4000), '[^A-Za-z]+'), w -> length(w) > 5)").alias("words"), F.expr("split(left(text, 300), '\\\\s+')").alias("near"),
