@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billquarry.llm.shared import stash
+from billquarry.llm.shared import small_batches, stash
 
 #: Words in a seed, items that may share a rare one, seeds of an item that has no rare one.
 WORDS, SHARED, LEAST_SEEDS = 5, 8, 3
@@ -207,6 +207,7 @@ def contaminated(
     ``docs`` that repeat give one result; other columns are not used.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kinds = {"id": docs.schema[doc_id].dataType.simpleString(), "item": benchmark.schema[item_id].dataType.simpleString()}
     items = stash(
         benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").distinct()

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billquarry.llm.shared import stash
-from billquarry.llm.tokens import encoder_of, ranks_of
+from billquarry.llm.shared import small_batches, stash
+from billquarry.llm.tokens import Encoder, ranks_of
 
 #: BM25 constants; ids below COMMON are left out of the MinHash if a document has others; ids of a shard's documents.
 K1, B, COMMON, SHARD = 1.2, 0.75, 3000, 1 << 19
@@ -137,16 +137,12 @@ def _encoded(path: str, end_id: int):
     order = np.where(np.arange(ranks.width) < COMMON, chance + ranks.width, chance)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path, True)
+        encoder = Encoder(path, True)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [value + end for value in encoder.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([int(order[np.frombuffer(i, dtype=encoder.dtype)].min()) for i in ids]), pa.array(ids, type=pa.binary())],
-                    ["doc_id", "near", "ids"],
-                )
+            ids = [value + end for value in encoder.encode(batch.column(1).to_pylist())]
+            near = [int(order[np.frombuffer(i, dtype=encoder.dtype)].min()) for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, type=pa.int64()), pa.array(ids, type=pa.binary())], ["doc_id", "near", "ids"])
 
     return encode
 
@@ -233,11 +229,12 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     All sequences are full but at most one a task. Other columns of ``docs`` are not used.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     encoded = stash(source.mapInArrow(_encoded(vocabulary, end_id), f"doc_id {kind}, near long, ids binary"), "packing-ids")
-    encoder = encoder_of(vocabulary, True)
-    shared = spark.sparkContext.broadcast(_statistics(encoded, encoder.ranks.width, encoder.dtype))
+    ranks = ranks_of(vocabulary)
+    shared = spark.sparkContext.broadcast(_statistics(encoded, ranks.width, ranks.dtype))
     dealt = encoded.repartitionByRange("near", "doc_id").sortWithinPartitions("near", "doc_id", F.crc32("ids")).select("doc_id", "ids")
     id_type = pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()
-    return dealt.mapInArrow(_packed(shared, encoder.dtype, window, id_type), PIECE.format(id=kind))
+    return dealt.mapInArrow(_packed(shared, ranks.dtype, window, id_type), PIECE.format(id=kind))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billquarry.llm.shared import stash
+from billquarry.llm.shared import small_batches, stash
 
 #: Base rules: fewest words; most words in repeated windows, in hundredths.
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -83,6 +83,8 @@ def base_counts(text: str | None) -> tuple[int, ...]:
 def with_counts(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     """``docs`` with a struct column of the base counts."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
     def counts(texts):
         import pandas as pd

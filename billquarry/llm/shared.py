@@ -1,4 +1,4 @@
-"""Helpers of the pipeline operators: written tables that cut lineage, and word patterns."""
+"""Helpers of the pipeline operators: written tables that cut lineage, and the size of Python batches."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words of the quality, packing and fingerprint contracts: everything between ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the folder all executors share and read it back.
 
@@ -33,9 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that ``df`` does not hold, however letters are cased."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Spark send texts to Python in batches of about 4 MB instead of 10,000 rows, whatever their length.
+
+    The setting stays in the session, because it is read when a result is computed; a smaller one is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    if not (held and held.isdigit() and 0 < int(held) <= most):
+        spark.conf.set(name, str(most))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billquarry.llm.shared import stash
+from billquarry.llm.shared import small_batches, stash
 
 #: Shingles hashed at a time, rows of complete units searched at a time, and pairs in one search step.
 SHINGLES, ROWS, FRONTIER = 1 << 17, 1 << 16, 1 << 18
@@ -392,6 +392,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _grouped(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``text_hash``, ``fp`` and ``component_id`` of every row."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     hashed = with_fingerprints(source, plan, "fp").select("doc_id", F.xxhash64("text").alias("text_hash"), "fp")
     hashed = stash(hashed, "simhash")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billquarry.llm.shared import stash
+from billquarry.llm.shared import small_batches, stash
 
 #: Least sentences and words of a run; most words of a sentence.
 SENTENCES, WORDS, PIECE = 3, 25, 20
@@ -150,6 +150,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Rows that share an id are one document: what repeats only between them stays. Rows without an id come after all
     others and count as one document too. Repeated rows stay; other columns of ``docs`` are not used.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     listed = f"doc_id {kind}, text_hash long, hashes array<long>, spans array<long>, again array<long>"

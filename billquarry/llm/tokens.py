@@ -5,7 +5,7 @@ sequence applies its own lowest-rank pair, all sequences at once; a sequence wit
 is finished, and the symbols that survive are its tokens.
 
 Texts are first cut before single spaces between two printing characters. No pre-token of the
-byte-level pattern reaches over such a space, so the pieces can be encoded one by one, and a worker
+byte-level pattern reaches over such a space, so the pieces can be encoded one by one, and a task
 encodes a piece only once while it is remembered.
 """
 
@@ -18,13 +18,16 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from billquarry.llm.shared import small_batches
+
 #: Fixed value: pre-token pattern of the byte-level vocabulary, as its library has it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces a worker remembers, and characters it works on at a time.
+#: Pieces a task remembers, and characters it works on at a time.
 REMEMBERED = 400_000
 CHARACTERS = 1 << 20
 NONE = np.int32(2**31 - 1)
@@ -43,6 +46,7 @@ class PairRanks:
         self.specials = {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.width = max([*vocabulary.values(), *self.specials.values()]) + 1
         letters = _byte_letters()
+        self.dtype = np.dtype("<u2" if self.width <= 1 << 16 else "<u4")
         self.of_byte = np.array([vocabulary[letters[b]] for b in range(256)], dtype=np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([vocabulary[a] * self.width + vocabulary[b] for a, b in pairs], dtype=np.int64)
@@ -157,7 +161,7 @@ class Encoder:
 
     def __init__(self, path: str, as_bytes: bool = False):
         self.ranks, self.as_bytes = ranks_of(path), as_bytes
-        self.dtype = np.dtype("<u2" if self.ranks.width <= 1 << 16 else "<u4")
+        self.dtype = self.ranks.dtype
         self.pattern = regex.compile(PRE_TOKEN)
         specials = sorted(self.ranks.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
@@ -266,12 +270,6 @@ class Encoder:
                 yield part, specials.get(part)
 
 
-@lru_cache(maxsize=4)
-def encoder_of(path: str, as_bytes: bool) -> Encoder:
-    """One encoder for a worker, kept from batch to batch."""
-    return Encoder(path, as_bytes)
-
-
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: int = 1024) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
@@ -279,21 +277,23 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
     no tokens. Special strings inside a text count as one token each, as is the library's default.
     A text of any length is worked on in pieces. Columns of these three names in ``docs`` are replaced; all others stay.
     """
-    others = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
-    counted = _with_counts(docs.select(*[docs[_quoted(c)] for c in others]), vocabulary, text)
-    return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
+    small_batches(docs.sparkSession)
+    others = [F.col(_quoted(c)) for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
+    value = F.coalesce(F.col(_quoted(text)), F.lit(""))
+    return docs.select(*others, F.octet_length(value).cast("long").alias("n_bytes"), _counter(vocabulary)(value).alias("n_tokens")).withColumn(
+        "over_limit", F.col("n_tokens") > F.lit(limit)
+    )
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _with_counts(docs: DataFrame, vocabulary: str, text: str) -> DataFrame:
+def _counter(vocabulary: str):
     @F.pandas_udf("long")
-    def count(texts):
-        import pandas as pd
-
-        return pd.Series(encoder_of(vocabulary, False).encode([t if isinstance(t, str) else None for t in texts]), dtype="int64")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(vocabulary)
+        for texts in batches:
+            yield pd.Series(encoder.encode(texts.tolist()), dtype="int64")
 
-    value: Column = F.coalesce(docs[_quoted(text)], F.lit(""))
-    return docs.withColumn("n_bytes", F.octet_length(value).cast("long")).withColumn("n_tokens", count(value))
+    return count
