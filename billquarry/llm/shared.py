@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +24,16 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; an error where the cluster names none."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Only a session on one machine may go without: it gets a folder of its own. On a cluster that names none this is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.match(r"local(\[[^,]*\]|\[\*.*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="billquarry-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
