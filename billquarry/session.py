@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,14 +31,16 @@ def build_session(app: str = "billquarry", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster.
+    """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests on one machine) a fresh
-    temporary folder is chosen and remembered in the session.
+    Only a session whose driver and executors are one process may go without: it gets a fresh folder of its own.
+    A cluster that names no folder gets an error instead of a folder that other machines cannot read.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     chosen = tempfile.mkdtemp(prefix="billquarry-")
     spark.conf.set("spark.checkpoint.dir", chosen)
     return chosen

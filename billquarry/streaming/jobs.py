@@ -1,50 +1,86 @@
 """Structured Streaming jobs: ingest, content de-duplication, monthly totals, current state.
 
-Sinks are idempotent per batch (a batch writes its own folder), so a batch that
-is run again after an executor or driver loss replaces its own output.
+Every batch writes its own folder, so a batch that runs again after a loss replaces its own output. Results that need
+what came before (contents seen, totals, states) read the folders of earlier batches and never drop late rows.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from billquarry.session import shared_dir
 from billquarry.sources.annotations import latest_per_key
 from billquarry.sources.blobs import with_digest
 from billquarry.sources.files import admitted
 
+Sink = Callable[[DataFrame, int, str], DataFrame]
+
+
+@dataclass(frozen=True)
+class Result:
+    """Where a job wrote its batches, and what their rows look like."""
+
+    spark: SparkSession
+    path: str
+    schema: StructType
+
+    def rows(self) -> DataFrame:
+        """Rows of all batches with the number of their ``batch``; none if no batch ran."""
+        kinds = StructType.fromJson(self.schema.jsonValue()).add("batch", "long")
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], kinds)
+        return self.spark.read.schema(kinds).parquet(self.path)
+
+    def last(self) -> DataFrame:
+        """Rows of the last batch of a job that keeps its whole state in each batch."""
+        found = self.rows()
+        newest = found.agg(F.max("batch").alias("newest"))
+        return found.join(F.broadcast(newest), F.col("batch") == F.col("newest"), "left_semi").drop("batch")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream over the parquet files of one table; the schema is taken from the table."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+    """Stream over one table: a folder of part files, or a single file."""
+    path = f"{folder}/{name}.parquet"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    is_folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    arriving = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    return arriving.parquet(path) if is_folder else arriving.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Arriving files with their size and content."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder).withColumnRenamed("length", "size")
+    """Arriving files with their path, size and content."""
+    kinds = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(kinds).option("recursiveFileLookup", "true").load(folder).withColumnRenamed("length", "size")
+
 
+def run_to_end(stream: DataFrame, sink: Sink | None = None, schema: StructType | None = None) -> Result:
+    """Process everything available. ``sink`` turns a batch, its number and the folder of all batches into the rows to write."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    result = Result(spark, f"{base}/out", schema or stream.schema)
 
-def run_to_end(stream: DataFrame, mode: str = "append", write: Callable[[DataFrame, str], None] | None = None) -> str:
-    """Process everything available, each batch into its own folder; returns the output folder."""
-    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    out = f"{base}/out"
+    def write(batch: DataFrame, number: int) -> None:
+        rows = sink(batch, number, result.path) if sink else batch
+        rows.write.mode("overwrite").parquet(f"{result.path}/batch={number}")
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        target = f"{out}/batch={batch_id}"
-        (write or (lambda df, path: df.write.mode("overwrite").parquet(path)))(batch, target)
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return result
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
-    )
-    query.awaitTermination()
-    return out
+
+def earlier(batch: DataFrame, number: int, path: str, schema: StructType) -> DataFrame:
+    """What the batches before this one wrote, with their ``batch``."""
+    return Result(batch.sparkSession, path, schema).rows().where(F.col("batch") < number)
 
 
 def ingest(listing: DataFrame) -> DataFrame:
@@ -52,29 +88,41 @@ def ingest(listing: DataFrame) -> DataFrame:
     return admitted(listing)
 
 
-def new_contents(stream: DataFrame, event_time: str, content: str = "content", delay: str = "30 days") -> DataFrame:
-    """First occurrence of every content; state is dropped once the watermark has passed it."""
-    keyed = with_digest(stream, content).select(event_time, "digest", F.octet_length(content).cast("long").alias("size"))
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["digest"])
+def ingest_texts(arriving: DataFrame) -> DataFrame:
+    """Rows of a text table from arriving files with content: path, size, digest and the decoded text."""
+    kept = with_digest(admitted(arriving), "content")
+    return kept.select("path", "size", "digest", F.decode("content", "UTF-8").alias("text"))
+
+
+def new_contents(stream: DataFrame, content: str = "content") -> Result:
+    """First occurrence of every content, however much later a copy arrives: batches are compared with all digests stored."""
+    keyed = with_digest(stream, content).select("digest", F.octet_length(content).cast("long").alias("size"))
+
+    def sink(batch: DataFrame, number: int, path: str) -> DataFrame:
+        seen = earlier(batch, number, path, keyed.schema).select("digest")
+        return batch.dropDuplicates(["digest"]).join(seen, "digest", "left_anti")
+
+    return run_to_end(keyed, sink)
 
 
-def monthly_amounts(stream: DataFrame, date: str, cents: str = "cents") -> DataFrame:
-    """Running sum and count per month; the state is one row per month."""
-    return stream.groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(F.sum(cents).alias("cents"), F.count(F.lit(1)).alias("count"))
+def monthly_amounts(stream: DataFrame, date: str, cents: str = "cents") -> Result:
+    """Sum and count per month. A batch adds its own totals to those of the batch before; late rows count in their month,
+    so there is no watermark, and the state is one row per month."""
+    monthly = stream.select(F.date_format(date, "yyyy-MM").alias("month"), F.col(cents).cast("long").alias("cents"), F.lit(1).cast("long").alias("count"))
 
+    def sink(batch: DataFrame, number: int, path: str) -> DataFrame:
+        state = earlier(batch, number, path, monthly.schema).where(F.col("batch") == number - 1).drop("batch")
+        return batch.unionByName(state).groupBy("month").agg(F.sum("cents").alias("cents"), F.sum("count").alias("count"))
 
-def current_state(stream: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
-    """Latest payload per key, emitted whenever it changes."""
-    last = F.max_by(F.struct(*payload), F.struct(*order))
-    return stream.groupBy(key).agg(last.alias("_s")).select(key, *[F.col(f"_s.{p}").alias(p) for p in payload])
+    return run_to_end(monthly, sink)
 
 
-def last_batch(spark: SparkSession, out: str) -> DataFrame:
-    """Output of the last batch of a job that rewrites its whole result."""
-    rows = spark.read.parquet(out)
-    return rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+def current_state(stream: DataFrame, key: str, order: list[str], payload: list[str]) -> Result:
+    """Latest payload per key: each batch merges its newest rows into the state of the batch before."""
+    rows = stream.select(key, *dict.fromkeys([*order, *payload]))
 
+    def sink(batch: DataFrame, number: int, path: str) -> DataFrame:
+        state = earlier(batch, number, path, rows.schema).where(F.col("batch") == number - 1).drop("batch")
+        return latest_per_key(batch.unionByName(state), [key], order).select(*rows.columns)
 
-def upserted(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Rows of an update-mode job: the latest batch wins per key."""
-    return latest_per_key(spark.read.parquet(out), [key], ["batch"]).drop("batch")
+    return run_to_end(rows, sink)
