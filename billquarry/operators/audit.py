@@ -11,17 +11,22 @@ from billquarry.operators.matching import LARGE_GROUP, previous_in_group
 NUMERIC_FIELDS = ["subtotal", "tax_amount", "discount", "stamp_duty", "additional_tax_total", "total_amount", "net_payable"]
 
 
+def time_blocks(at: str, second: int) -> tuple[Column, Column]:
+    """Days and minutes of a clock with ``second`` ticks a second: the blocks of an invoice with very many events."""
+    return F.floor(F.col(at) / (86_400 * second)), F.floor(F.col(at) / (60 * second))
+
+
 def neighbours(events: DataFrame, large: int = LARGE_GROUP) -> DataFrame:
     """Previous and next action of every event in its invoice, and seconds since the previous one.
 
-    The next action is the previous one on the reversed clock, so both sides use
-    the same block-wise look-back and one invoice may hold any share of the log.
+    The next action is the previous one on the reversed clock, so both sides use the same block-wise look-back: an invoice
+    may hold any share of the log, and a task holds the events of one of its minutes, the minutes of a day or its days.
     """
     cols = ["id", "invoice_id", "action", "at"]
-    before = previous_in_group(events.select(*cols), "invoice_id", "at", "id", ["action"], 1, large)
+    before = previous_in_group(events.select(*cols), "invoice_id", "at", "id", ["action"], 1, large, blocks=time_blocks("at", 1))
     back = before.select(*cols, F.get("previous", F.lit(0)).alias("_p"))
     mirrored = events.select((-F.col("id")).alias("id"), "invoice_id", "action", (-F.col("at")).alias("at"))
-    after = previous_in_group(mirrored, "invoice_id", "at", "id", ["action"], 1, large).select(
+    after = previous_in_group(mirrored, "invoice_id", "at", "id", ["action"], 1, large, blocks=time_blocks("at", 1)).select(
         (-F.col("id")).alias("id"), F.get("previous", F.lit(0))["action"].alias("next")
     )
     return back.join(after, "id").select(
@@ -53,8 +58,8 @@ def correction(before: Column, after: Column) -> Column:
 
 
 def with_before(events: DataFrame, payload: str, large: int = LARGE_GROUP) -> DataFrame:
-    """Events with the payload of the event before them in the same invoice."""
-    looked = previous_in_group(events, "invoice_id", "at", "id", [payload], 1, large)
+    """Events (``at`` in microseconds) with the payload of the event before them in the same invoice."""
+    looked = previous_in_group(events, "invoice_id", "at", "id", [payload], 1, large, blocks=time_blocks("at", 1_000_000))
     return looked.withColumn("before", F.get("previous", F.lit(0))[payload]).drop("previous")
 
 

@@ -96,18 +96,21 @@ def join_layout_overlap(spark, d):
 
 @query(
     "join_value_to_passage",
-    R.sheets_sql("""SELECT doc_id, 'vendor_name' AS field, vendor AS value, 1 AS rank FROM sheets UNION ALL SELECT doc_id, 'customer_name', customer, 1 FROM sheets"""),
+    R.sheets_sql("""SELECT doc_id, 'vendor_name' AS field, vendor AS value, 'p0' AS passage_id, 1 AS rank FROM sheets UNION ALL SELECT doc_id, 'customer_name', customer, 'p1', 2 FROM sheets"""),
 )
 def join_value_to_passage(spark, d):
-    """Proposed party names looked up in the invoice's passages, first supporting passage wins."""
+    """Proposed party names looked up in the invoice's passages in page order; the first supporting passage wins.
+
+    The vendor stands on line 4, in the first passage of six lines, the customer on line 8, in the second one.
+    """
     docs = R.texts(spark, d)
     proposals = docs.select("doc_id", F.inline(F.array(
         F.struct(F.lit("vendor_name").alias("field"), F.col("vendor").alias("value")), F.struct(F.lit("customer_name").alias("field"), F.col("customer").alias("value")))))
-    found = passages.line_passages(docs.select("doc_id", "text")).withColumn("has", X.canonical(F.col("text")))
-    ranked = found.select("doc_id", F.col("chunk_index").alias("rank0"), F.col("source_id").alias("passage_id"), "has")
-    hits = proposals.join(ranked, "doc_id").filter(F.col("has").contains(X.canonical(F.col("value"))))
-    best = hits.groupBy("doc_id", "field", "value").agg(F.min("rank0").alias("first"))
-    return best.select("doc_id", "field", "value", F.when(F.col("first") <= 1, 1).otherwise(F.col("first")).alias("rank"))
+    found = passages.line_passages(docs.select("doc_id", "text")).select(
+        "doc_id", (F.col("chunk_index") + 1).alias("rank"), F.concat(F.lit("p"), F.col("chunk_index")).alias("passage_id"), X.canonical(F.col("text")).alias("has")
+    )
+    supports = F.col("has").contains(X.canonical(F.col("value")))
+    return matching.first_supporting_passage(proposals, found, ["doc_id"], supports, "field").select("doc_id", "field", "value", "passage_id", "rank")
 
 
 @query("join_citation_catalog", "SELECT doc_id, chunk_index, accepted FROM (SELECT doc_id, unnest(range(0, chunks)) AS chunk_index FROM (SELECT doc_id, CASE WHEN n = 0 THEN 0 WHEN n <= 900 THEN 1 ELSE (n - 900 + 779) // 780 + 1 END AS chunks FROM (SELECT doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM documents))), LATERAL (SELECT (doc_id + chunk_index) % 3 <> 0 AS accepted)")
