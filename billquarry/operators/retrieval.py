@@ -152,9 +152,9 @@ def field_bm25(passages: DataFrame, queries: dict[str, str] = V.FIELD_QUERIES, d
     return ranked.select(doc, F.col("qid").alias("field"), "chunk_index", "rank", "score")
 
 
-def with_field_overrides(ranked: DataFrame, passages: DataFrame, doc: str = "doc_id", k: int = 3, cap: int = 12) -> DataFrame:
-    """Vendor name: the first passage leads unless it is a table. Items: all table passages of the
-    document in order, at most twelve, with the number left out."""
+def with_field_overrides(ranked: DataFrame, passages: DataFrame, doc: str = "doc_id", k: int = 3, cap: int | None = None) -> DataFrame:
+    """Vendor name: the first passage leads unless it is a table. Items: all table passages of the document in order;
+    with ``cap`` no more than so many, and the number left out beside them."""
     first = passages.filter((F.col("chunk_index") == 0) & (F.col("kind") != "table")).select(doc, F.col("chunk_index").alias("_first"))
     vendor = ranked.filter(F.col("field") == "vendor_name").join(first, doc, "left")
     moved = vendor.filter(F.col("_first").isNull() | (F.col("chunk_index") != F.col("_first"))).withColumn(
@@ -163,10 +163,11 @@ def with_field_overrides(ranked: DataFrame, passages: DataFrame, doc: str = "doc
     injected = first.select(doc, F.lit("vendor_name").alias("field"), F.col("_first").alias("chunk_index"), F.lit(1).alias("rank"), F.lit(None).cast("double").alias("score"))
     tables = passages.filter(F.col("kind") == "table").select(doc, "chunk_index")
     counts = tables.groupBy(doc).agg(F.count(F.lit(1)).alias("_tables"))
-    numbered = top_k(tables, [doc], [F.col("chunk_index")], cap).join(counts, doc)
+    in_order = tables.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy("chunk_index")))
+    numbered = (in_order if cap is None else in_order.filter(F.col("rank") <= cap)).join(counts, doc)
     items = numbered.select(
         doc, F.lit("items").alias("field"), "chunk_index", "rank", F.lit(None).cast("double").alias("score"),
-        F.greatest(F.col("_tables") - cap, F.lit(0)).alias("omitted"),
+        (F.lit(0) if cap is None else F.greatest(F.col("_tables") - cap, F.lit(0))).cast("long").alias("omitted"),
     )
     scored_items = ranked.filter(F.col("field") == "items").join(counts.select(doc), doc, "left_anti")
     rest = ranked.filter(~F.col("field").isin("vendor_name", "items"))

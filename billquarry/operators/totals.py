@@ -212,7 +212,7 @@ def ambiguous_amount(field: str, value: Column, text: Column) -> Column:
     def scan(lines: Column) -> Column:
         def hit(line: Column, i: Column) -> Column:
             first = F.trim(F.get(F.split(F.get(lines, i + 1), r"\|"), F.lit(0)))
-            others = F.slice(F.split(F.get(lines, i + 1), r"\|"), 2, 50)
+            others = F.filter(F.split(F.get(lines, i + 1), r"\|"), lambda _, n: n > 0)
             orphan = strict_amount(first).isNotNull() & first.rlike(r"[.,]\d{2,3}$") & (strict_amount(first) != value)
             return F.when(
                 F.exists(source_amounts(line, field), lambda a: a == value) & orphan & ~F.exists(others, lambda c: F.trim(c).rlike(X.IU + V.NEW_LABEL)), i + 1

@@ -14,16 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Text-heavy input read from fewer splits than there are cores is spread over them.
-
-    The number of splits is known from the file listing. Large inputs have many
-    splits and stay as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def digits(c: Column, width: int) -> Column:
     """Left-padded number that never loses digits when longer than the width."""
     text = c.cast("string")
@@ -120,10 +110,8 @@ ITEMS = """items AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-# parts of invoices with very many lines, as the export and the rendered sheets cut them
-PARTS = """parts AS (
-  SELECT *, CASE WHEN n > 64 THEN CAST('0x' || substr(md5(concat_ws('|', part_id, source_id, line, total_cents, run)), 1, 8) AS BIGINT) % ((n + 63) // 64) ELSE 0 END AS part
-  FROM (SELECT *, count(*) OVER (PARTITION BY invoice_id) AS n, (row_number() OVER (PARTITION BY invoice_id, line, description, quantity, price_cents, total_cents, discount_pct, tax_pct, part_id, source_id) - 1) // 64 AS run FROM items))"""
+# pages of printed invoices: one rule for all of them
+PAGED = "paged AS (SELECT *, (line - 1) // 64 AS page FROM items)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +131,7 @@ EVENTS = """ev AS (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

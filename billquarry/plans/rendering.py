@@ -1,17 +1,19 @@
 """Invoice texts rendered from orders, line items and customers.
 
 The expected extraction of a rendered invoice is the row it came from, so the
-checks of the extraction queries are plain SQL on the source tables. An order
-with very many lines becomes several invoices ("sheets") of bounded length.
+checks of the extraction queries are plain SQL on the source tables. Every
+invoice is printed in pages ("sheets") by the number of its lines; each page
+carries the totals of the whole invoice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from billquarry.plans import bindings as B
-from billquarry.sources.records import part_of_lines
+from billquarry.sources.records import paged
 
 
 def milli_text(m: Column) -> Column:
@@ -20,28 +22,32 @@ def milli_text(m: Column) -> Column:
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per invoice sheet: header values, exact amounts and its lines in print order."""
-    lines = part_of_lines(B.items(spark, sf_dir), "invoice_id")
-    priced = lines.withColumn("milli", F.expr("(total_cents * (100 - discount_pct) + 5) div 10")).withColumn(
+    """One row per printed page: header values, exact amounts of the whole invoice and the page's lines in print order.
+
+    A page holds at most as many lines as line numbers fit on it; amounts are aggregates over all lines.
+    """
+    priced = paged(B.items(spark, sf_dir)).withColumn("milli", F.expr("(total_cents * (100 - discount_pct) + 5) div 10")).withColumn(
         "unit_milli", F.expr("(2 * milli + quantity) div (2 * quantity)")
     )
-    per_sheet = priced.groupBy("invoice_id", "part").agg(
+    pages = priced.groupBy("invoice_id", "page").agg(
         F.array_sort(
             F.collect_list(
                 F.struct("line", "part_id", "source_id", "total_cents", "discount_pct", "quantity", "milli", "unit_milli", "description")
             )
         ).alias("lines"),
-        F.sum("milli").alias("ht"),
-        F.sum(F.col("unit_milli") * F.col("quantity")).alias("qu"),
+        F.sum("milli").alias("page_ht"),
+        F.sum(F.col("unit_milli") * F.col("quantity")).alias("page_qu"),
     )
+    whole = Window.partitionBy("invoice_id")  # one row a page
+    per_sheet = pages.withColumn("ht", F.sum("page_ht").over(whole)).withColumn("qu", F.sum("page_qu").over(whole)).drop("page_ht", "page_qu")
     inv = B.invoices(spark, sf_dir).select("id", "invoice_number", "supplier_id", "invoice_date")
     ttc_shift = F.when(F.col("order_id") % 4 == 1, 1).when(F.col("order_id") % 4 == 2, 1000).otherwise(0)
     return (
         per_sheet.join(inv, per_sheet["invoice_id"] == inv["id"])
         .withColumnRenamed("invoice_id", "order_id")
         .select(
-            F.concat(F.col("order_id").cast("string"), F.lit("/"), F.col("part").cast("string")).alias("doc_id"),
-            "order_id", "part", "invoice_number", "supplier_id",
+            F.concat(F.col("order_id").cast("string"), F.lit("/"), F.col("page").cast("string")).alias("doc_id"),
+            "order_id", "page", "invoice_number", "supplier_id",
             F.date_format("invoice_date", "dd/MM/yyyy").alias("day"),
             F.concat(F.lit("STE ATLAS "), B.digits(F.col("supplier_id"), 9)).alias("vendor"),
             F.concat(F.lit("STE BORNE "), B.digits(F.col("supplier_id") + 1, 9)).alias("customer"),
@@ -58,9 +64,10 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SHEETS = f"""priced AS (SELECT *, (total_cents * (100 - discount_pct) + 5) // 10 AS milli FROM parts),
- lines AS (SELECT *, (2 * milli + quantity) // (2 * quantity) AS unit_milli, invoice_id || '/' || part AS doc_id FROM priced),
- sums AS (SELECT doc_id, invoice_id, CAST(sum(milli) AS BIGINT) AS ht, CAST(sum(unit_milli * quantity) AS BIGINT) AS qu, count(*) AS n FROM lines GROUP BY doc_id, invoice_id),
+SHEETS = f"""priced AS (SELECT *, (total_cents * (100 - discount_pct) + 5) // 10 AS milli FROM paged),
+ lines AS (SELECT *, (2 * milli + quantity) // (2 * quantity) AS unit_milli, invoice_id || '/' || page AS doc_id FROM priced),
+ wholes AS (SELECT invoice_id, CAST(sum(milli) AS BIGINT) AS ht, CAST(sum(unit_milli * quantity) AS BIGINT) AS qu FROM lines GROUP BY invoice_id),
+ sums AS (SELECT doc_id, invoice_id, any_value(w.ht) AS ht, any_value(w.qu) AS qu, count(*) AS n FROM lines JOIN wholes w USING (invoice_id) GROUP BY doc_id, invoice_id),
  sheets AS (
   SELECT s.doc_id, s.invoice_id AS order_id, s.ht, s.qu, s.n, i.invoice_number, i.supplier_id, strftime(i.invoice_date, '%d/%m/%Y') AS day,
          'STE ATLAS ' || {B.sql_digits('i.supplier_id', 9)} AS vendor, 'STE BORNE ' || {B.sql_digits('i.supplier_id + 1', 9)} AS customer,
@@ -72,7 +79,7 @@ SHEETS = f"""priced AS (SELECT *, (total_cents * (100 - discount_pct) + 5) // 10
 
 
 def sheets_sql(body: str, *more: str) -> str:
-    return B.with_ctes(B.INVOICES, B.ITEMS, B.PARTS, SHEETS, *more, body=body)
+    return B.with_ctes(B.INVOICES, B.ITEMS, B.PAGED, SHEETS, *more, body=body)
 
 
 def unit_rows() -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from billquarry.functions import money as M
 from billquarry.plans import bindings as B
 from billquarry.plans.registry import query
+from billquarry.session import shared_dir
 from billquarry.sources import annotations, blobs, files, payloads, records
 
 
@@ -92,8 +95,11 @@ def src_incremental_manifest(spark, d):
        FROM events GROUP BY user_id""",
 )
 def snk_keyed_overwrite(spark, d):
+    """Writes the keyed table to the shared folder and reads it back."""
     df = B.table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
-    return annotations.latest_per_key(df, ["user_id"], ["event_id"])
+    path = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    annotations.write_keyed(df, path, ["user_id"], ["event_id"])
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @query(
@@ -212,7 +218,9 @@ def snk_document_record(spark, d):
         F.col("cents").cast("string").alias("total_amount"),
         "status",
     )
-    return records.document_record(inv).select(
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    records.append_records(records.document_record(inv), path)
+    return spark.read.parquet(path).select(
         "doc_id", "document_type", "is_invoice", "classification_confidence",
         F.col("fields")["invoice_number"].alias("invoice_number"), F.col("fields")["total_amount"].alias("total_cents"), "status",
     )
@@ -223,20 +231,18 @@ def snk_document_record(spark, d):
     B.with_ctes(
         B.INVOICES,
         B.ITEMS,
-        B.PARTS,
-        body="""SELECT id, coalesce(part, 0) AS part, 'facture_' || invoice_number || '.json' AS file_name,
-                  count(invoice_id) AS lines, coalesce(sum(quantity), 0)::BIGINT AS quantity,
-                  coalesce(sum(total_cents), 0)::BIGINT AS total_cents
-                FROM invoices LEFT JOIN parts ON id = invoice_id WHERE status = 'validated'
-                GROUP BY id, coalesce(part, 0), invoice_number""",
+        body="""SELECT id, 'facture_' || invoice_number || '.json' AS file_name, count(invoice_id) AS lines,
+                  coalesce(sum(quantity), 0)::BIGINT AS quantity, coalesce(sum(total_cents), 0)::BIGINT AS total_cents
+                FROM invoices LEFT JOIN items ON id = invoice_id WHERE status = 'validated' GROUP BY id, invoice_number""",
     ),
 )
 def snk_validated_export(spark, d):
-    out = records.export_parts(B.invoices(spark, d), B.items(spark, d))
-    lines = F.col("lines")
-    return out.select(
-        "id", "part", "file_name",
-        F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("lines"),
-        F.coalesce(F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["quantity"]), F.lit(0)).cast("long").alias("quantity"),
-        F.coalesce(F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["total_cents"]), F.lit(0)).cast("long").alias("total_cents"),
+    """Writes the export to the shared folder and sums up what is read back."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    records.write_export(B.invoices(spark, d), B.items(spark, d), path)
+    headers, lines = records.read_export(spark, path)
+    sums = lines.groupBy("invoice_id").agg(F.count("*").alias("n"), F.sum("quantity").alias("q"), F.sum("total_cents").alias("c"))
+    zero = F.lit(0).cast("long")
+    return headers.join(sums, F.col("id") == F.col("invoice_id"), "left").select(
+        "id", "file_name", F.coalesce("n", zero).alias("lines"), F.coalesce("q", zero).alias("quantity"), F.coalesce("c", zero).alias("total_cents")
     )

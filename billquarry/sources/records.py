@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billquarry.functions.text import safe_filename
 
-LINES_PER_PART = 64
+#: Lines on a printed page.
+LINES_PER_PAGE = 64
 
 
 def document_record(df: DataFrame) -> DataFrame:
@@ -28,45 +29,34 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("document_type").parquet(path)
 
 
-def export_parts(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """Validated invoices with their lines nested, at most about 64 lines per exported part.
+def paged(lines: DataFrame) -> DataFrame:
+    """Adds ``page``: lines 1 to ``LINES_PER_PAGE`` of an invoice stand on page 0, the next ones on page 1, and so on.
 
-    Parts are chosen by row content, so one invoice holding a large share of all
-    lines becomes many export rows instead of one row collected in one task.
+    The rule is the same for every invoice and looks at the printed line number alone.
     """
-    validated = invoices.filter(F.col("status") == "validated").select("id", "invoice_number", "status", "cents")
-    spread = part_of_lines(lines, "invoice_id")
-    nested = spread.groupBy("invoice_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("line", "part_id", "source_id", "description", "quantity", "total_cents"))).alias("lines")
-    )
-    return (
-        validated.join(nested, validated["id"] == nested["invoice_id"], "left")
-        .drop("invoice_id")
-        .withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
-        .withColumn("file_name", F.concat(safe_filename(F.concat(F.lit("facture "), F.col("invoice_number"))), F.lit(".json")))
-    )
+    return lines.withColumn("page", F.floor((F.col("line") - 1) / LINES_PER_PAGE).cast("long"))
 
 
-def part_of_lines(lines: DataFrame, key: str) -> DataFrame:
-    """Adds ``part``: 0 for keys of ordinary size, spread by row content for large keys.
+def export_headers(invoices: DataFrame) -> DataFrame:
+    """Validated invoices with the name of their file."""
+    name = F.concat(safe_filename(F.concat(F.lit("facture "), F.col("invoice_number"))), F.lit(".json"))
+    return invoices.filter(F.col("status") == "validated").select("id", "invoice_number", "status", "cents", name.alias("file_name"))
 
-    Identical rows of a large key are counted before they are shuffled and dealt
-    out in runs of the limit, so that copies do not end in one part either. When
-    no key is large the second branch is empty and adaptive execution drops it.
-    """
-    large = (
-        lines.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > LINES_PER_PART)
-        .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / LINES_PER_PART).alias("_parts"))
-    )
-    ordinary = lines.join(large, F.col(key) == F.col("_key"), "left_anti").withColumn("part", F.lit(0).cast("long"))
-    crowded = lines.join(large, F.col(key) == F.col("_key")).drop("_key")
-    counted = crowded.groupBy(*lines.columns, "_parts").agg(F.count(F.lit(1)).alias("_copies"))
-    last_run = F.floor((F.col("_copies") - 1) / LINES_PER_PART)
-    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last_run)))
-    content = F.concat_ws("|", "part_id", "source_id", "line", "total_cents", "_run")
-    spread = runs.withColumn("part", F.conv(F.substring(F.md5(content), 1, 8), 16, 10).cast("long") % F.col("_parts"))
-    in_run = F.least(F.lit(LINES_PER_PART), F.col("_copies") - F.col("_run") * LINES_PER_PART).cast("int")
-    dealt = spread.withColumn("_i", F.explode(F.sequence(F.lit(1), in_run))).select(*lines.columns, "part")
-    return ordinary.unionByName(dealt)
+
+def export_lines(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines of validated invoices, one row each: an invoice of any length is never gathered."""
+    validated = invoices.filter(F.col("status") == "validated").select(F.col("id").alias("_id"))
+    return paged(lines.join(validated, F.col("invoice_id") == F.col("_id"), "left_semi"))
+
+
+def write_export(invoices: DataFrame, lines: DataFrame, path: str) -> None:
+    """Two folders below ``path``: ``headers``, a JSON object for each invoice, and ``lines``, one for each line."""
+    export_headers(invoices).write.mode("overwrite").json(f"{path}/headers")
+    export_lines(invoices, lines).write.mode("overwrite").json(f"{path}/lines")
+
+
+def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Headers and lines as ``write_export`` wrote them."""
+    headers = spark.read.schema("id long, invoice_number string, status string, cents long, file_name string").json(f"{path}/headers")
+    lines = spark.read.schema("invoice_id long, line long, page long, quantity long, total_cents long, part_id long, source_id long, description string").json(f"{path}/lines")
+    return headers, lines

@@ -145,22 +145,23 @@ def test_keyed_write_and_records(spark, tmp_path):
     assert back.count() == 2 and back.first()["status"] == "draft"
 
 
-def test_large_invoice_is_exported_in_parts(spark):
-    """One invoice with distinct lines, another whose lines are all the same."""
-    base = spark.range(1000).select(
-        F.when(F.col("id") < 500, 7).otherwise(8).cast("long").alias("invoice_id"), F.lit(1).alias("line"), F.lit("x").alias("description"),
-        F.lit(1).cast("long").alias("quantity"), F.when(F.col("id") < 500, F.col("id")).otherwise(3).alias("total_cents"), F.lit(5).cast("long").alias("part_id"), F.lit(1).cast("long").alias("source_id"),
-    )
-    invoices = spark.createDataFrame([(7, "000007", "validated", 100), (8, "000008", "validated", 100)], "id long, invoice_number string, status string, cents long")
-    got = records.export_parts(invoices, base).select("id", F.size("lines").alias("n")).collect()
-    for invoice in (7, 8):
-        sizes = [r["n"] for r in got if r["id"] == invoice]
-        assert sum(sizes) == 500 and len(sizes) > 3 and max(sizes) <= 256
+def test_every_invoice_is_paged_by_one_rule(spark):
+    """Invoices of 64, 65 and 500 lines: consecutive lines, pages of 64, nothing gathered."""
+    base = spark.range(500).select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in ((7, 64), (8, 65), (9, 500))])).alias("of"), "id")
+    lines = base.where("id < of.n").selectExpr("of.i AS invoice_id", "id + 1 AS line", "'x' AS description", "1L AS quantity", "3L AS total_cents", "5L AS part_id", "1L AS source_id")
+    invoices = spark.createDataFrame([(n, f"00000{n}", "validated", 100) for n in (7, 8, 9)], "id long, invoice_number string, status string, cents long")
+    got = records.export_lines(invoices, lines).groupBy("invoice_id", "page").agg(F.min("line").alias("low"), F.max("line").alias("high")).collect()
+    pages = {(r.invoice_id, r.page): (r.low, r.high) for r in got}
+    assert pages == {(i, p): (64 * p + 1, min(64 * p + 64, n)) for i, n in ((7, 64), (8, 65), (9, 500)) for p in range((n + 63) // 64)}
+    names = [r.file_name for r in records.export_headers(invoices).collect()]
+    assert len(set(names)) == len(names) == 3
 
 
 def test_json_lines_export_is_readable(spark, tmp_path):
     lines = spark.createDataFrame([(7, 1, "x", 1, 10, 1, 1)], "invoice_id long, line int, description string, quantity long, total_cents long, part_id long, source_id long")
     invoices = spark.createDataFrame([(7, "000007", "validated", 100), (8, "000008", "draft", 1)], "id long, invoice_number string, status string, cents long")
-    records.export_parts(invoices, lines).write.json(str(tmp_path / "j"))
-    rows = [json.loads(line) for f in (tmp_path / "j").glob("*.json") for line in f.read_text().splitlines()]
+    records.write_export(invoices, lines, str(tmp_path / "j"))
+    rows = [json.loads(line) for f in (tmp_path / "j" / "headers").glob("*.json") for line in f.read_text().splitlines()]
     assert [r["file_name"] for r in rows] == ["facture_000007.json"]
+    headers, back = records.read_export(spark, str(tmp_path / "j"))
+    assert [r.id for r in headers.collect()] == [7] and [(r.invoice_id, r.line, r.page) for r in back.collect()] == [(7, 1, 0)]

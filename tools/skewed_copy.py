@@ -7,8 +7,9 @@ import sys
 import duckdb
 
 CHANGES = {
-    "lineitem": "SELECT * REPLACE (CASE WHEN hash(l_partkey, l_suppkey, l_linenumber, l_quantity) % 3 = 0 THEN 5 ELSE l_orderkey END AS l_orderkey) FROM t"
-    " UNION ALL SELECT t.* REPLACE (5 AS l_orderkey) FROM (SELECT * FROM t LIMIT 1) t, range(200)",
+    # lines that move to one order are numbered anew, as on a printed invoice
+    "lineitem": "SELECT * REPLACE (CASE WHEN hot THEN 5 ELSE l_orderkey END AS l_orderkey, CASE WHEN hot THEN row_number() OVER (PARTITION BY hot) ELSE l_linenumber END AS l_linenumber)"
+    " EXCLUDE (hot) FROM (SELECT *, l_orderkey = 5 OR hash(l_partkey, l_suppkey, l_linenumber, l_quantity) % 3 = 0 AS hot FROM t)",
     "orders": "SELECT * REPLACE (CASE WHEN hash(o_orderkey) % 3 = 0 THEN 7 ELSE o_custkey END AS o_custkey,"
     " CASE WHEN hash(o_orderkey, 1) % 3 = 0 THEN 1000.5 ELSE o_totalprice END AS o_totalprice) FROM t",
     "events": "SELECT * REPLACE (CASE WHEN hash(event_id) % 3 = 0 THEN 3 ELSE user_id END AS user_id) FROM t",
