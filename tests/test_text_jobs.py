@@ -99,7 +99,9 @@ def test_overrides(spark):
     kinds = ["text", "text"] + ["table"] * 15
     passages = spark.createDataFrame([(1, i, k, "x") for i, k in enumerate(kinds)], "doc_id int, chunk_index int, kind string, text string")
     ranked = spark.createDataFrame([(1, "vendor_name", 1, 1, 2.0), (1, "vendor_name", 0, 2, 1.0), (1, "items", 5, 1, 1.0), (1, "date", 1, 1, 1.0)], "doc_id int, field string, chunk_index int, rank int, score double")
-    got = T.with_field_overrides(ranked, passages).collect()
+    got = T.with_field_overrides(ranked, passages, cap=12).collect()
+    every = sorted((r["rank"], r["chunk_index"], r["omitted"]) for r in T.with_field_overrides(ranked, passages).collect() if r["field"] == "items")
+    assert every == [(i + 1, i + 2, 0) for i in range(15)]
     vendor = sorted((r["rank"], r["chunk_index"]) for r in got if r["field"] == "vendor_name")
     table = sorted((r["rank"], r["chunk_index"], r["omitted"]) for r in got if r["field"] == "items")
     assert vendor == [(1, 0), (2, 1)]
