@@ -101,20 +101,25 @@ def hybrid(questions: DataFrame, passages: DataFrame, passage_keys: list[str], k
     return top_k(scored, ["qid"], [F.desc("score"), *[F.col(c) for c in passage_keys]], max(1, min(20, k)))
 
 
-def bm25(queries: DataFrame, passages: DataFrame, passage_keys: list[str], scope: list[str] | None = None) -> DataFrame:
+def bm25(queries: DataFrame, passages: DataFrame, passage_keys: list[str], scope: list[str] | None = None, asked: DataFrame | None = None) -> DataFrame:
     """BM25 of every (query, passage) sharing a term. Statistics are per scope (for example one document) or corpus-wide.
 
     Input: queries (qid, query), passages (keys, text). Only query terms survive
-    the first join, so what is shuffled is the postings of those terms.
+    the first join, so what is shuffled is the postings of those terms. ``asked``
+    (scope, qid) names the queries of each scope; then only those are scored, and
+    the result is linear in the passages.
     """
     scope = scope or []
     terms = queries.select("qid", F.explode(F.array_distinct(X.word_tokens(F.col("query")))).alias("term"))
+    key = ["term"]
+    if asked is not None:
+        terms, key = asked.join(terms, "qid"), [*scope, "term"]
     tokenised = passages.select(*passage_keys, X.word_tokens(F.col("text")).alias("_tokens")).withColumn("_len", F.size("_tokens"))
     stats = tokenised.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_total"))
-    wanted = terms.select("term").distinct()
+    wanted = terms.select(*key).distinct()
     tf = (
         tokenised.select(*passage_keys, "_len", F.explode("_tokens").alias("term"))
-        .join(wanted, "term")
+        .join(wanted, key)
         .groupBy(*passage_keys, "_len", "term")
         .agg(F.count(F.lit(1)).alias("_tf"))
     )
@@ -126,7 +131,7 @@ def bm25(queries: DataFrame, passages: DataFrame, passage_keys: list[str], scope
     average = F.col("_total") / F.col("_n")
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weight = idf * F.col("_tf") * (V.BM25_K1 + 1) / (F.col("_tf") + V.BM25_K1 * ((1 - V.BM25_B) + V.BM25_B * F.col("_len") / average))
-    return known.withColumn("_w", weight).join(terms, "term").groupBy("qid", *passage_keys).agg(F.sum("_w").alias("bm25"))
+    return known.withColumn("_w", weight).join(terms, key).groupBy("qid", *passage_keys).agg(F.sum("_w").alias("bm25"))
 
 
 def fused(bm25_scores: DataFrame, semantic: DataFrame, passage_keys: list[str], group: list[str], floor: float = 0.35) -> DataFrame:

@@ -91,16 +91,30 @@ def ret_index_documents(spark, d):
     return docs.select("doc_id", F.col("source").alias("filename"), F.length("text").alias("text_length")).join(counted, "doc_id")
 
 
+#: The question of each document: one of the benchmark items in turn.
+ASKED = "asked_of AS (SELECT doc_id, item_id AS qid FROM documents JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark))"
+
+
+def asked_of(spark, d):
+    count = B.table(spark, d, "benchmark").select(F.count("*").alias("n"))
+    numbered = B.documents(spark, d).select("doc_id", (F.col("doc_id") % count.scalar()).alias("qid"))
+    return numbered.join(questions(spark, d).select("qid"), "qid")
+
+
 def bm25_sql(scope: str) -> str:
-    """BM25 over chunks; statistics per scope column, or over the corpus when it is a constant."""
-    return f"""pt AS (SELECT doc_id, chunk_index, {folded_words('text')} AS tok FROM chunks),
+    """BM25 over chunks; statistics over the corpus when the scope is a constant, otherwise per document for the document's own question."""
+    own = scope == "doc_id"
+    terms = f"SELECT DISTINCT item_id AS qid, unnest({folded_words('text')}) AS term FROM benchmark"
+    if own:
+        terms = f"SELECT doc_id AS scope, qid, term FROM ({terms}) JOIN asked_of USING (qid)"
+    return f"""{ASKED + ', ' if own else ''}pt AS (SELECT doc_id, chunk_index, {folded_words('text')} AS tok FROM chunks),
  pl AS (SELECT doc_id, chunk_index, {scope} AS scope, len(tok) AS plen, tok FROM pt),
  st AS (SELECT scope, count(*) AS n, sum(plen) AS total FROM pl GROUP BY 1),
  tf AS (SELECT doc_id, chunk_index, scope, plen, term, count(*) AS tf FROM (SELECT doc_id, chunk_index, scope, plen, unnest(tok) AS term FROM pl) GROUP BY ALL),
- qterm AS (SELECT DISTINCT item_id AS qid, unnest({folded_words('text')}) AS term FROM benchmark),
+ qterm AS ({terms}),
  dfs AS (SELECT scope, term, count(*) AS df FROM tf GROUP BY 1, 2),
  bm AS (SELECT qid, doc_id, chunk_index, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * plen / (CAST(total AS DOUBLE) / n)))) AS bm25
-   FROM qterm JOIN tf USING (term) JOIN dfs USING (scope, term) JOIN st USING (scope) GROUP BY 1, 2, 3)"""
+   FROM qterm JOIN tf USING ({'scope, ' if own else ''}term) JOIN dfs USING (scope, term) JOIN st USING (scope) GROUP BY 1, 2, 3)"""
 
 
 @query("ret_bm25", B.with_ctes(CHUNK_ROWS, bm25_sql("1"), body="""SELECT qid, doc_id, chunk_index, round(bm25, 4) AS bm25, r AS rank FROM
@@ -115,18 +129,18 @@ def ret_bm25(spark, d):
 
 def document_scores(spark, d):
     asked = questions(spark, d).withColumnRenamed("question", "query")
-    return T.bm25(asked, corpus(spark, d), ["doc_id", "chunk_index"], ["doc_id"])
+    return T.bm25(asked, corpus(spark, d), ["doc_id", "chunk_index"], ["doc_id"], asked_of(spark, d))
 
 
 @query("win_topk_per_query", B.with_ctes(CHUNK_ROWS, bm25_sql("doc_id"), body="""SELECT qid, doc_id, chunk_index, round(bm25, 4) AS bm25, r AS rank FROM
     (SELECT *, row_number() OVER (PARTITION BY doc_id, qid ORDER BY round(bm25, 6) DESC, chunk_index) AS r FROM bm) WHERE r <= 3"""))
 def win_topk_per_query(spark, d):
-    """Statistics of one document each; the three best passages per document and question."""
+    """Statistics of one document each; the three best passages of every document for its question."""
     best = T.top_k(document_scores(spark, d), ["doc_id", "qid"], [F.desc(F.round("bm25", 6)), F.col("chunk_index")], 3)
     return best.withColumn("bm25", F.round("bm25", 4))
 
 
-FUSED = """fu AS (SELECT qid, doc_id, chunk_index, round(coalesce(bm25, 0), 6) AS b, round(coalesce(semantic, 0), 6) AS s FROM bm FULL JOIN sem USING (qid, doc_id, chunk_index) WHERE coalesce(bm25, 0) > 0 OR coalesce(semantic, 0) >= 0.35),
+FUSED = """fu AS (SELECT qid, doc_id, chunk_index, round(coalesce(bm25, 0), 6) AS b, round(coalesce(semantic, 0), 6) AS s FROM bm FULL JOIN (SELECT sem.* FROM sem JOIN asked_of USING (doc_id, qid)) AS own USING (qid, doc_id, chunk_index) WHERE coalesce(bm25, 0) > 0 OR coalesce(semantic, 0) >= 0.35),
  rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, qid ORDER BY b DESC, chunk_index) AS lexical_rank, row_number() OVER (PARTITION BY doc_id, qid ORDER BY s DESC, chunk_index) AS semantic_rank FROM fu)"""
 
 
@@ -134,7 +148,8 @@ def fused_scores(spark, d):
     chunks = corpus(spark, d)
     asked = questions(spark, d)
     keys = ["doc_id", "chunk_index"]
-    semantic = T.sparse_cosine(T.hash_weights(asked, ["qid"], "question"), T.hash_weights(chunks, keys), ["qid"], keys)
+    weights = asked_of(spark, d).join(T.hash_weights(asked, ["qid"], "question"), "qid")
+    semantic = T.sparse_cosine(weights, T.hash_weights(chunks, keys), ["doc_id", "qid"], keys, ["doc_id"])
     return T.fused(document_scores(spark, d), semantic, keys, ["doc_id", "qid"])
 
 
