@@ -16,6 +16,30 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _STRIP, "")
 
 
+#: Pieces gathered in an inner array before it is put away: appending to a fold copies at most so many references.
+_INNER = 256
+
+
+def _no_pieces(kind: str) -> list[Column]:
+    """Fields of a fold that gathers pieces of a type: full inner arrays, and the one being filled."""
+    return [F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("filling")]
+
+
+def _with_piece(acc: Column, piece: Column, ready: Column) -> list[Column]:
+    """The two fields after ``piece``, which counts where ``ready`` holds."""
+    turn = ready & (F.size(acc["filling"]) >= _INNER)
+    return [
+        F.when(turn, F.concat(acc["full"], F.array(acc["filling"]))).otherwise(acc["full"]).alias("full"),
+        F.when(turn, F.array(piece)).when(ready, F.concat(acc["filling"], F.array(piece))).otherwise(acc["filling"]).alias("filling"),
+    ]
+
+
+def _pieces(acc: Column, last: Column, ready: Column) -> Column:
+    """All pieces in order, and the last one where ``ready`` holds."""
+    rest = F.when(ready, F.concat(acc["filling"], F.array(last))).otherwise(acc["filling"])
+    return F.flatten(F.concat(acc["full"], F.array(rest)))
+
+
 def pages_of(text: Column) -> Column:
     """Array of (page, text); without markers one page without a number; empty pages are dropped."""
     marker = X.IU + r"---\s*Page\s+\d+\s*---"
@@ -34,18 +58,16 @@ def pages_of(text: Column) -> Column:
 def chunk_texts(text: Column, size: int = V.CHUNK_CHARS, overlap: int = V.CHUNK_OVERLAP) -> Column:
     """Blank-line paragraphs packed up to the size; longer blocks cut into overlapping windows."""
     paragraphs = F.filter(F.transform(F.split(text, X.U + r"\n\s*\n"), strip), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("current"))
+    start = F.struct(*_no_pieces("string"), F.lit("").alias("current"))
 
     def pack(acc: Column, p: Column) -> Column:
         fits = F.length(acc["current"]) + F.length(p) + 2 <= size
         return F.struct(
-            F.when((acc["current"] == "") | fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["current"]))).alias("done"),
+            *_with_piece(acc, acc["current"], (acc["current"] != "") & ~fits),
             F.when(acc["current"] == "", p).when(fits, F.concat(acc["current"], F.lit("\n\n"), p)).otherwise(p).alias("current"),
         )
 
-    blocks = F.aggregate(
-        paragraphs, start, pack, lambda acc: F.when(acc["current"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["current"])))
-    )
+    blocks = F.aggregate(paragraphs, start, pack, lambda acc: _pieces(acc, acc["current"], acc["current"] != ""))
     step = size - overlap
 
     def cut(block: Column) -> Column:
@@ -69,7 +91,7 @@ def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
 
 
 _LINE = "struct<local:int,gl:int,text:string,tab:boolean>"
-_DONE = "array<struct<page:int,lines:array<" + _LINE + ">>>"
+_PASSAGE = "struct<page:int,lines:array<" + _LINE + ">>"
 
 
 def line_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_chars: int = V.PASSAGE_CHARS) -> DataFrame:
@@ -84,11 +106,11 @@ def line_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_
     )
     none = F.array().cast(f"array<{_LINE}>")
     start = F.struct(
-        F.lit(1).alias("page"), F.lit(0).alias("local"), F.lit(False).alias("tab"), none.alias("pending"), F.array().cast(_DONE).alias("done")
+        F.lit(1).alias("page"), F.lit(0).alias("local"), F.lit(False).alias("tab"), none.alias("pending"), *_no_pieces(_PASSAGE)
     )
 
-    def flush(acc: Column, pending: Column) -> Column:
-        return F.when(F.size(pending) > 0, F.concat(acc["done"], F.array(F.struct(acc["page"].alias("page"), pending.alias("lines"))))).otherwise(acc["done"])
+    def passage(acc: Column) -> Column:
+        return F.struct(acc["page"].alias("page"), acc["pending"].alias("lines"))
 
     def step(acc: Column, x: Column) -> Column:
         tab = F.coalesce(x["border"], acc["tab"])
@@ -104,10 +126,10 @@ def line_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_
             F.when(marker, 0).otherwise(acc["local"] + 1).alias("local"),
             tab.alias("tab"),
             F.when(marker, none).when(blank, pending).otherwise(F.concat(kept, F.array(line))).alias("pending"),
-            F.when(marker | (~blank & (border | full)), flush(acc, pending)).otherwise(acc["done"]).alias("done"),
+            *_with_piece(acc, passage(acc), (F.size(pending) > 0) & (marker | (~blank & (border | full)))),
         )
 
-    found = F.aggregate(lines, start, step, lambda acc: flush(acc, acc["pending"]))
+    found = F.aggregate(lines, start, step, lambda acc: _pieces(acc, passage(acc), F.size(acc["pending"]) > 0))
     rows = docs.select(doc, F.posexplode(found).alias("chunk_index", "_p"))
     first, last = F.get("_p.lines", F.lit(0)), F.element_at("_p.lines", -1)
     return rows.select(
@@ -139,14 +161,11 @@ def section_passages(lines: DataFrame, doc: str = "doc_id", max_chars: int = V.C
     start = F.struct(
         F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("block"), F.lit(0).alias("page"), F.lit(0).alias("group"),
         F.array().cast(f"array<{line_type}>").alias("header"), F.array().cast(f"array<{line_type}>").alias("pending"), F.lit(0).alias("size"),
-        F.array().cast(f"array<{part}>").alias("done"),
+        *_no_pieces(part),
     )
 
-    def emit(acc: Column) -> Column:
-        return F.when(
-            F.size(acc["pending"]) > 0,
-            F.concat(acc["done"], F.array(F.struct(acc["section"].alias("section"), acc["group"].alias("group"), acc["pending"].alias("lines")))),
-        ).otherwise(acc["done"])
+    def piece(acc: Column) -> Column:
+        return F.struct(acc["section"].alias("section"), acc["group"].alias("group"), acc["pending"].alias("lines"))
 
     def step(acc: Column, x: Column) -> Column:
         line, hint = x["line"], x["hint"]
@@ -163,10 +182,10 @@ def section_passages(lines: DataFrame, doc: str = "doc_id", max_chars: int = V.C
         return F.struct(
             section.alias("section"), line["block"].alias("block"), line["page"].alias("page"),
             F.when(new_group, acc["group"] + 1).otherwise(acc["group"]).alias("group"), header.alias("header"), pending.alias("pending"),
-            size.alias("size"), F.when(new_group | full, emit(acc)).otherwise(acc["done"]).alias("done"),
+            size.alias("size"), *_with_piece(acc, piece(acc), (new_group | full) & (F.size(acc["pending"]) > 0)),
         )
 
-    found = F.aggregate(hinted, start, step, emit)
+    found = F.aggregate(hinted, start, step, lambda acc: _pieces(acc, piece(acc), F.size(acc["pending"]) > 0))
     rows = ordered.select(doc, F.posexplode(found).alias("chunk_index", "_p"))
     payload = F.array_join(F.transform("_p.lines", lambda r: r["text"]), "\n")
     ids = F.array_join(F.transform("_p.lines", lambda r: r["line_id"].cast("string")), ",")

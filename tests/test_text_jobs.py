@@ -3,6 +3,7 @@
 import json
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -167,3 +168,18 @@ def test_json_lines_export_is_readable(spark, tmp_path):
     assert [r["file_name"] for r in rows] == ["facture_000007.json"]
     headers, back = records.read_export(spark, str(tmp_path / "j"))
     assert [r.id for r in headers.collect()] == [7] and [(r.invoice_id, r.line, r.page) for r in back.collect()] == [(7, 1, 0)]
+
+
+def test_long_document_is_cut_in_linear_time(spark):
+    """40,000 paragraphs: gathered pieces are put away in blocks, so that no step copies all of them."""
+    text = "\n".join(f"line {i}" + ("\n" if i % 3 == 0 else "") for i in range(120_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    count, longest = P.chunks(docs).select(F.count("*"), F.max(F.length("text"))).first()
+    assert count > 1000 and longest <= 900 and time.time() - start < 60
+
+
+def test_passages_cover_every_line_beyond_one_block(spark):
+    text = "\n".join(f"line {i}" for i in range(3000))
+    found = P.line_passages(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("line_start", "line_end").collect()
+    assert len(found) > 2 * 256 and {n for r in found for n in range(r.line_start, r.line_end + 1)} == set(range(1, 3001))
