@@ -372,11 +372,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = stash(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     for _ in range(most_rounds):
+        # written tables on both sides: adaptive execution can split a join only where it is fed by shuffles alone
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"))
+        lowest = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m")), "links-lowest")
         hung = both.where(F.col("b") > F.col("a")).join(lowest, F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        hung = hung.where(F.col("a") != F.col("b")).distinct()
-        lowest = hung.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), "m")
+        hung = stash(hung.where(F.col("a") != F.col("b")).distinct(), "links-hung")
+        lowest = stash(hung.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), "m"), "links-lowest")
         below = hung.join(lowest, F.col("a") == F.col("at"))
         edges = stash(
             below.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select(F.col("at").alias("a"), F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct(),
@@ -398,10 +399,10 @@ def _grouped(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> DataFrame:
     hashed = stash(hashed, "simhash")
     distinct = stash(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     found = components(links(distinct, plan))
-    named = found.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = stash(found.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-named")
     linked = stash(found.join(named, "root").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked")), "simhash-linked")
     of_each = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
-    return hashed.join(of_each, "fp")
+    return hashed.join(stash(of_each, "simhash-components"), "fp")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
