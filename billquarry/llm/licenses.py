@@ -109,7 +109,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     )
     of_method = verified.groupBy("text_hash").agg(F.collect_set("label").alias("method_set"))
     of_votes = shares.groupBy("text_hash").agg(F.max("share").alias("share"))
-    results = of_votes.join(of_base, "text_hash", "full").join(of_method, "text_hash", "left")
+    # written down, so that the last join is fed by shuffles alone and a text of many documents can be split
+    results = stash(of_votes.join(of_base, "text_hash", "full").join(of_method, "text_hash", "left"), "license-results")
     joined = read.select("doc_id", "text_hash", "n_words").join(results, "text_hash", "left")
     none = F.expr("CAST(array() AS array<string>)")
     return joined.select(
