@@ -159,6 +159,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # a missing id is ignored by min and max: a run with ids has its first among them
     several = each.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max(F.col("doc_id").isNull()).alias("without_id"))
     several = several.where((F.col("first_id") != F.col("last_id")) | F.col("first_id").isNotNull() & F.col("without_id")).select("hash", "first_id")
+    several = stash(several, "repeated-runs")  # the join below is then fed by shuffles alone, and a hot run can be split
     other = each.join(several, "hash").where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_hash", "span")
     own = held.where(F.size("again") > 0).select("doc_id", "text_hash", F.explode("again").alias("span"))
     # the spans of one text: as many as it has sentences, twice at most
