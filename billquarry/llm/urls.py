@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from billquarry.llm.shared import stash
+
 #: Hexadecimal digits of the digest that rules and expressions are joined on.
 PREFIX = 8
 
@@ -63,6 +65,7 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", url: str
     first = F.struct(F.length("rule"), "host_length", "verdict")  # block comes after allow
     best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), first).alias("best"))
     fitting = best.select(F.col("host").alias("fit_host"), F.col("path").alias("fit_path"), F.col("best.rule").alias("fit_rule"), F.col("best.verdict").alias("fit_verdict"))
+    fitting = stash(fitting, "fitting-rules")  # the join below is then fed by shuffles alone, and a hot place can be split
     row = pages.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), host_of(value).alias("host"), path_of(value).alias("path"))
     joined = row.join(fitting, (F.col("host") == F.col("fit_host")) & (F.col("path") == F.col("fit_path")), "left")
     return joined.select(
