@@ -76,6 +76,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     )
     values = found.select("value", F.explode(runs).alias("word")).distinct()
     covering = values.join(known, "word").groupBy("value").agg(F.sum(F.length("word")).alias("covering"))
+    covering = stash(covering, "covered-values")  # the join below is then fed by shuffles alone, and a hot value can be split
 
     def count(pattern: str) -> Column:
         return F.regexp_count("value", F.lit(pattern)).cast("double")
