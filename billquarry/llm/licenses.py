@@ -83,28 +83,29 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     places = stash(places, "license-places")
     held_by = read.where("hits IS NOT NULL").select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").agg(F.count("*").alias("held_by"))
 
+    # the tables of templates and phrases are constants of this module: they are broadcast, and no key of theirs is a task
     of_templates, of_phrases = postings()
     known = spark.createDataFrame(of_templates, "template int, label string, size int, word string, at int")
     ranked = known.join(held_by, "word", "left").withColumn(
         "rank", F.expr("row_number() OVER (PARTITION BY template ORDER BY coalesce(held_by, 0), at)")
     )
     rare = ranked.where(F.col("rank") <= RARE).select("template", "label", "size", "word", "at", F.expr("count(*) OVER (PARTITION BY template)").alias("of"))
-    votes = places.join(rare, "word").groupBy("text_hash", "template", "label", "size", "of", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
+    votes = places.join(F.broadcast(rare), "word").groupBy("text_hash", "template", "label", "size", "of", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
 
     phrases = spark.createDataFrame(of_phrases, "phrase string, words int, word string, at int")
-    found = places.join(phrases, "word").groupBy("text_hash", "phrase", "words", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
+    found = places.join(F.broadcast(phrases), "word").groupBy("text_hash", "phrase", "words", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
     found = stash(found.where("n = words").select("text_hash", "phrase", "words", "start"), "license-phrases")
 
     needed = spark.createDataFrame([(n, p, len(ps)) for n, (_, _, ps) in enumerate(TEMPLATES) for p in ps], "template int, phrase string, needs int")
     shares = votes.withColumn("share", F.col("votes") / F.col("of"))
     candidates = shares.where(100 * F.col("votes") >= SHARE * F.col("of")).alias("c")
-    inside = candidates.join(needed.alias("n"), "template").join(found.alias("f"), ["text_hash", "phrase"]).where(
+    inside = candidates.join(F.broadcast(needed.alias("n")), "template").join(found.alias("f"), ["text_hash", "phrase"]).where(
         f"f.start >= c.start - {SLACK} AND f.start + f.words <= c.start + c.size + {SLACK}"
     )
     verified = inside.groupBy("text_hash", "template", "label", "needs", F.col("c.start").alias("start")).agg(F.countDistinct("phrase").alias("have")).where("have = needs")
 
     base = spark.createDataFrame(list(BASE_PHRASES.items()), "phrase string, base_label string")
-    of_base = found.join(base, "phrase").groupBy("text_hash").agg(
+    of_base = found.join(F.broadcast(base), "phrase").groupBy("text_hash").agg(
         F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set("base_label").alias("base_set")
     )
     of_method = verified.groupBy("text_hash").agg(F.collect_set("label").alias("method_set"))
