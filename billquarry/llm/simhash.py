@@ -6,6 +6,10 @@ are keyed by their integer Hamming distance to the parent, and a search follows
 the radius of the distance just seen. A shard too large for one tree is cut into parts, and each part's
 tree is sent to every other part of its shard, so that no task holds more than two parts of a shard.
 Within a unit links are merged at once; at most one link a fingerprint and tree group leaves it.
+
+A plan with a Jaccard similarity takes what the trees find as candidates only. Of each unit the shortest links that keep
+it together are compared by their shingle sets first; then every other candidate pair whose ends are not yet in one
+component is. So each link is exact, and copies of one text do not make all their pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ class Plan:
     otherwise a pair that differs in d bits meets with a probability of about
     ``1 - (1 - (1 - d / bits) ** (bits / bands)) ** (bands * layouts)`` (for a match of 1): bands are cut from ``layouts``
     different orders of the bits. ``part`` is the most fingerprints in one tree.
+
+    With a ``jaccard`` pairs within ``reach`` bits are candidates, and those whose shingle sets are at least that similar
+    are linked; ``radius`` is then the distance to be expected at that similarity.
     """
 
     words: int = 4
@@ -45,13 +52,18 @@ class Plan:
     match: int = 2
     layouts: int = 1
     part: int = 4096
+    reach: int = 0
+    jaccard: float = 0.0
 
 
 #: Fingerprints of the contract: no link is missed.
 EXACT = Plan()
 #: Five words and a Jaccard similarity of 0.8: shingle sets that alike differ in about 39 of 256 bits
-#: (1 / pi * acos(2 * 0.8 / 1.8) of them). A pair that differs in 40 bits meets with 99.7 %, one in 25 bits with 99.9999 %.
-JACCARD_80 = Plan(words=5, bits=256, radius=40, bands=21, match=1, layouts=2)
+#: (1 / pi * acos(2 * 0.8 / 1.8) of them), with a deviation of about 6. A pair that differs in 40 bits meets with 99.98 %,
+#: one in 50 bits with 99 %, one in 60 bits with 91 %.
+JACCARD_80 = Plan(words=5, bits=256, radius=40, bands=21, match=1, layouts=3, reach=60, jaccard=0.8)
+#: Candidate pairs of a unit held before they are reduced to the shortest links.
+HELD = 1 << 21
 
 
 def _shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -160,6 +172,21 @@ def with_fingerprints(docs: DataFrame, plan: Plan, name: str, text: str = "text"
     return docs.withColumn(name, fingerprint(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _with_nodes(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``docs`` with a column ``fp``: the fingerprint and, if links are confirmed, a hash of the lower-case words behind it."""
+    if not plan.jaccard:
+        return with_fingerprints(docs, plan, "fp")
+
+    @F.pandas_udf("binary")
+    def node(texts):
+        import pandas as pd
+
+        words = [b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) if isinstance(t, str) else b"" for t in texts]
+        return pd.Series([row.tobytes() + xxhash.xxh64_digest(w) for row, w in zip(fingerprints_of(list(texts), plan).astype("<u8"), words)])
+
+    return docs.withColumn("fp", node(F.coalesce(F.col("text"), F.lit(""))))
+
+
 # --- shards ---------------------------------------------------------------------------------------------------------
 
 
@@ -167,7 +194,8 @@ def _words_of(column: pa.Array, plan: Plan) -> np.ndarray:
     """Fingerprint column as rows of 64-bit words."""
     if plan.bits == 64:
         return np.asarray(column.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64).reshape(-1, 1)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, plan.bits // 64)
+    wide = plan.bits // 64
+    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, wide + bool(plan.jaccard))[:, :wide])
 
 
 def _column_of(words: np.ndarray, plan: Plan) -> pa.Array:
@@ -213,7 +241,7 @@ def _shards(plan: Plan):
                     key = np.full(len(words), layout * len(groups) + n, dtype=np.int64)
                     for g in group:
                         key = (key << width) | bands[g]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], ["shard", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["shard", *batch.schema.names])
 
     return emit
 
@@ -306,28 +334,97 @@ def _links(plan: Plan):
             return None
         return pa.RecordBatch.from_arrays([_column_of(words[linked], plan), _column_of(words[label[linked]], plan)], ["a", "b"])
 
+    def found(columns: list[np.ndarray], unit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if (batch := unit_links(_words_of(pa.array(columns[4]), plan), unit, columns[3])) is not None:
+            yield batch
+
+    return _over_units(found)
+
+
+def _shortest(count: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which pairs make a shortest spanning forest of ``count`` rows."""
+    label, taken = np.arange(count), []
+    order = np.argsort(apart, kind="stable")
+    for layer in np.split(order, np.flatnonzero(np.diff(apart[order])) + 1):
+        while True:
+            x, y = label[a[layer]], label[b[layer]]
+            layer, low, high = layer[x != y], np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+            if not len(layer):
+                break
+            hung, first = np.unique(high, return_index=True)  # each goes below a smaller one: no circles
+            taken.append(layer[first])
+            label[hung] = low[first]
+            while not ((further := label[label]) == label).all():
+                label = further
+    return np.concatenate(taken) if taken else np.empty(0, dtype=np.int64)
+
+
+def _candidates(plan: Plan, labelled: bool):
+    """Pairs within reach: of each unit the shortest that keep it together, or all whose ends have different labels."""
+
+    def found(columns: list[np.ndarray], unit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        role, nodes = columns[3], columns[4]
+        tree, asks = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
+        if not len(tree) or not len(asks):
+            return
+        words = _words_of(pa.array(nodes), plan)
+        forest = Forest(words[tree], unit[tree], plan.bits)
+        held: list[tuple[np.ndarray, ...]] = []
+        room = 0
+
+        def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a].tolist(), type=pa.binary()), pa.array(nodes[b].tolist(), type=pa.binary())], ["a", "b"])
+
+        def reduced() -> tuple[np.ndarray, ...]:
+            a, b, apart = (np.concatenate(c) for c in zip(*held))
+            some = _shortest(len(nodes), a, b, apart)
+            return a[some], b[some], apart[some]
+
+        for query, node in forest.search(words[asks], unit[asks], plan.reach):
+            a, b = asks[query], tree[node]
+            once = (a < b) | (role[a] == 2)  # rows that are both in the tree and looked up are found from either side
+            a, b = a[once], b[once]
+            if labelled:
+                new = columns[5][a] != columns[5][b]
+                if new.any():
+                    yield batch(a[new], b[new])
+                continue
+            held.append((a, b, _distance(words[a], words[b])))
+            room += len(a)
+            if room > HELD:
+                held = [reduced()]
+                room = len(held[0][0])
+        if held:
+            a, b, _ = reduced()
+            if len(a):
+                yield batch(a, b)
+
+    return _over_units(found)
+
+
+def _over_units(found_in):
+    """Gathers rows sorted by unit and calls ``found_in`` with their columns and unit numbers, complete units at a time."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            held.append((*ids, _words_of(batch.column(4), plan)))
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             rows += batch.num_rows
             if rows < ROWS:
                 continue
             columns = [np.concatenate(c) for c in zip(*held)]
             number = _numbered(columns)
             whole = number < number[-1]  # the last unit may go on in the next batch
-            if whole.any() and (found := unit_links(columns[4][whole], number[whole], columns[3][whole])) is not None:
-                yield found
+            if whole.any():
+                yield from found_in([c[whole] for c in columns], number[whole])
             held = [tuple(c[~whole] for c in columns)]
             rows = int((~whole).sum())
         if held:
             columns = [np.concatenate(c) for c in zip(*held)]
-            if (found := unit_links(columns[4], _numbered(columns), columns[3])) is not None:
-                yield found
+            yield from found_in(columns, _numbered(columns))
 
     return search
 
@@ -346,21 +443,77 @@ def links(fingerprints: DataFrame, plan: Plan) -> DataFrame:
     ``fingerprints``: distinct, in a column ``fp``.
     """
     kind = fingerprints.schema["fp"].dataType.simpleString()
-    sharded = fingerprints.select("fp").mapInArrow(_shards(plan), f"shard long, fp {kind}")
+    return _units(fingerprints.select("fp"), plan).mapInArrow(_links(plan), f"a {kind}, b {kind}")
+
+
+def _units(fingerprints: DataFrame, plan: Plan) -> DataFrame:
+    """Rows of every unit: shard, low and high part, role, ``fp`` and what else the rows have."""
+    given = [(c.name, c.dataType.simpleString()) for c in fingerprints.schema]
+    names = [c for c, _ in given]
+    sharded = fingerprints.mapInArrow(_shards(plan), "shard long, " + ", ".join(f"{c} {t}" for c, t in given))
     large = stash(sharded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > plan.part), "simhash-large")
     parts = large.select("shard", F.ceil(F.col("n") / plan.part).cast("int").alias("parts"))
     own = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))
     units = (
         sharded.join(parts, "shard", "left")
-        .select("shard", "fp", own.alias("own"), others.alias("other"))
+        .select("shard", *names, own.alias("own"), others.alias("other"))
         .select(
             "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"), "fp",
+            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"), *names,
         )
     )
-    dealt = units.repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high", "role")
-    return dealt.mapInArrow(_links(plan), f"a {kind}, b {kind}")
+    return units.repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high", "role")
+
+
+def _shingle_sets(plan: Plan):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *_shingle_hashes(t, plan.words)])).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return rows
+
+
+def _alike(plan: Plan):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= plan.jaccard * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return rows
+
+
+def confirmed_links(source: DataFrame, distinct: DataFrame, plan: Plan) -> DataFrame:
+    """Links (``a``, ``b``) that join every pair of candidates at least as similar as ``plan.jaccard`` into one component.
+
+    ``source``: ``doc_id``, ``text``. ``distinct``: ``fp`` and, of one row that has it, ``row`` (id and hash of the text).
+    """
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        # written tables on all sides, so that a text in many pairs can be split
+        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        return stash(both.select("a", "b", "of_a", "of_b").mapInArrow(_alike(plan), "a binary, b binary"), "simhash-alike")
+
+    def pairs_of(rows: DataFrame, labelled: bool) -> DataFrame:
+        found = _units(rows, plan).mapInArrow(_candidates(plan, labelled), "a binary, b binary")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    first = stash(pairs_of(distinct.select("fp"), False), "simhash-shortest")
+    nodes = stash(first.select(F.col("a").alias("fp")).unionByName(first.select(F.col("b").alias("fp"))).distinct(), "simhash-nodes")
+    rows = nodes.join(distinct, "fp").select("fp", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash"))
+    texts = source.join(rows, (F.xxhash64("text") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("fp", "text")
+    sets = stash(texts.mapInArrow(_shingle_sets(plan), "node binary, shingles array<long>").dropDuplicates(["node"]), "simhash-sets")
+    sure = alike(first)
+    known = components(sure).select(F.col("node").alias("fp"), F.xxhash64("root").alias("label"))
+    labelled = stash(nodes.join(known, "fp", "left").select("fp", F.coalesce("label", F.xxhash64("fp")).alias("label")), "simhash-labels")
+    others = stash(pairs_of(labelled, True).join(first, ["a", "b"], "left_anti"), "simhash-others")
+    return sure.unionByName(alike(others))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -395,10 +548,10 @@ def _grouped(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``text_hash``, ``fp`` and ``component_id`` of every row."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    hashed = with_fingerprints(source, plan, "fp").select("doc_id", F.xxhash64("text").alias("text_hash"), "fp")
-    hashed = stash(hashed, "simhash")
-    distinct = stash(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    found = components(links(distinct, plan))
+    hashed = stash(_with_nodes(source, plan).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp"), "simhash")
+    row = [F.max(F.struct("doc_id", "text_hash")).alias("row")] if plan.jaccard else []
+    distinct = stash(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *row), "simhash-distinct")
+    found = components(confirmed_links(source, distinct, plan) if plan.jaccard else links(distinct, plan))
     named = stash(found.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-named")
     linked = stash(found.join(named, "root").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked")), "simhash-linked")
     of_each = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
@@ -413,7 +566,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT, doc_id: str = "doc_id",
     are linked like any other; a text with fewer words than a shingle is one shingle. Repeated rows stay.
     """
     digits: Column = F.lower(F.lpad(F.hex("fp"), plan.bits // 4, "0"))
-    return _grouped(docs, plan, doc_id, text).select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _grouped(docs, plan, doc_id, text).select("doc_id", F.substring(digits, 1, plan.bits // 4).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, plan: Plan = JACCARD_80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -115,3 +115,36 @@ def test_one_row_of_each_group_stays(spark):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 9, None]
     assert simhash.keep_first(docs.where("false")).count() == 0
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    chance = random.Random(11)
+    word = lambda: f"v{chance.randrange(10**6)}"
+    rows = []
+    for g in range(120):  # copies with 2 to 12 of 200 words changed: similarities from 0.5 to 0.95
+        base = [word() for _ in range(200)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(2):
+            copy = list(base)
+            for at in chance.sample(range(0, 200, 7), chance.randrange(2, 13)):
+                copy[at] = word()
+            rows.append((len(rows), " ".join(copy)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    want = {i: i for i, _ in rows}
+    for g in range(0, len(rows), 3):
+        linked = [(a, b) for a in range(g, g + 3) for b in range(a) if b >= g and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        for a, b in [*linked, *linked]:
+            want[a] = want[b] = min(want[a], want[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.JACCARD_80).collect()}
+    assert got == want and len(set(want.values())) > 150
+
+
+def test_shortest_pairs_keep_rows_together():
+    chance = np.random.default_rng(5)
+    a, b, apart = chance.integers(0, 60, 400), chance.integers(0, 60, 400), chance.integers(0, 9, 400)
+    some = simhash._shortest(60, a, b, apart)
+    for most in range(9):
+        near, kept = apart <= most, some[apart[some] <= most]
+        label, of_kept = simhash._merge(np.arange(60), a[near], b[near]), simhash._merge(np.arange(60), a[kept], b[kept])
+        assert (label == of_kept).all() and len(kept) == 60 - len(set(label.tolist()))
