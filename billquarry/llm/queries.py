@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billquarry.llm import decontamination, licenses, packing, quality, secrets, simhash, spans, tokens, urls, wrappers
+from billquarry.llm import decontamination, licenses, manifest, minhash, packing, phrases, quality, secrets, simhash, spans, tokens, urls, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -198,3 +198,114 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op3_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Text of every document without the passages that an earlier place holds."""
     return spans.remove_repeats(table(spark, folder, "documents"))
+
+
+#: Lower-case letters and no others, as the contracts ask for.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MINHASH_SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+),
+shingles AS (
+  SELECT DISTINCT rid, array_to_string(ws[p:p + 3], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS p FROM texts)
+),
+sizes AS (SELECT rid, COUNT(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM shingles GROUP BY rid),
+nodes AS (SELECT k, MIN(rid) AS node, MAX(n) AS n FROM sizes GROUP BY k),
+held AS (SELECT s, rid AS node FROM shingles WHERE rid IN (SELECT node FROM nodes)),
+common AS (SELECT a.node AS a, b.node AS b, COUNT(*) AS c FROM held a JOIN held b ON a.s = b.s AND a.node < b.node GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN ways l ON r.b = l.a),
+rows_of AS (SELECT s.rid, n.node, t.doc_id FROM sizes s JOIN nodes n USING (k) JOIN texts t ON t.rid = s.rid),
+lowest AS (SELECT node, MIN(doc_id) AS first_id FROM rows_of GROUP BY node),
+roots AS (SELECT a AS node, MIN(first_id) AS component_id FROM reached JOIN lowest ON node = b GROUP BY a)
+SELECT t.doc_id, COALESCE(s.n, 0) AS n_shingles, CASE WHEN s.rid IS NULL THEN t.doc_id ELSE component_id END AS component_id,
+  t.doc_id IS NOT DISTINCT FROM CASE WHEN s.rid IS NULL THEN t.doc_id ELSE component_id END AS kept
+FROM texts t LEFT JOIN sizes s USING (rid) LEFT JOIN nodes n USING (k) LEFT JOIN roots r ON r.node = n.node"""
+
+
+@query("op11_minhash_components", _MINHASH_SQL)
+def op11_minhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of four-word shingle sets with 80 percent of their union in common."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), minhash.FOUR_WORDS)
+
+
+def _phrases_sql() -> str:
+    plan = phrases.COLLOCATIONS
+    return f"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+),
+split AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, SUM(len(ws))::BIGINT AS n FROM split GROUP BY lang),
+placed AS (SELECT pid, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM split),
+grown AS (SELECT lang, w AS p1, {", ".join(f"p{k - 1} || ' ' || w{k} AS p{k}" for k in range(2, plan.longest + 1))} FROM (
+  SELECT lang, w AS p1, w, {", ".join(f"LEAD(w, {k - 1}) OVER o AS w{k}" for k in range(2, plan.longest + 1))} FROM placed WINDOW o AS (PARTITION BY pid ORDER BY p))),
+often AS (
+  {" UNION ALL ".join(f"SELECT lang, {k} AS size, p{k} AS phrase, COUNT(*)::BIGINT AS f FROM grown WHERE p{k} IS NOT NULL GROUP BY ALL HAVING COUNT(*) >= {plan.least}" for k in range(1, plan.longest + 1))}
+),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM often WHERE size > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.ws, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS score
+  FROM candidates c JOIN range(1, {plan.longest}) AS t(k) ON k < c.size
+  JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ') JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:], ' ')
+),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, a, array_to_string(ws[p:p + n - 1], ' ') AS phrase FROM candidates, range(2, {plan.longest}) AS s(n), range(1, {plan.longest}) AS t(p) WHERE n < size AND p + n - 1 <= size
+),
+longer AS (SELECT lang, phrase, MAX(a) AS most FROM inner_parts GROUP BY ALL)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, w.a DESC, w.phrase) AS rank, w.phrase, w.a, l, r, n, score::BIGINT AS score
+FROM worst w JOIN totals USING (lang) LEFT JOIN longer g ON g.lang = w.lang AND g.phrase = w.phrase
+WHERE most IS NULL OR 100::HUGEINT * most < {plan.contained}::HUGEINT * w.a
+QUALIFY rank <= {plan.top}"""
+
+
+@query("op12_phrase_mining", _phrases_sql())
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of two to four words of every language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def _manifest_sql(levels: int = 12, over: int = 4) -> str:
+    """Levels are written out one by one: ``levels`` in a language and ``over`` of languages suffice for 8 to their power."""
+    encoded = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(encoded(text if c == "text" else c) for c in manifest.COLUMNS) + ")"
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda crc, byte: "
+        "list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+    )
+    steps = [f"""
+leaves AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE('=' || lang, '') AS tree, {leaf('text')} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS claimed FROM documents),
+n0 AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, COUNT(*) OVER (PARTITION BY tree) AS total, leaf AS h, rid FROM leaves),
+w0 AS (SELECT rid, tree, pos, '' AS proof, COALESCE(claimed, leaf) AS folded FROM n0 JOIN leaves USING (rid, tree))"""]
+
+    def level(nodes: str, paths: str, name: str, top: int) -> None:
+        """From nodes of a level and paths up to it to those of the next; a tree of one node stays as it is."""
+        steps.append(f"{name}n AS (SELECT tree, CASE WHEN total > 1 THEN pos // 8 ELSE pos END AS pos, (MAX(total) + 7) // 8 AS total, CASE WHEN MAX(total) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE MAX(h) END AS h FROM {nodes} GROUP BY tree, CASE WHEN total > 1 THEN pos // 8 ELSE pos END)")
+        steps.append(f"""{name}r AS (SELECT tree, pos // 8 AS run, MAX(total) AS total, string_agg(h, '' ORDER BY pos) AS hs FROM {nodes} GROUP BY ALL)""")
+        steps.append(f"""{name}w AS (SELECT rid, tree, CASE WHEN total > 1 THEN pos // 8 ELSE pos END AS pos,
+  CASE WHEN total > 1 THEN proof || substr(hs, 1, 64 * (pos % 8)) || substr(hs, 64 * (pos % 8) + 65) ELSE proof END AS proof,
+  CASE WHEN total > 1 THEN sha256(substr(hs, 1, 64 * (pos % 8)) || folded || substr(hs, 64 * (pos % 8) + 65)) ELSE folded END AS folded
+  FROM {paths} p JOIN {name}r r USING (tree) WHERE r.run = p.pos // 8)""")
+
+    level("n0", "w0", "a0", 0)
+    for n in range(1, levels):
+        level(f"a{n - 1}n", f"a{n - 1}w", f"a{n}", n)
+    steps.append(f"t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, COUNT(*) OVER () AS total, h, tree AS of_tree FROM a{levels - 1}n)")
+    steps.append(f"u0 AS (SELECT rid, '' AS tree, t0.pos, proof, folded FROM a{levels - 1}w w JOIN t0 ON t0.of_tree = w.tree)")
+    level("t0", "u0", "b0", 0)
+    for n in range(1, over):
+        level(f"b{n - 1}n", f"b{n - 1}w", f"b{n}", n)
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT l.doc_id, l.leaf, t0.h AS subroot, b{over - 1}n.h AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = b{over - 1}n.h AS verified
+FROM leaves l JOIN b{over - 1}w u USING (rid) JOIN t0 ON t0.of_tree = l.tree CROSS JOIN b{over - 1}n"""
+
+
+@query("op13_merkle_manifest", _manifest_sql(7, 2))
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and witness digest of every document; of every third one a tampered leaf is verified."""
+    columns = [F.translate("text", _UPPER, _LOWER) if c == "text" else F.col(c) for c in manifest.COLUMNS]
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.leaf_of(columns))
+    return manifest.manifest(table(spark, folder, "documents"), claimed, keep_witness=False).drop("witness")
