@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from billquarry.llm import marks
 from billquarry.llm.shared import stash
 
 #: Adds links between rows ``asks`` and ``tree`` to the labels: (payloads, asks, tree, label) -> label.
 Finder = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 _HELD = 16 << 20
+#: Bits of the bitmap of texts whose sets are wanted, as a power of two.
+MARKS = 26
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,3 +186,33 @@ def jaccard(percent: int) -> Finder:
         return label
 
     return find
+
+
+def _sets(sets_of: Callable[[pa.Array], list[np.ndarray]], shared):
+    """Sets of the texts whose hash is marked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(marks.marked(shared.value, batch.column(1).to_numpy(), MARKS)))
+            payload = [np.sort(s.view(np.int64)).astype("<i8").tobytes() for s in sets_of(kept.column(2))]
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(payload, type=pa.binary())], ["doc_id", "text_hash", "payload"])
+
+    return rows
+
+
+def confirmed(source: DataFrame, distinct: DataFrame, grouped: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]], percent: int, limit: int) -> DataFrame:
+    """Links (``a``, ``b``) that join every pair of nodes of a group whose sets have ``percent`` of their union in common.
+
+    ``source``: ``doc_id``, ``text``. ``distinct``: ``node`` and ``row`` (id and hash of one text that has it). ``grouped``:
+    ``node`` and its ``grp``, such as the component of its candidates. ``sets_of``: distinct 64-bit hashes of every text.
+    Texts stay where they are; each wanted set is shipped once to its group, and pairs are compared there and never listed.
+    """
+    grouped = stash(grouped, "confirmed-groups")
+    wanted = stash(grouped.join(distinct, "node").select("node", "grp", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash")), "confirmed-wanted")
+    shared = source.sparkSession.sparkContext.broadcast(marks.marks_of(wanted.select("of_hash"), MARKS))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    texts = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    sets = texts.mapInArrow(_sets(sets_of, shared), f"doc_id {kind}, text_hash long, payload binary")
+    found = sets.join(wanted, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("grp", "node", "payload")
+    rows = stash(found.groupBy("grp", "node").agg(F.max("payload").alias("payload")), "confirmed-rows")
+    return linked(rows, jaccard(percent), limit)

@@ -105,29 +105,6 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, type=pa.binary())], ["node", "payload"])
 
 
-def _sets(size: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payload = [s.view(np.int64).astype("<i8").tobytes() for s in (np.sort(s.view(np.int64)) for s in shingle_sets(batch.column(1), size))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(payload, type=pa.binary())], ["node", "payload"])
-
-    return rows
-
-
-def confirmed(source: DataFrame, distinct: DataFrame, candidates: DataFrame, size: int, percent: int, limit: int = FOUR_WORDS.shingles) -> DataFrame:
-    """Links (``a``, ``b``) that join every pair of nodes of a candidate component whose shingle sets are similar enough.
-
-    ``source``: ``doc_id``, ``text``. ``distinct``: ``node`` and ``row`` (id and hash of one text that has it).
-    ``candidates``: (``a``, ``b``). Each set is shipped once to its component; pairs are compared there and never listed.
-    """
-    grouped = stash(components(candidates).select("node", F.xxhash64("root").alias("grp")), "confirmed-groups")
-    wanted = stash(grouped.join(distinct, "node").select("node", "grp", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash")), "confirmed-wanted")
-    texts = source.join(wanted, (F.xxhash64("text") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("node", "text")
-    sets = stash(texts.mapInArrow(_sets(size), "node binary, payload binary"), "confirmed-sets")
-    rows = stash(sets.groupBy("node").agg(F.max("payload").alias("payload")).join(grouped, "node").select("grp", "node", "payload"), "confirmed-rows")
-    return linkage.linked(rows, linkage.jaccard(percent), limit)
-
-
 def near_duplicates(docs: DataFrame, plan: Plan = FOUR_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(``doc_id``, ``n_shingles``, ``component_id``, ``kept``) of every row of ``docs``.
 
@@ -155,7 +132,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = FOUR_WORDS, doc_id: str = "doc
     signed = distinct.join(met.select("node").distinct(), "node").select("node", "signature").mapInArrow(_short, "node binary, payload binary")
     groups = stash(met.join(stash(signed, "minhash-signed"), "node").select("grp", "node", "payload"), "minhash-groups")
     candidates = stash(linkage.linked(groups, linkage.agreeing(plan.agree), plan.signatures).distinct(), "minhash-candidates")
-    found = components(confirmed(source, distinct, candidates, plan.words, plan.percent, plan.shingles))
+    grouped = components(candidates).select("node", F.xxhash64("root").alias("grp"))
+    found = components(linkage.confirmed(source, distinct, grouped, lambda texts: shingle_sets(texts, plan.words), plan.percent, plan.shingles))
     rooted = stash(found.join(distinct.select("node", "first_id"), "node"), "minhash-found")
     named = stash(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "minhash-named")
     linked = stash(rooted.join(named, "root").select("node", F.col("component_id").alias("of_all"), F.lit(True).alias("linked")), "minhash-linked")

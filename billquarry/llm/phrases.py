@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billquarry.llm import words
+from billquarry.llm import marks, words
 from billquarry.llm.shared import small_batches, stash
 
 #: Lower-case letters; marks that end a piece become line ends, tabs become spaces.
@@ -148,35 +148,10 @@ def _hashed(plan: Plan):
     return rows
 
 
-def _marks(plan: Plan):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << plan.bits, dtype=bool)
-        for batch in batches:
-            bits[_place(batch.column(0).to_numpy().view(np.uint64), plan)] = True
-        packed = np.packbits(bits, bitorder="little").view("<i8")
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], ["at", "bits"])
-
-    return rows
-
-
-def _place(keys: np.ndarray, plan: Plan) -> np.ndarray:
-    return (keys >> np.uint64(64 - plan.bits)).astype(np.int64)
-
-
-def _bitmap(keys: DataFrame, plan: Plan) -> np.ndarray:
-    """Marks of all keys; what the driver gets has at most 2 ** bits bits, however many keys there are."""
-    parts = keys.coalesce(8).mapInArrow(_marks(plan), "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
-    packed = np.zeros(1 << (plan.bits - 6), dtype="<i8")
-    packed[parts["at"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
-    return packed.view(np.uint8)
-
-
 def _counted(shared, plan: Plan):
     """Counts of phrases, as text, all of whose words and pairs are marked."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
         held: dict[tuple, int] = {}
 
         def handed() -> pa.RecordBatch:
@@ -184,19 +159,15 @@ def _counted(shared, plan: Plan):
             columns = [pa.array(langs, type=pa.string()), pa.array(sizes, type=pa.int32()), pa.array(phrases, type=pa.binary()).cast(pa.string()), pa.array(list(held.values()), type=pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n"])
 
-        def marked(keys: np.ndarray) -> np.ndarray:
-            at = _place(keys, plan)
-            return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
         for batch in batches:
             found, weight, lang, places = _grams(batch, plan)
             langs = batch.column(0).to_pylist()
             # of every word, also of those a chunk doesn't own: is it marked, and the pair it begins
             count = len(found.starts)
             everywhere = np.arange(count)
-            good = marked(_keys(found, lang, everywhere, 1))
+            good = marks.marked(shared.value, _keys(found, lang, everywhere, 1), plan.bits)
             pair = np.zeros(count, dtype=bool)
-            pair[: max(count - 1, 0)] = marked(_keys(found, lang, everywhere[: max(count - 1, 0)], 2))
+            pair[: max(count - 1, 0)] = marks.marked(shared.value, _keys(found, lang, everywhere[: max(count - 1, 0)], 2), plan.bits)
             for size in range(1, plan.longest + 1):
                 at = places[size - 1]
                 keep = good[at]
@@ -227,8 +198,8 @@ def frequent_phrases(docs: DataFrame, plan: Plan = COLLOCATIONS, lang: str = "la
     dictionary = stash(parsed.groupBy("lang", "own", "chunk").agg(F.sum("n").alias("n")).select("lang", "own", "chunk", "n"), "phrases-dictionary")
     totals = stash(dictionary.groupBy("lang").agg(F.expr("sum(own * n)").alias("n")), "phrases-totals")
     sums = dictionary.mapInArrow(_hashed(plan), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    marks = _bitmap(stash(sums.where(F.col("n") >= plan.least).select("key"), "phrases-marks"), plan)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    often = stash(sums.where(F.col("n") >= plan.least).select("key"), "phrases-marks")
+    shared = docs.sparkSession.sparkContext.broadcast(marks.marks_of(often, plan.bits))
     counted = dictionary.mapInArrow(_counted(shared, plan), "lang string, words int, phrase string, n long")
     often = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= plan.least)
     return stash(often, "phrases-frequent"), totals
