@@ -8,8 +8,8 @@ tree is sent to every other part of its shard, so that no task holds more than t
 Within a unit links are merged at once; at most one link a fingerprint and tree group leaves it.
 
 A plan with a Jaccard similarity takes what the trees find as candidates only. Of each unit the shortest links that keep
-it together are compared by their shingle sets first; then every other candidate pair whose ends are not yet in one
-component is. So each link is exact, and copies of one text do not make all their pairs.
+it together leave the task; they join candidates into components, and inside each of those whole shingle sets are
+compared. So each link is exact, and no list of pairs is ever made, however many candidates are no links.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from billquarry.llm import linkage
 from billquarry.llm.shared import small_batches, stash
 
 #: Shingles hashed at a time, rows of complete units searched at a time, and pairs in one search step.
@@ -62,8 +63,8 @@ EXACT = Plan()
 #: (1 / pi * acos(2 * 0.8 / 1.8) of them), with a deviation of about 6. A pair that differs in 40 bits meets with 99.98 %,
 #: one in 50 bits with 99 %, one in 60 bits with 91 %.
 JACCARD_80 = Plan(words=5, bits=256, radius=40, bands=21, match=1, layouts=3, reach=60, jaccard=0.8)
-#: Candidate pairs of a unit held before they are reduced to the shortest links.
-HELD = 1 << 21
+#: Candidate pairs of a unit held before they are reduced to the shortest links, and bytes of shingle sets compared at once.
+HELD, SETS = 1 << 21, 1 << 22
 
 
 def _shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -359,8 +360,8 @@ def _shortest(count: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np
     return np.concatenate(taken) if taken else np.empty(0, dtype=np.int64)
 
 
-def _candidates(plan: Plan, labelled: bool):
-    """Pairs within reach: of each unit the shortest that keep it together, or all whose ends have different labels."""
+def _candidates(plan: Plan):
+    """Of the pairs within reach in each unit the shortest that keep it together."""
 
     def found(columns: list[np.ndarray], unit: np.ndarray) -> Iterator[pa.RecordBatch]:
         role, nodes = columns[3], columns[4]
@@ -372,9 +373,6 @@ def _candidates(plan: Plan, labelled: bool):
         held: list[tuple[np.ndarray, ...]] = []
         room = 0
 
-        def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(nodes[a].tolist(), type=pa.binary()), pa.array(nodes[b].tolist(), type=pa.binary())], ["a", "b"])
-
         def reduced() -> tuple[np.ndarray, ...]:
             a, b, apart = (np.concatenate(c) for c in zip(*held))
             some = _shortest(len(nodes), a, b, apart)
@@ -384,11 +382,6 @@ def _candidates(plan: Plan, labelled: bool):
             a, b = asks[query], tree[node]
             once = (a < b) | (role[a] == 2)  # rows that are both in the tree and looked up are found from either side
             a, b = a[once], b[once]
-            if labelled:
-                new = columns[5][a] != columns[5][b]
-                if new.any():
-                    yield batch(a[new], b[new])
-                continue
             held.append((a, b, _distance(words[a], words[b])))
             room += len(a)
             if room > HELD:
@@ -397,7 +390,7 @@ def _candidates(plan: Plan, labelled: bool):
         if held:
             a, b, _ = reduced()
             if len(a):
-                yield batch(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a].tolist(), type=pa.binary()), pa.array(nodes[b].tolist(), type=pa.binary())], ["a", "b"])
 
     return _over_units(found)
 
@@ -466,26 +459,8 @@ def _units(fingerprints: DataFrame, plan: Plan) -> DataFrame:
     return units.repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high", "role")
 
 
-def _shingle_sets(plan: Plan):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *_shingle_hashes(t, plan.words)])).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return rows
-
-
-def _alike(plan: Plan):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= plan.jaccard * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
-
-    return rows
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    return [np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *_shingle_hashes(t, words)])) for t in texts.to_pylist()]
 
 
 def confirmed_links(source: DataFrame, distinct: DataFrame, plan: Plan) -> DataFrame:
@@ -493,27 +468,11 @@ def confirmed_links(source: DataFrame, distinct: DataFrame, plan: Plan) -> DataF
 
     ``source``: ``doc_id``, ``text``. ``distinct``: ``fp`` and, of one row that has it, ``row`` (id and hash of the text).
     """
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        # written tables on all sides, so that a text in many pairs can be split
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-        return stash(both.select("a", "b", "of_a", "of_b").mapInArrow(_alike(plan), "a binary, b binary"), "simhash-alike")
-
-    def pairs_of(rows: DataFrame, labelled: bool) -> DataFrame:
-        found = _units(rows, plan).mapInArrow(_candidates(plan, labelled), "a binary, b binary")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    first = stash(pairs_of(distinct.select("fp"), False), "simhash-shortest")
-    nodes = stash(first.select(F.col("a").alias("fp")).unionByName(first.select(F.col("b").alias("fp"))).distinct(), "simhash-nodes")
-    rows = nodes.join(distinct, "fp").select("fp", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash"))
-    texts = source.join(rows, (F.xxhash64("text") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("fp", "text")
-    sets = stash(texts.mapInArrow(_shingle_sets(plan), "node binary, shingles array<long>").dropDuplicates(["node"]), "simhash-sets")
-    sure = alike(first)
-    known = components(sure).select(F.col("node").alias("fp"), F.xxhash64("root").alias("label"))
-    labelled = stash(nodes.join(known, "fp", "left").select("fp", F.coalesce("label", F.xxhash64("fp")).alias("label")), "simhash-labels")
-    others = stash(pairs_of(labelled, True).join(first, ["a", "b"], "left_anti"), "simhash-others")
-    return sure.unionByName(alike(others))
+    found = _units(distinct.select("fp"), plan).mapInArrow(_candidates(plan), "a binary, b binary")
+    first = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-shortest")
+    grouped = components(first).select("node", F.xxhash64("root").alias("grp"))
+    nodes = distinct.select(F.col("fp").alias("node"), "row")
+    return linkage.confirmed(source, nodes, grouped, lambda texts: shingle_sets(texts, plan.words), round(100 * plan.jaccard), SETS)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
