@@ -90,17 +90,6 @@ def lexical_overlap(questions: DataFrame, passages: DataFrame, passage_keys: lis
     return joined.select("qid", *passage_keys, F.least(F.lit(1.0), F.col("overlap") / F.col("asked_tokens") + both * F.lit(0.35)).alias("lexical"))
 
 
-def hybrid(questions: DataFrame, passages: DataFrame, passage_keys: list[str], k: int = 5) -> DataFrame:
-    """Top passages by 0.75 semantic + 0.25 lexical over hashed vectors; k is clamped to 1..20."""
-    expanded = questions.select("qid", X.expand_question(F.col("question")).alias("question"))
-    lexical = lexical_overlap(expanded, passages, passage_keys)
-    semantic = sparse_cosine(hash_weights(expanded, ["qid"], "question"), hash_weights(passages, passage_keys), ["qid"], passage_keys)
-    scored = lexical.join(semantic, ["qid", *passage_keys], "left").select(
-        "qid", *passage_keys, F.round(F.coalesce("semantic", F.lit(0.0)) * 0.75 + F.col("lexical") * 0.25, 4).alias("score")
-    )
-    return top_k(scored, ["qid"], [F.desc("score"), *[F.col(c) for c in passage_keys]], max(1, min(20, k)))
-
-
 def bm25(queries: DataFrame, passages: DataFrame, passage_keys: list[str], scope: list[str] | None = None, asked: DataFrame | None = None) -> DataFrame:
     """BM25 of every (query, passage) sharing a term. Statistics are per scope (for example one document) or corpus-wide.
 

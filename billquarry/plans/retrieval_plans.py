@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from billquarry.operators import hybrid as H
 from billquarry.operators import passages as P
+from billquarry.operators import ranking as K
 from billquarry.operators import retrieval as T
+from billquarry.operators import vectors as VI
 from billquarry.plans import bindings as B
 from billquarry.plans import rendering as R
 from billquarry.plans.join_plans import CHUNK_ROWS
@@ -41,9 +44,26 @@ def ret_hash_embedding(spark, d):
     return weights.join(T.squared_norms(weights, ["doc_id"]), "doc_id")
 
 
-@query("ret_cosine", """WITH q AS (SELECT label, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label)
-    SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 4) AS cosine FROM embeddings e JOIN q ON e.label = q.label""")
+@query("ret_cosine", """SELECT qid, vec_id, round(c, 4) AS cosine, r AS rank FROM (SELECT qid, vec_id, c, row_number() OVER (PARTITION BY qid ORDER BY round(c, 6) DESC, vec_id) AS r FROM
+    (SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS c FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE r <= 10""")
 def ret_cosine(spark, d):
+    """Every fiftieth vector as a query against all vectors: the ten nearest, through the index, none missed."""
+    vectors = B.table(spark, d, "embeddings")
+    found = VI.search(VI.build(vectors, "vec_id", "embedding"), vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return found.select("qid", F.col("id").alias("vec_id"), F.round("cosine", 4).alias("cosine"), "rank")
+
+
+@query("ret_cosine_probes")
+def ret_cosine_probes(spark, d):
+    """The same queries, of which each reads the twelve nearest cells only."""
+    vectors = B.table(spark, d, "embeddings")
+    found = VI.search(VI.build(vectors, "vec_id", "embedding"), vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, probes=12)
+    return found.select("qid", F.col("id").alias("vec_id"), F.round("cosine", 4).alias("cosine"), "rank")
+
+
+@query("ret_cosine_label", """WITH q AS (SELECT label, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label)
+    SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 4) AS cosine FROM embeddings e JOIN q ON e.label = q.label""")
+def ret_cosine_label(spark, d):
     """Every vector against the first vector of its label."""
     vectors = B.table(spark, d, "embeddings")
     firsts = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
@@ -73,14 +93,14 @@ HYBRID = f"""{hash_sql('hq', 'qid', '(SELECT item_id AS qid, text FROM benchmark
 @query("ret_hybrid", B.with_ctes(CHUNK_ROWS, LEXICAL, HYBRID, body="""SELECT qid, doc_id, chunk_index, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index) AS r FROM
     (SELECT qid, doc_id, chunk_index, round(coalesce(semantic, 0) * 0.75 + lexical * 0.25, 4) AS score FROM lex LEFT JOIN sem USING (qid, doc_id, chunk_index))) WHERE r <= 5"""))
 def ret_hybrid(spark, d):
-    return T.hybrid(questions(spark, d), corpus(spark, d), ["doc_id", "chunk_index"], 5)
+    return H.search(questions(spark, d), corpus(spark, d), ["doc_id", "chunk_index"], 5)
 
 
 @query("topk_retrieval", B.with_ctes(CHUNK_ROWS, LEXICAL, HYBRID, body="""SELECT qid, doc_id, chunk_index, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index) AS r FROM
     (SELECT qid, doc_id, chunk_index, round(coalesce(semantic, 0) * 0.75 + lexical * 0.25, 4) AS score FROM lex LEFT JOIN sem USING (qid, doc_id, chunk_index))) WHERE r <= 20"""))
 def topk_retrieval(spark, d):
     """The requested 50 is clamped to 20."""
-    return T.hybrid(questions(spark, d), corpus(spark, d), ["doc_id", "chunk_index"], 50)
+    return H.search(questions(spark, d), corpus(spark, d), ["doc_id", "chunk_index"], 50)
 
 
 @query("ret_index_documents", B.with_ctes(CHUNK_ROWS, body="""SELECT d.doc_id, d.source AS filename, length(d.text) AS text_length, count(c.chunk_index) AS chunks FROM documents d JOIN chunks c ON d.doc_id = c.doc_id GROUP BY 1, 2, 3"""))
@@ -121,9 +141,8 @@ def bm25_sql(scope: str) -> str:
     (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, doc_id, chunk_index) AS r FROM bm) WHERE r <= 20"""))
 def ret_bm25(spark, d):
     """Corpus-wide statistics; the twenty best chunks per question."""
-    asked = questions(spark, d).withColumnRenamed("question", "query")
-    scores = T.bm25(asked, corpus(spark, d), ["doc_id", "chunk_index"])
-    best = T.top_k(scores, ["qid"], [F.desc(F.round("bm25", 6)), F.col("doc_id"), F.col("chunk_index")], 20)
+    index = K.build(corpus(spark, d), ["doc_id", "chunk_index"])
+    best = K.search(index, questions(spark, d).withColumnRenamed("question", "query"), 20)
     return best.withColumn("bm25", F.round("bm25", 4))
 
 
@@ -209,7 +228,7 @@ def ret_evidence_dedup(spark, d):
 @query("win_round_robin_budget")
 def win_round_robin_budget(spark, d):
     found = invoice_passages(spark, d)
-    return T.round_robin(T.field_bm25(found), found, budget=400)
+    return T.round_robin(T.field_bm25(found), found)
 
 
 QUESTIONS = ["Quel est le total TTC ?", "total HT ?", "TVA ?", "total HT et TTC ?", "ما هو المبلغ باحتساب الأداء"]
