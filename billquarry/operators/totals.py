@@ -100,11 +100,28 @@ def tax_rows(text: Column) -> Column:
     return F.flatten(F.transform(X.split_lines(text), of_line))
 
 
-def supported_tax(proposed: DataFrame, printed: DataFrame) -> DataFrame:
-    """Proposed tax rows for which exactly one printed row has the same rate and amount."""
+# printed taxable base (fixed value)
+TAX_BASE = r"\bbase(?:\s+(?:HT|imposable))?[ \t:|=]*(" + V.STRICT_NUMBER + ")"
+
+
+def printed_base(text: Column) -> Column:
+    """The first taxable base that a text prints."""
+    return strict_amount(X.grab(text, TAX_BASE))
+
+
+def supported_tax(proposed: DataFrame, printed: DataFrame, bases: DataFrame | None = None) -> DataFrame:
+    """Proposed tax rows for which exactly one printed row has the same rate and amount.
+
+    A proposed ``base`` that is not missing must be the one that ``bases`` (doc_id, printed_base) has for the document; a
+    base is never inferred from a rate or from other totals.
+    """
     keys = ["doc_id", "rate", "amount"]
     counted = printed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("label"), F.min("line_id").alias("line_id"))
-    return proposed.join(counted.filter(F.col("_n") == 1).drop("_n"), keys, "left").withColumn("supported", F.col("label").isNotNull())
+    found = proposed.join(counted.filter(F.col("_n") == 1).drop("_n"), keys, "left")
+    if bases is None:
+        return found.withColumn("supported", F.col("label").isNotNull())
+    based = F.col("base").isNull() | F.coalesce(F.col("base") == F.col("printed_base"), F.lit(False))
+    return found.join(bases, "doc_id", "left").withColumn("supported", F.col("label").isNotNull() & based)
 
 
 _DISCOUNT_CELL = r"^(?:remise|discount|rabais)(?:\s+\d+(?:[.,]\d+)?\s*%)?$"

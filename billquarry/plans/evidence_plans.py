@@ -135,16 +135,25 @@ def q_ambiguous_amount(spark, d):
     return R.sheets(spark, d).select("doc_id", totals.ambiguous_amount("subtotal", dec(F.col("ht")), text).alias("line_id"))
 
 
-@query("q_party_conflicts", R.sheets_sql("""SELECT doc_id, CASE order_id % 4 WHEN 1 THEN 'heading_word' WHEN 2 THEN 'explicit_customer' END AS conflict, order_id % 4 = 3 AS in_zone FROM sheets"""))
+@query("q_party_conflicts", R.sheets_sql("""SELECT doc_id, field, reason FROM sheets JOIN (VALUES (1, 'vendor_name', 'heading_word'), (2, 'vendor_name', 'explicit_customer'),
+    (3, 'vendor_tax_id', 'identifier_in_customer_zone'), (5, 'vendor_address', 'same_as_customer'), (5, 'vendor_phone', 'same_as_customer'), (5, 'vendor_email', 'same_as_customer')) AS c(k, field, reason) ON order_id % 7 = k"""))
 def q_party_conflicts(spark, d):
-    """A sound vendor, a heading word, the client itself; and an identifier inside the customer block."""
-    key = F.col("order_id") % 4
-    vendor = F.when(key == 1, F.lit("Facture")).when(key == 2, F.col("customer")).otherwise(F.col("vendor"))
-    zone_text = F.concat(F.lit("Nom du client : X\nMF : "), F.when(key == 3, F.col("vendor_tax")).otherwise(F.col("customer_tax")), F.lit("\nDésignation\nMF : "), F.col("vendor_tax"))
-    return R.texts(spark, d).select(
-        "doc_id", G.party_conflicts(vendor, F.col("customer"), F.col("text")).alias("conflict"),
-        X.compact(G.customer_zone(zone_text)).contains(X.compact(F.col("vendor_tax"))).alias("in_zone"),
+    """Sound vendors, a heading word, the client itself, its contacts; the vendor's identifier in the client's block, whole
+    or only as part of a longer one, which leaves all its places with the vendor."""
+    case = F.col("order_id") % 7
+    in_zone = F.when(case == 3, F.col("vendor_tax")).when(case == 4, F.concat("vendor_tax", F.lit("/9"))).otherwise(F.col("customer_tax"))
+    text = F.concat("text", F.lit("\nNom du client : "), "customer", F.lit("\nMF : "), in_zone, F.lit("\nDésignation"))
+    shared = case.isin(5, 6)
+    docs = R.texts(spark, d).select(
+        "doc_id", text.alias("text"),
+        F.when(case == 1, "Facture").when(case == 2, F.col("customer")).otherwise(F.col("vendor")).alias("vendor_name"),
+        F.when(case == 6, "ABSENT SARL").otherwise(F.col("customer")).alias("customer_name"),
+        F.col("vendor_tax").alias("vendor_tax_id"), F.col("customer_tax").alias("customer_tax_id"),
+        F.when(shared, "9, avenue de Sfax").otherwise("12 rue de Tunis").alias("vendor_address"), F.lit("9 Avenue de Sfax").alias("customer_address"),
+        F.when(shared, "71 222 333").otherwise(F.col("vendor_phone")).alias("vendor_phone"), F.lit("71222333").alias("customer_phone"),
+        F.when(shared, "a@b.tn").alias("vendor_email"), F.lit("A@B.TN").alias("customer_email"),
     )
+    return G.party_conflicts(docs, E.cell_roles)
 
 
 @query("q_party_role", R.sheets_sql("SELECT doc_id, 'vendor_tax_id' AS field, order_id % 2 = 0 AS supported FROM sheets UNION ALL SELECT doc_id, 'customer_tax_id', true FROM sheets"))
