@@ -1,34 +1,39 @@
 """Structured Streaming jobs: ingest, content de-duplication, monthly totals, current state.
 
-Every batch writes its own folder, so a batch that runs again after a loss replaces its own output. Results that need
-what came before (contents seen, totals, states) read the folders of earlier batches and never drop late rows.
+A job has a name and keeps its checkpoint and its output below the folder all executors share. Started again under its name
+it goes on where it ended and reads only files that are new since. Totals and states are Spark's own streaming state; each
+batch writes the rows that changed into a folder of its own, so a batch that runs again after a loss replaces its output.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from billquarry.session import shared_dir
-from billquarry.sources.annotations import latest_per_key
 from billquarry.sources.blobs import with_digest
 from billquarry.sources.files import admitted
+from billquarry.streaming.digests import DigestStore
 
-Sink = Callable[[DataFrame, int, str], DataFrame]
+Write = Callable[[DataFrame, int], None]
 
 
-@dataclass(frozen=True)
+@dataclass
 class Result:
-    """Where a job wrote its batches, and what their rows look like."""
+    """Where a job wrote its batches, what their rows look like, and how many rows this run read."""
 
     spark: SparkSession
     path: str
     schema: StructType
+    rows_read: int = 0
+    #: of each batch of this run that compares with stored digests, the buckets it opened
+    opened: list[int] = field(default_factory=list)
 
     def rows(self) -> DataFrame:
         """Rows of all batches with the number of their ``batch``; none if no batch ran."""
@@ -37,11 +42,16 @@ class Result:
             return self.spark.createDataFrame([], kinds)
         return self.spark.read.schema(kinds).parquet(self.path)
 
-    def last(self) -> DataFrame:
-        """Rows of the last batch of a job that keeps its whole state in each batch."""
-        found = self.rows()
-        newest = found.agg(F.max("batch").alias("newest"))
-        return found.join(F.broadcast(newest), F.col("batch") == F.col("newest"), "left_semi").drop("batch")
+    def latest(self, keys: list[str]) -> DataFrame:
+        """The last row written for each key."""
+        rest = [c for c in self.schema.names if c not in keys]
+        newest = self.rows().groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+        return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def job_of(name: str, source: str) -> str:
+    """Name under which a job over one source goes on where it ended."""
+    return f"{name}-{hashlib.md5(source.encode()).hexdigest()[:12]}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -64,25 +74,26 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(kinds).option("recursiveFileLookup", "true").load(folder).withColumnRenamed("length", "size")
 
 
-def run_to_end(stream: DataFrame, sink: Sink | None = None, schema: StructType | None = None) -> Result:
-    """Process everything available. ``sink`` turns a batch, its number and the folder of all batches into the rows to write."""
+def run_to_end(stream: DataFrame, job: str | None = None, mode: str = "append", write: Callable[[str], Write] | None = None, result: Result | None = None) -> Result:
+    """Process everything that arrived since the last run of ``job``, then stop; a job without a name starts anew.
+
+    ``write`` makes the function that stores a batch, given the folder of the job; by default each batch is a folder.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    result = Result(spark, f"{base}/out", schema or stream.schema)
+    base = f"{shared_dir(spark)}/streams/{job or uuid.uuid4().hex}"
+    result = result or Result(spark, "", stream.schema)
+    result.path = f"{base}/out"
 
-    def write(batch: DataFrame, number: int) -> None:
-        rows = sink(batch, number, result.path) if sink else batch
-        rows.write.mode("overwrite").parquet(f"{result.path}/batch={number}")
+    def folder(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{result.path}/batch={number}")
 
-    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    query = started.foreachBatch(write(base) if write else folder).start()
+    query.awaitTermination()
+    result.rows_read = sum(p["numInputRows"] for p in query.recentProgress)
     return result
 
 
-def earlier(batch: DataFrame, number: int, path: str, schema: StructType) -> DataFrame:
-    """What the batches before this one wrote, with their ``batch``."""
-    return Result(batch.sparkSession, path, schema).rows().where(F.col("batch") < number)
-
-
 def ingest(listing: DataFrame) -> DataFrame:
     """Admitted files of a stream of (path, size, ...)."""
     return admitted(listing)
@@ -94,35 +105,28 @@ def ingest_texts(arriving: DataFrame) -> DataFrame:
     return kept.select("path", "size", "digest", F.decode("content", "UTF-8").alias("text"))
 
 
-def new_contents(stream: DataFrame, content: str = "content") -> Result:
-    """First occurrence of every content, however much later a copy arrives: batches are compared with all digests stored."""
+def new_contents(stream: DataFrame, content: str = "content", job: str | None = None) -> Result:
+    """First occurrence of every content, however much later a copy arrives, through a store of digests with a filter for
+    each bucket: a batch of new contents opens no bucket, whatever the store holds."""
     keyed = with_digest(stream, content).select("digest", F.octet_length(content).cast("long").alias("size"))
+    result = Result(stream.sparkSession, "", keyed.schema)
 
-    def sink(batch: DataFrame, number: int, path: str) -> DataFrame:
-        seen = earlier(batch, number, path, keyed.schema).select("digest")
-        return batch.dropDuplicates(["digest"]).join(seen, "digest", "left_anti")
-
-    return run_to_end(keyed, sink)
-
-
-def monthly_amounts(stream: DataFrame, date: str, cents: str = "cents") -> Result:
-    """Sum and count per month. A batch adds its own totals to those of the batch before; late rows count in their month,
-    so there is no watermark, and the state is one row per month."""
-    monthly = stream.select(F.date_format(date, "yyyy-MM").alias("month"), F.col(cents).cast("long").alias("cents"), F.lit(1).cast("long").alias("count"))
-
-    def sink(batch: DataFrame, number: int, path: str) -> DataFrame:
-        state = earlier(batch, number, path, monthly.schema).where(F.col("batch") == number - 1).drop("batch")
-        return batch.unionByName(state).groupBy("month").agg(F.sum("cents").alias("cents"), F.sum("count").alias("count"))
+    def write(base: str) -> Write:
+        store = DigestStore(stream.sparkSession, base)
+        return lambda batch, number: result.opened.append(store.add(batch, number))
 
-    return run_to_end(monthly, sink)
+    return run_to_end(keyed, job, write=write, result=result)
 
 
-def current_state(stream: DataFrame, key: str, order: list[str], payload: list[str]) -> Result:
-    """Latest payload per key: each batch merges its newest rows into the state of the batch before."""
-    rows = stream.select(key, *dict.fromkeys([*order, *payload]))
+def monthly_amounts(stream: DataFrame, date: str, cents: str = "cents", job: str | None = None) -> Result:
+    """Sum and count per month, kept in Spark's state: one row per month, so late rows count in their month and there is no
+    watermark. ``latest(["month"])`` are the totals."""
+    monthly = stream.groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(F.sum(F.col(cents).cast("long")).alias("cents"), F.count(F.lit(1)).alias("count"))
+    return run_to_end(monthly, job, "update")
 
-    def sink(batch: DataFrame, number: int, path: str) -> DataFrame:
-        state = earlier(batch, number, path, rows.schema).where(F.col("batch") == number - 1).drop("batch")
-        return latest_per_key(batch.unionByName(state), [key], order).select(*rows.columns)
 
-    return run_to_end(rows, sink)
+def current_state(stream: DataFrame, key: str, order: list[str], payload: list[str], job: str | None = None) -> Result:
+    """Newest payload per key by ``order``, kept in Spark's state: one row per key. ``latest([key])`` is the state."""
+    names = list(dict.fromkeys([*order, *payload]))
+    newest = stream.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("_row"))
+    return run_to_end(newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in names]), job, "update")

@@ -23,16 +23,38 @@ def test_streams_read_folders(spark, data, tmp_path):
         assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0 and one.count() > 0
 
 
-def test_copies_months_and_states_over_three_batches(spark, tmp_path):
-    rows = spark.range(90).selectExpr("id", "'text ' || id % 50 AS content", "make_date(2024, CAST(1 + id % 3 AS INT), 1) AS day", "id * 10 AS cents", "id % 7 AS user", "(id * 37) % 90 AS ts")
-    stream = batches(spark, tmp_path, "rows", [rows.where(f"id % 3 = {n}") for n in (2, 0, 1)])
-    found = jobs.new_contents(stream.select("content"))
-    assert found.rows().select("batch").distinct().count() > 1 and found.rows().count() == found.rows().select("digest").distinct().count() == 50
-    monthly = jobs.monthly_amounts(stream, "day").last()
-    want = rows.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("cents").alias("cents"), F.count("*").alias("count"))
-    assert monthly.exceptAll(want).count() == 0 and monthly.count() == 3
-    state = jobs.current_state(stream, "user", ["ts"], ["id"]).last()
-    assert {(r.user, r.id) for r in state.collect()} == {(r.user, r.id) for r in rows.groupBy("user").agg(F.max_by("id", "ts").alias("id")).collect()}
+ROWS = ["id", "'text ' || id % 50 AS content", "make_date(2024, CAST(1 + id % 3 AS INT), 1) AS day", "id * 10 AS cents", "id % 7 AS user", "(id * 37) % 90 AS ts"]
+
+
+def test_jobs_go_on_and_read_only_what_is_new(spark, tmp_path):
+    """Three batches, then two more in a second run; copies, months and keys come back out of order."""
+    rows = spark.range(90).selectExpr(*ROWS)
+    more = spark.range(90, 130).selectExpr(*ROWS).withColumn("content", F.concat(F.col("content"), F.when(F.col("id") > 100, "!").otherwise("")))
+    parts = [rows.where(f"id % 3 = {n}") for n in (2, 0, 1)], [more.where(f"id % 2 = {n}") for n in (1, 0)]
+    seen = None
+    for number, arriving in enumerate(parts):
+        stream = batches(spark, tmp_path, "rows", arriving)
+        seen = rows if seen is None else seen.unionByName(more)
+        new = seen.count() if number == 0 else more.count()
+        found = jobs.new_contents(stream.select("content"), job="test-contents")
+        assert found.rows_read == new
+        want = {r.content for r in seen.select("content").distinct().collect()}
+        assert found.rows().count() == found.rows().select("digest").distinct().count() == len(want)
+        monthly = jobs.monthly_amounts(stream, "day", job="test-monthly")
+        totals = seen.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("cents").alias("cents"), F.count("*").alias("count"))
+        assert monthly.rows_read == new and monthly.latest(["month"]).exceptAll(totals).count() == 0 and monthly.latest(["month"]).count() == 3
+        state = jobs.current_state(stream, "user", ["ts", "id"], ["id"], "test-state")
+        assert state.rows_read == new
+        assert {(r.user, r.id) for r in state.latest(["user"]).collect()} == {(r.user, r.id) for r in seen.groupBy("user").agg(F.max_by("id", F.struct("ts", "id")).alias("id")).collect()}
+    assert jobs.new_contents(batches(spark, tmp_path, "rows", []).select("content"), job="test-contents").rows_read == 0
+
+
+def test_new_contents_open_no_bucket(spark, tmp_path):
+    first = [spark.range(n * 200, (n + 1) * 200).selectExpr("'c' || id AS content") for n in range(3)]
+    found = jobs.new_contents(batches(spark, tmp_path, "rows", first), job="test-buckets")
+    assert found.opened == [0, 0, 0] and found.rows().count() == 600
+    again = jobs.new_contents(batches(spark, tmp_path, "rows", [spark.range(5).selectExpr("'c' || id AS content")]), job="test-buckets")
+    assert 1 <= sum(again.opened) <= 5 and again.rows().count() == 600
 
 
 def test_no_batch_gives_no_rows(spark, tmp_path):
