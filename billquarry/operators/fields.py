@@ -94,8 +94,8 @@ def phone(text: Column, labels: list[str], position: int) -> Column:
     return F.coalesce(F.get(cleaned(near), F.lit(0)), F.get(F.array_distinct(cleaned(all_of)), F.lit(position)))
 
 
-def tax_ids_by_party(text: Column) -> Column:
-    """Struct (vendor, customer): identifiers scored by the party words around them."""
+def tax_id_candidates(text: Column) -> Column:
+    """Identifiers of a text in order: value, lead of the vendor's words around it over the customer's, and place."""
     marked = F.split(F.regexp_replace(text, X.IU + "(" + TAX_ID_IN_TEXT + ")", "\u0001$1\u0001"), "\u0001")
 
     def score(context: Column, close: Column, labels: list[str]) -> Column:
@@ -120,6 +120,17 @@ def tax_ids_by_party(text: Column) -> Column:
 
         return F.array_compact(F.transform(parts, candidate))
 
+    return X.let(marked, read)
+
+
+def distinct_tax_ids(text: Column) -> Column:
+    """Distinct identifiers of a text in the order of their first place."""
+    return F.array_distinct(F.transform(tax_id_candidates(text), lambda c: c["value"]))
+
+
+def tax_ids_by_party(text: Column) -> Column:
+    """Struct (vendor, customer): identifiers scored by the party words around them."""
+
     def choose(found: Column) -> Column:
         values = F.transform(found, lambda c: c["value"])
         firsts = F.filter(found, lambda c, i: F.array_position(values, c["value"]) == i + 1)
@@ -134,7 +145,7 @@ def tax_ids_by_party(text: Column) -> Column:
 
         return X.let(firsts, pick)
 
-    return X.let(X.let(marked, read), choose)
+    return X.let(tax_id_candidates(text), choose)
 
 
 def cash_payment(text: Column) -> Column:

@@ -141,3 +141,23 @@ def missing_required(number: Column, date: Column, vendor: Column, total: Column
         F.when(X.non_empty(currency).isNull(), "currency"),
     ]
     return F.array_compact(F.array(*absent))
+
+
+def with_best_evidence(fields: DataFrame, evidence: DataFrame, default: int) -> DataFrame:
+    """Fields (doc_id, field, value, document) with the proof and confidence of their best evidence row.
+
+    Evidence: doc_id, field, rank, preview, text, confidence, score; the row with the smallest rank counts, an aggregate that
+    combines before the shuffle. Proof: its preview, else its text, else the beginning of the document, 500 characters.
+    Confidence in percent: its own (a share or a percentage), else its score as a bounded percentage, else the default; none
+    for a field without a value.
+    """
+    row = F.struct("preview", "text", "confidence", "score")
+    best = evidence.groupBy("doc_id", "field").agg(F.min_by(row, "rank").alias("_e"))
+    own, score = F.col("_e.confidence"), F.col("_e.score")
+    shown = F.coalesce(F.nullif("_e.preview", F.lit("")), F.nullif("_e.text", F.lit("")), F.col("document"), F.lit(""))
+    percent = F.coalesce(
+        F.floor(F.when(own <= 1, own * 100).otherwise(own) + 0.5),
+        F.when(score.isNotNull(), F.least(F.lit(99), F.greatest(F.lit(55), F.floor(score * 10 + 0.5)))), F.lit(default),
+    )
+    joined = fields.join(best, ["doc_id", "field"], "left")
+    return joined.withColumn("preview", F.trim(F.substring(shown, 1, 500))).withColumn("confidence", F.when(F.col("value") == "", 0).otherwise(percent).cast("long")).drop("_e")

@@ -45,10 +45,12 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "validated").otherwise("draft").alias("status"),
         (key % 100).alias("confidence_pct"),
         F.element_at(F.array(F.lit("TND"), F.lit("EUR"), F.lit("USD")), (key % 3 + 1).cast("int")).alias("currency"),
+        F.concat(F.lit('{"company":"'), "c_mktsegment", F.lit('","tax_id":"'), digits(F.col("o_custkey"), 7), F.lit('A/M/000"}')).alias("normalized_json"),
+        F.concat(F.lit("FACTURE N "), digits(key, 6), F.lit("\n"), "c_name", F.lit("\nMF "), digits(F.col("o_custkey"), 7), F.lit("A/M/000")).alias("extracted_text"),
     )
 
 
-INVOICES = """invoices AS (
+INVOICES = f"""invoices AS (
   SELECT o_orderkey AS id,
          CASE WHEN length(CAST(o_orderkey AS VARCHAR)) < 6 THEN lpad(CAST(o_orderkey AS VARCHAR), 6, '0')
               ELSE CAST(o_orderkey AS VARCHAR) END AS invoice_number,
@@ -59,7 +61,9 @@ INVOICES = """invoices AS (
          CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
          CASE WHEN o_orderstatus = 'F' THEN 'validated' ELSE 'draft' END AS status,
          o_orderkey % 100 AS confidence_pct,
-         CASE o_orderkey % 3 WHEN 0 THEN 'TND' WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency
+         CASE o_orderkey % 3 WHEN 0 THEN 'TND' WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency,
+         '{{"company":"' || c_mktsegment || '","tax_id":"' || {sql_digits('o_custkey', 7)} || 'A/M/000"}}' AS normalized_json,
+         'FACTURE N ' || {sql_digits('o_orderkey', 6)} || chr(10) || c_name || chr(10) || 'MF ' || {sql_digits('o_custkey', 7)} || 'A/M/000' AS extracted_text
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from billquarry.functions import text as X
+from billquarry.operators import fields as E
 from billquarry.operators import rollups, search
 from billquarry.plans import bindings as B
+from billquarry.plans import rendering as R
 from billquarry.plans.registry import query
 from billquarry.sources import blobs, files
 
@@ -227,6 +229,20 @@ def page_invoices(spark, d):
     return search.page_of(found, [F.desc("created_date"), F.desc("id")], 3, 25).select("id", "invoice_number", "total", "page", "total_pages")
 
 
+@query(
+    "page_invoices_deep",
+    B.with_ctes(B.INVOICES, body="""SELECT id, invoice_number, (SELECT count(*) FROM invoices WHERE status = 'validated') AS total, 25 AS page,
+        greatest(1, ((SELECT count(*) FROM invoices WHERE status = 'validated') + 24) // 25) AS total_pages
+       FROM invoices WHERE status = 'validated' ORDER BY created_date DESC, id DESC LIMIT 25 OFFSET 600"""),
+)
+def page_invoices_deep(spark, d):
+    """A page located by counts of days, then of ranges of ids."""
+    found = search.search_invoices(B.invoices(spark, d), status="validated")
+    ranges = [-F.datediff("created_date", F.lit("1970-01-01").cast("date")), -F.floor(F.col("id") / 4096)]
+    page = search.page_of(found, [F.desc("created_date"), F.desc("id")], 25, 25, ranges=ranges, shallow=500)
+    return page.select("id", "invoice_number", "total", "page", "total_pages")
+
+
 @query(
     "list_recent",
     B.with_ctes(B.EVENTS, body="""SELECT id, invoice_id, action, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM ev ORDER BY ev.created_at DESC, id DESC"""),
@@ -292,12 +308,9 @@ def union_items_dedup(spark, d):
     return kept.select("doc_id", "item_key", "total_cents", F.when(F.col("rank") == 0, "model").otherwise("rule").alias("source"))
 
 
-@query(
-    "distinct_tax_ids",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'A' || doc_id || ',B' || doc_id ELSE 'A' || doc_id END AS ids FROM documents""",
-)
+@query("distinct_tax_ids", R.sheets_sql("""SELECT doc_id, vendor_tax || ',' || customer_tax AS ids FROM sheets"""))
 def distinct_tax_ids(spark, d):
-    key = F.col("doc_id").cast("string")
-    a, b = F.concat(F.lit("A"), key), F.concat(F.lit("B"), key)
-    found = F.array(a, F.when(F.col("doc_id") % 3 == 0, b).otherwise(a), a)
-    return B.documents(spark, d).select("doc_id", F.array_join(F.array_distinct(found), ",").alias("ids"))
+    """Identifiers printed on every invoice, each once in the order of its first place; the vendor's stands there again,
+    grouped by blanks and in small letters."""
+    again = F.concat(F.lit("\nRappel MF "), F.lower("vendor_tax"), F.lit("\nMF : "), F.regexp_replace("vendor_tax", "/", " / "))
+    return R.texts(spark, d).select("doc_id", F.array_join(E.distinct_tax_ids(F.concat("text", again)), ",").alias("ids"))

@@ -40,14 +40,15 @@ def src_file_listing(spark, d):
        FROM documents WHERE doc_id % 9 <> 0""",
 )
 def src_split_csv(spark, d):
-    """CSV lines per document: blanks around names, a byte-order mark on some, no annotation on some."""
+    """CSV files of every split, with a byte-order mark before the header, blanks around names and no annotation on some;
+    written once, then read by the CSV reader."""
     key = F.col("doc_id").cast("string")
-    mark = F.when(F.col("doc_id") % 7 == 0, "﻿").otherwise("")
     annotation = F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.concat(F.lit("ann"), key, F.lit(".json ")))
-    lines = B.documents(spark, d).select(
-        F.col("lang").alias("split"), F.concat(mark, F.lit("img"), key, F.lit(".jpg ,"), annotation).alias("line")
-    )
-    return annotations.split_lines_csv(lines)
+    rows = B.documents(spark, d).select("lang", F.concat(F.lit(" img"), key, F.lit(".jpg")), annotation).toDF("split", "\ufeffimg_path", "annot_path")
+    folder = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    plain = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows.write.options(**plain).partitionBy("split").csv(folder)
+    return annotations.read_split_folder(spark, folder)
 
 
 @query(

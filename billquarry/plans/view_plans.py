@@ -13,21 +13,26 @@ from billquarry.plans.registry import query
 from billquarry.sources import payloads
 
 
-@query(
-    "flt_invoice_search",
-    B.with_ctes(
-        B.INVOICES,
-        body="""SELECT id, invoice_number, supplier_name, status FROM invoices
-                WHERE (contains(lower(filename), '12') OR contains(lower(supplier_name), '12') OR contains(lower(customer_name), '12')
-                       OR contains(lower(invoice_number), '12'))
-                  AND contains(lower(supplier_name), 'customer#00000') AND contains(lower(customer_name), 'build') AND status = 'validated'""",
-    ),
-)
+def invoice_search_sql(status: str, **needles: str) -> str:
+    """Every search looks into its columns; all have to find something."""
+    parts = ["(" + " OR ".join(f"contains(lower({c}), '{n.lower()}')" for c in search.SEARCHED[name]) + ")" for name, n in needles.items()]
+    return B.with_ctes(B.INVOICES, body=f"SELECT id, invoice_number, supplier_name, status FROM invoices WHERE {' AND '.join(parts)} AND status = '{status}'")
+
+
+DIRECT = {"search": "12", "supplier": "customer#00000", "company": "BUILD", "tax_id": "A/m/0"}
+INDEXED = {"search": "0012", "supplier": "customer#00000", "company": "\"BUILD", "tax_id": "a/M/00"}
+
+
+@query("flt_invoice_search", invoice_search_sql("validated", **DIRECT))
 def flt_invoice_search(spark, d):
-    found = search.search_invoices(
-        B.invoices(spark, d), search="12", supplier="customer#00000", company="BUILD", status="validated"
-    )
-    return found.select("id", "invoice_number", "supplier_name", "status")
+    return search.search_invoices(B.invoices(spark, d), status="validated", **DIRECT).select("id", "invoice_number", "supplier_name", "status")
+
+
+@query("flt_invoice_search_index", invoice_search_sql("validated", **INDEXED))
+def flt_invoice_search_index(spark, d):
+    """A search through stored trigrams of all six columns."""
+    index = search.text_index(B.invoices(spark, d), "id", search.SEARCHED["search"])
+    return search.search_indexed(index, status="validated", **INDEXED).select("id", "invoice_number", "supplier_name", "status")
 
 
 @query(
@@ -311,29 +316,37 @@ def prj_classification_label(spark, d):
     return B.table(spark, d, "orders").select(key.alias("id"), label.alias("label"))
 
 
+EVIDENCE = """parts AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS part FROM documents),
+ evidence AS (SELECT doc_id, CASE n % 2 WHEN 0 THEN 'date' ELSE 'total' END AS field, 1000000 - n AS rank, CASE WHEN n % 3 = 0 THEN part END AS preview, CASE WHEN n % 3 = 1 THEN part ELSE '' END AS text,
+   CASE WHEN doc_id % 3 = 0 THEN CAST((doc_id + n) % 100 AS DOUBLE) / 100 WHEN doc_id % 3 = 1 AND n % 2 = 0 THEN CAST((doc_id + n) % 100 AS DOUBLE) END AS confidence,
+   CASE WHEN doc_id % 3 = 1 THEN CAST((doc_id + n) % 20 AS DOUBLE) / 2 END AS score FROM parts),
+ best AS (SELECT doc_id, field, arg_min({'preview': preview, 'text': text, 'confidence': confidence, 'score': score}, rank) AS e FROM evidence GROUP BY 1, 2),
+ fields AS (SELECT doc_id, field, text AS document, CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS value FROM documents, (SELECT unnest(['date', 'total', 'name']) AS field))"""
+
+
 @query(
     "prj_evidence_view",
-    """SELECT doc_id, left(text, 500) AS preview,
-         CASE WHEN doc_id % 3 = 0 THEN CAST(floor(CAST(doc_id % 100 AS DOUBLE) / 100 * 100 + 0.5) AS BIGINT)
-              WHEN doc_id % 3 = 1 THEN least(99, greatest(55, CAST(floor(CAST(doc_id % 20 AS DOUBLE) / 2 * 10 + 0.5) AS BIGINT)))
-              ELSE 86 END AS confidence
-       FROM documents""",
+    B.with_ctes(EVIDENCE, body="""SELECT f.doc_id, f.field, trim(left(coalesce(nullif(e.preview, ''), nullif(e.text, ''), document, ''), 500)) AS preview,
+         CASE WHEN value = '' THEN 0 WHEN e.confidence IS NOT NULL THEN CAST(floor(CASE WHEN e.confidence <= 1 THEN e.confidence * 100 ELSE e.confidence END + 0.5) AS BIGINT)
+              WHEN e.score IS NOT NULL THEN least(99, greatest(55, CAST(floor(e.score * 10 + 0.5) AS BIGINT))) ELSE 86 END AS confidence
+       FROM fields f LEFT JOIN best b ON f.doc_id = b.doc_id AND f.field = b.field"""),
 )
 def prj_evidence_view(spark, d):
-    """Best evidence row per document: its own confidence, else its score as a bounded percentage, else a default."""
-    key = F.col("doc_id")
-    rows = B.documents(spark, d).select(
-        "doc_id",
-        F.col("text"),
-        F.when(key % 3 == 0, (key % 100).cast("double") / 100).alias("own"),
-        F.when(key % 3 == 1, (key % 20).cast("double") / 2).alias("score"),
+    """Three fields of every document with the best of their evidence rows, which are the lines of the text, last ones first."""
+    docs, key, n = B.documents(spark, d), F.col("doc_id"), F.col("n")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "part")).withColumn("n", F.col("at") + 1)
+    number = (key + n) % 100
+    evidence = lines.select(
+        "doc_id", F.when(n % 2 == 0, "date").otherwise("total").alias("field"), (F.lit(1000000) - n).alias("rank"),
+        F.when(n % 3 == 0, F.col("part")).alias("preview"), F.when(n % 3 == 1, F.col("part")).otherwise("").alias("text"),
+        F.when(key % 3 == 0, number.cast("double") / 100).when((key % 3 == 1) & (n % 2 == 0), number.cast("double")).alias("confidence"),
+        F.when(key % 3 == 1, ((key + n) % 20).cast("double") / 2).alias("score"),
     )
-    bounded = F.when(F.col("score").isNotNull(), F.least(F.lit(99), F.greatest(F.lit(55), F.floor(F.col("score") * 10 + 0.5))))
-    return rows.select(
-        "doc_id",
-        F.substring("text", 1, 500).alias("preview"),
-        F.coalesce(F.floor(F.when(F.col("own") <= 1, F.col("own") * 100).otherwise(F.col("own")) + 0.5), bounded, F.lit(86)).cast("long").alias("confidence"),
+    fields = docs.select(
+        "doc_id", F.explode(F.array(F.lit("date"), F.lit("total"), F.lit("name"))).alias("field"),
+        F.when(key % 11 == 0, "").otherwise(F.col("source")).alias("value"), F.col("text").alias("document"),
     )
+    return views.with_best_evidence(fields, evidence, 86).select("doc_id", "field", "preview", "confidence")
 
 
 BOX_SQL = "CAST(event_id % 10 AS DOUBLE) * 50 - 20 AS x1, CAST(event_id % 7 AS DOUBLE) * 60 AS y1, CAST(event_id % 10 AS DOUBLE) * 50 + 130 AS x2, CAST(event_id % 7 AS DOUBLE) * 60 + 101.5 AS y2"

@@ -42,6 +42,12 @@ def read_split_csv(spark: SparkSession, folder: str, splits: tuple[str, ...] = (
     return split_rows(reduce(DataFrame.unionByName, [one(s) for s in splits]))
 
 
+def read_split_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV files in a folder for each split (``split=name``); a byte-order mark before a header is tolerated."""
+    raw = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(folder)
+    return split_rows(raw.toDF(*[name.lstrip("\ufeff").strip() for name in raw.columns]))
+
+
 def split_lines_csv(lines: DataFrame, column: str = "line") -> DataFrame:
     """The same rows from CSV lines already held in a column."""
     parsed = F.from_csv(F.regexp_replace(F.col(column), "^﻿", ""), F.lit("img_path STRING, annot_path STRING"))
