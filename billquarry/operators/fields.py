@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from billquarry import vocabulary as V
 from billquarry.functions import dates, parties
@@ -362,20 +361,37 @@ def named_contacts(name: Column, text: Column) -> Column:
 def cell_roles(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Role of every cell: the nearest party label at or above it in its column within twelve lines.
 
-    A table or page line ends the search upwards; "raison sociale" counts as the customer.
+    A table or page line ends the search upwards; "raison sociale" counts as the customer. Each line looks at the twelve
+    lines up to it in the document's own row.
     """
-    rows = docs.select(doc, F.posexplode(X.split_lines(F.col(text))).alias("_pos", "_raw"))
-    cells = rows.select(doc, "_pos", F.col("_raw").rlike(X.IU + V.ROLE_ZONE_END).alias("_end"), F.posexplode(F.split("_raw", r"\|")).alias("col", "_cell"))
-    cell = F.trim("_cell")
-    role = F.lit(None).cast("string")
-    for name, pattern in reversed(list(V.ROLE_WORDS.items())):
-        role = F.when(cell.rlike(X.IU + pattern), F.lit(name)).otherwise(role)
-    role = F.coalesce(role, F.when(cell.rlike(X.IU + r"raison\s*sociale?"), F.lit("customer")))
-    by_doc = Window.partitionBy(doc).orderBy("_pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    by_column = Window.partitionBy(doc, "col").orderBy("_pos").rangeBetween(-11, Window.currentRow)
-    tagged = cells.withColumn("_stop", F.max(F.when(F.col("_end"), F.col("_pos"))).over(by_doc)).withColumn("_role", F.when(role.isNotNull(), F.struct(F.col("_pos").alias("at"), role.alias("role"))))
-    nearest = tagged.withColumn("_near", F.last("_role", ignorenulls=True).over(by_column))
-    return nearest.select(
-        doc, (F.col("_pos") + 1).alias("line_id"), "col", cell.alias("cell"),
-        F.when(~F.col("_end") & (F.col("_stop").isNull() | (F.col("_near.at") > F.col("_stop"))), F.col("_near.role")).alias("role"),
-    )
+    def role_of(cell: Column) -> Column:
+        role = F.lit(None).cast("string")
+        for name, pattern in reversed(list(V.ROLE_WORDS.items())):
+            role = F.when(cell.rlike(X.IU + pattern), F.lit(name)).otherwise(role)
+        return F.coalesce(role, F.when(cell.rlike(X.IU + r"raison\s*sociale?"), F.lit("customer")))
+
+    def cells_of(line: Column) -> Column:
+        cells = F.transform(F.split(line, r"\|"), lambda c: F.trim(c))
+        return X.let(cells, lambda cs: F.struct(line.rlike(X.IU + V.ROLE_ZONE_END).alias("end"), cs.alias("cells"), F.transform(cs, role_of).alias("roles")))
+
+    def look_back(rows: Column) -> Column:
+        def of_line(row: Column, i: Column) -> Column:
+            above = F.slice(rows, F.greatest(i - 10, F.lit(1)), F.least(i + 1, F.lit(12)))
+
+            def after_end(near: Column) -> Column:
+                last_end = F.coalesce(F.array_max(F.transform(near, lambda r, k: F.when(r["end"], k))), F.lit(-1))
+                return X.let(last_end, lambda end: F.slice(near, end + 2, F.lit(12)))
+
+            def told(near: Column) -> Column:
+                def nearest(cell: Column, c: Column) -> Column:
+                    seen = F.array_compact(F.transform(near, lambda r: F.get(r["roles"], c)))
+                    return F.struct(c.alias("col"), cell.alias("cell"), F.get(F.reverse(seen), F.lit(0)).alias("role"))
+
+                return F.struct((i + 1).alias("line_id"), F.transform(row["cells"], nearest).alias("cells"))
+
+            return X.let(X.let(above, after_end), told)
+
+        return F.transform(rows, of_line)
+
+    found = X.let(F.transform(X.split_lines(F.col(text)), cells_of), look_back)
+    return docs.select(doc, F.inline(found)).select(doc, "line_id", F.inline("cells"))
