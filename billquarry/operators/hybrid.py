@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billquarry import vocabulary as V
@@ -66,8 +66,8 @@ class Questions:
     repeats: list[tuple[np.ndarray, np.ndarray]]
 
 
-def _asked(questions: DataFrame) -> DataFrame:
-    expanded = questions.select("qid", X.expand_question(F.col("question")).alias("question"))
+def _asked(questions: DataFrame, expand: bool) -> DataFrame:
+    expanded = questions.select("qid", X.expand_question(F.col("question")).alias("question")) if expand else questions
     tokens = X.long_tokens(F.col("question"))
     phrases = F.array(*[F.array_join(tokens, " ").contains(p) for p in V.IMPORTANT_PHRASES])
     return expanded.select("qid", X.plain_tokens(F.col("question")).alias("plain"), tokens.alias("long"), phrases.alias("phrases"))
@@ -83,7 +83,7 @@ def _block(rows: list) -> Questions:
             at = vocabulary.setdefault(token, len(vocabulary))
             counts[at] = counts.get(at, 0) + 1
         repeats.append((np.array(list(counts), dtype=np.int64), np.array(list(counts.values()), dtype=np.int64)))
-    phrases = np.array([[bool(p) for p in r["phrases"] or [False] * len(V.IMPORTANT_PHRASES)] for r in rows])
+    phrases = np.array([[bool(p) for p in r["phrases"] or [False] * len(V.IMPORTANT_PHRASES)] for r in rows], dtype=bool).reshape(len(rows), -1 if rows else len(V.IMPORTANT_PHRASES))
     return Questions([r["qid"] for r in rows], vectors, (vectors * vectors).sum(axis=1), np.array([len(r["long"] or []) for r in rows]), phrases, vocabulary, repeats)
 
 
@@ -109,14 +109,14 @@ class Best:
         self.rows = kept
 
 
-def _compared(asked: Questions, keys: int, k: int, names: list[str], kinds: list[pa.DataType]):
+def _compared(asked: Questions, keys: int, k: int, names: list[str], kinds: list[pa.DataType], semantic: float, lexical: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, best = Hashed(), [Best(k) for _ in asked.ids]
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows_keys = list(zip(*(c.to_pylist() for c in batch.columns[:keys])))
-            vectors = hashed.matrix(batch.column(keys))
+            vectors = hashed.matrix(batch.column(keys)) if semantic else np.zeros((batch.num_rows, V.HASH_DIMENSIONS))
             norms = (vectors * vectors).sum(axis=1)
             long = batch.column(keys + 1)
             lengths = long.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -134,11 +134,11 @@ def _compared(asked: Questions, keys: int, k: int, names: list[str], kinds: list
                 if not len(tokens):
                     continue
                 # what even a lexical score of 1 could not lift to the k-th place is left out
-                able = np.flatnonzero(SEMANTIC * cosine[n] + LEXICAL >= held.floor - ROOM)
+                able = np.flatnonzero(semantic * cosine[n] + lexical >= held.floor - ROOM)
                 overlap = holds[np.ix_(able, tokens)] @ repeats
                 able, overlap = able[overlap > 0], overlap[overlap > 0]
                 both = (flags[able] & asked.phrases[n]).sum(axis=1)
-                score = SEMANTIC * cosine[n, able] + LEXICAL * np.minimum(1.0, overlap / asked.sizes[n] + both * PHRASE)
+                score = semantic * cosine[n, able] + lexical * np.minimum(1.0, overlap / asked.sizes[n] + both * PHRASE)
                 if len(able) > 4 * k:
                     floor = max(held.floor, np.partition(score, len(score) - k)[len(score) - k])
                     high = np.flatnonzero(score >= floor - ROOM)
@@ -155,19 +155,15 @@ def _compared(asked: Questions, keys: int, k: int, names: list[str], kinds: list
     return run
 
 
-def search(questions: DataFrame, passages: DataFrame, passage_keys: list[str], k: int = 5) -> DataFrame:
-    """(``qid``, keys, ``score``, ``rank``) of the best passages of each question; k is clamped to 1..20.
-
-    A passage without a word of the question does not appear, whatever its semantic score; scores are rounded to four
-    places and equal ones ranked by key. ``questions``: ``qid``, ``question``, read in blocks of at most about ``BLOCK``.
-    """
+def _found(questions: DataFrame, passages: DataFrame, passage_keys: list[str], k: int, expand: bool, semantic: float, lexical: float) -> DataFrame:
+    """What each task kept, as whole numbers: the k best passages of each question are among it."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    k = max(1, min(20, k))
-    asked = written(_asked(questions), "hybrid-questions")
+    asked = written(_asked(questions, expand), "hybrid-questions")
     flags = F.array(*[F.lower("text").contains(p) for p in V.IMPORTANT_PHRASES])
-    prepared = passages.select(*passage_keys, X.plain_tokens(F.col("text")).alias("_plain"), X.long_tokens(F.col("text")).alias("_long"), flags.alias("_phrases"))
-    blocks = -(-asked.count() // BLOCK)
+    plain = X.plain_tokens(F.col("text")) if semantic else F.array().cast("array<string>")
+    prepared = passages.select(*passage_keys, plain.alias("_plain"), X.long_tokens(F.col("text")).alias("_long"), flags.alias("_phrases"))
+    blocks = max(1, -(-asked.count() // BLOCK))
     if blocks > 1:
         prepared = written(prepared, "hybrid-passages")
     names = ["qid", *passage_keys, "_dot", "_nq", "_np", "_overlap", "_asked", "_both"]
@@ -175,13 +171,33 @@ def search(questions: DataFrame, passages: DataFrame, passage_keys: list[str], k
     kinds = [to_arrow_type(f.dataType) for f in fields] + [pa.int64()] * 6
     schema = ", ".join([f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, fields)] + [f"{n} long" for n in names[len(fields) :]])
     found = None
-    for block in range(max(blocks, 1)):
-        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(max(blocks, 1))) == block).collect()
-        part = prepared.mapInArrow(_compared(_block(rows), len(passage_keys), k, names, kinds), schema) if rows else None
-        found = part if found is None else found if part is None else found.unionByName(part)
-    if found is None:
-        found = prepared.limit(0).mapInArrow(_compared(_block([]), len(passage_keys), k, names, kinds), schema)
-    lexical = F.least(F.lit(1.0), F.col("_overlap") / F.col("_asked") + F.col("_both") * F.lit(PHRASE))
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).collect()
+        part = prepared.mapInArrow(_compared(_block(rows), len(passage_keys), k, names, kinds, semantic, lexical), schema)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _lexical() -> Column:
+    return F.least(F.lit(1.0), F.col("_overlap") / F.col("_asked") + F.col("_both") * F.lit(PHRASE))
+
+
+def search(questions: DataFrame, passages: DataFrame, passage_keys: list[str], k: int = 5) -> DataFrame:
+    """(``qid``, keys, ``score``, ``rank``) of the best passages of each question; k is clamped to 1..20.
+
+    A passage without a word of the question does not appear, whatever its semantic score; scores are rounded to four
+    places and equal ones ranked by key. ``questions``: ``qid``, ``question``, read in blocks of at most about ``BLOCK``.
+    """
+    k = max(1, min(20, k))
+    found = _found(questions, passages, passage_keys, k, True, SEMANTIC, LEXICAL)
     semantic = F.coalesce(F.try_divide(F.col("_dot").cast("double"), F.sqrt(F.col("_nq").cast("double") * F.col("_np"))), F.lit(0.0))
-    scored = found.select("qid", *passage_keys, F.round(semantic * SEMANTIC + lexical * LEXICAL, 4).alias("score"))
+    scored = found.select("qid", *passage_keys, F.round(semantic * SEMANTIC + _lexical() * LEXICAL, 4).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), *[F.col(c) for c in passage_keys]], k)
+
+
+def lexical(questions: DataFrame, passages: DataFrame, passage_keys: list[str], k: int) -> DataFrame:
+    """(``qid``, keys, ``lexical``, ``rank``) of the k passages of each question with the largest share of its words, plus
+    0.35 per important phrase in both, at most 1; equal ones are ranked by key."""
+    found = _found(questions, passages, passage_keys, k, False, 0.0, 1.0)
+    scored = found.select("qid", *passage_keys, _lexical().alias("lexical"))
+    return top_k(scored, ["qid"], [F.desc("lexical"), *[F.col(c) for c in passage_keys]], k)

@@ -79,8 +79,7 @@ LEXICAL = f"""asked AS (SELECT item_id AS qid, list_filter({folded_words('text')
 @query("ret_lexical_overlap", B.with_ctes(CHUNK_ROWS, LEXICAL, body="""SELECT qid, doc_id, chunk_index, round(lexical, 6) AS lexical, r AS rank FROM
     (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, doc_id, chunk_index) AS r FROM lex) WHERE r <= 20"""))
 def ret_lexical_overlap(spark, d):
-    scored = T.lexical_overlap(questions(spark, d), corpus(spark, d), ["doc_id", "chunk_index"])
-    best = T.top_k(scored, ["qid"], [F.desc("lexical"), F.col("doc_id"), F.col("chunk_index")], 20)
+    best = H.lexical(questions(spark, d), corpus(spark, d), ["doc_id", "chunk_index"], 20)
     return best.withColumn("lexical", F.round("lexical", 6))
 
 

@@ -110,3 +110,5 @@ def test_hybrid_has_the_rows_of_the_plain_one(spark, monkeypatch):
     assert told(hybrid.search(questions, passages, ["doc", "part"], 5)) == want
     assert told(hybrid.search(questions, passages, ["doc", "part"], 99)) == told(plain_hybrid(questions, passages, ["doc", "part"], 20))
     assert V.HASH_DIMENSIONS == 384 and hybrid.search(questions.where("false"), passages, ["doc", "part"]).collect() == []
+    plain = retrieval.top_k(retrieval.lexical_overlap(questions, passages, ["doc", "part"]), ["qid"], [F.desc("lexical"), F.col("doc"), F.col("part")], 7)
+    assert told(hybrid.lexical(questions, passages, ["doc", "part"], 7)) == told(plain)
