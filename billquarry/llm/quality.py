@@ -3,6 +3,11 @@
 A sketch is a histogram of buckets with a relative width of at most 1/32, one row a bucket: two sketches are merged by
 adding counts, so they are built by partial aggregates, and those of a language or of everything are sums of the finer
 ones. A group with few documents takes the limits of its language, and a small language those of all documents.
+
+A limit is read off the quantiles of its sketch. From the median outwards the body of a group goes on as long as the next
+quantile follows the one before without a jump; the limit is the farthest value that would still have followed on from the
+body's last quantile. What a jump is (a factor and a step) is fixed for a measure; where it lies is each group's own.
+Quantiles are shares, so junk of up to some 40 % of a group does not move its limits, and the size of a group does not either.
 """
 
 from __future__ import annotations
@@ -17,15 +22,17 @@ from billquarry.llm.shared import small_batches, stash
 
 #: Base rules: fewest words; most words in repeated windows, in hundredths.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Words in a window, documents a group needs for limits of its own, and how many spreads a value may be off the median.
-WINDOW, GROUP, SPREADS = 8, 100, 8
-#: Measures, each an integer per document, with the least width of its limit on either side of the median (0: no lower limit).
+#: Words in a window, and documents a group needs for limits of its own.
+WINDOW, GROUP = 8, 100
+#: Per cents of the quantiles from the median outwards, above it; below it they are mirrored.
+SHARES = (50, 60, 70, 80, 85, 90, 95, 98, 99)
+#: Measures, each an integer per document; a quantile above ``factor`` times the one before plus ``step`` is a jump; lower limits too?
 MEASURES = {
-    "length": ("100 * word_chars DIV GREATEST(n_words, 1)", 80, 80),
-    "symbols": ("1000 * n_symbols DIV GREATEST(n_words, 1)", 100, 0),
-    "repeats": ("1000 * n_repeat_words DIV GREATEST(n_words, 1)", 240, 0),
-    "copies": ("1000 * n_dup_lines DIV GREATEST(n_lines, 1)", 400, 0),
-    "doubled": ("1000 * n_doubled DIV GREATEST(n_words, 1)", 200, 0),
+    "length": ("100 * word_chars DIV GREATEST(n_words, 1)", 1, 80, True),
+    "symbols": ("1000 * n_symbols DIV GREATEST(n_words, 1)", 2, 100, False),
+    "repeats": ("1000 * n_repeat_words DIV GREATEST(n_words, 1)", 2, 180, False),
+    "copies": ("1000 * n_dup_lines DIV GREATEST(n_lines, 1)", 1, 250, False),
+    "doubled": ("1000 * n_doubled DIV GREATEST(n_words, 1)", 2, 80, False),
 }
 #: Short texts scatter more: widths grow by this many words over the number of words.
 SLACK = 40
@@ -98,8 +105,16 @@ def _base_failed() -> Column:
     return F.expr(f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words")
 
 
+def _limit(struct: str, factor: int, step: int, above: bool) -> str:
+    """SQL: the farthest value that follows on from the body, by the quantiles in a struct."""
+    names = [f"{struct}.q{k if above else 100 - k}" for k in SHARES]
+    follows = [f"{factor} * {q} + {step}" if above else f"{q} - {step}" for q in names]
+    jumps = "".join(f"WHEN {nxt} {'>' if above else '<'} {far} THEN {far} " for far, nxt in zip(follows, names[1:]))
+    return f"CASE {jumps}ELSE {follows[-1]} END"
+
+
 def limits(counts: DataFrame) -> DataFrame:
-    """Median and widths of every measure for each (``lang``, ``source``) of ``counts``.
+    """Median and distances of the limits from it, of every measure for each (``lang``, ``source``) of ``counts``.
 
     Documents without words are in no sketch, but their groups are in the result.
     """
@@ -120,10 +135,12 @@ def limits(counts: DataFrame) -> DataFrame:
     running = levels.selectExpr(
         "*", "SUM(n) OVER (PARTITION BY level, lang, source, m ORDER BY bucket) AS upto", "SUM(n) OVER (PARTITION BY level, lang, source, m) AS total"
     )
-    quartiles = running.groupBy("level", "lang", "source", "m").agg(
-        F.max("total").alias("total"), *[F.expr(f"MIN(IF(4 * upto >= {k} * total, bucket, NULL))").alias(f"q{k}") for k in (1, 2, 3)]
+    shares = sorted({*SHARES, *(100 - k for k in SHARES)})
+    quantiles = running.groupBy("level", "lang", "source", "m").agg(
+        F.max("total").alias("total"), *[F.expr(f"MIN(IF(100 * upto >= {k} * total, bucket, NULL))").alias(f"q{k}") for k in shares]
     )
-    own, language, everything = (quartiles.where(F.col("level") == k).select("lang", "source", "m", F.struct("total", "q1", "q2", "q3").alias(f"s{k}")) for k in (2, 1, 0))
+    columns = ["total", *(f"q{k}" for k in shares)]
+    own, language, everything = (quantiles.where(F.col("level") == k).select("lang", "source", "m", F.struct(*columns).alias(f"s{k}")) for k in (2, 1, 0))
     groups = fine.select("lang", "source", "m").distinct()
     found = (
         groups.alias("g")
@@ -133,22 +150,19 @@ def limits(counts: DataFrame) -> DataFrame:
         .selectExpr("g.lang", "g.source", "g.m", f"CASE WHEN s2.total >= {GROUP} THEN s2 WHEN s1.total >= {GROUP} THEN s1 ELSE s0 END AS s")
     )
     wide = []
-    for m, (_, above, below) in MEASURES.items():
-        of = f"MAX(IF(m = '{m}', s, NULL))"
-        wide += [
-            F.expr(f"{of}.q2").alias(f"{m}_median"),
-            F.expr(f"GREATEST({SPREADS} * ({of}.q2 - {of}.q1), {above})").alias(f"{m}_above"),
-            F.expr(f"GREATEST({SPREADS} * ({of}.q3 - {of}.q2), {below})").alias(f"{m}_below"),
-        ]
+    for m, (_, factor, step, lower) in MEASURES.items():
+        wide += [F.expr(f"MAX(IF(m = '{m}', s.q50, NULL))").alias(f"{m}_median"), F.expr(f"MAX(IF(m = '{m}', {_limit('s', factor, step, True)} - s.q50, NULL))").alias(f"{m}_above")]
+        if lower:
+            wide.append(F.expr(f"MAX(IF(m = '{m}', s.q50 - ({_limit('s', factor, step, False)}), NULL))").alias(f"{m}_below"))
     return stash(found.groupBy("lang", "source").agg(*wide), "quality-limits")
 
 
 def _outside() -> str:
     """SQL: some measure is further from its group's median than the limit allows."""
     tests = []
-    for m, (value, _, below) in MEASURES.items():
+    for m, (value, _, _, lower) in MEASURES.items():
         tests.append(f"(({value}) - {m}_median) * n_words > {m}_above * (n_words + {SLACK})")
-        if below:
+        if lower:
             tests.append(f"({m}_median - ({value})) * n_words > {m}_below * (n_words + {SLACK})")
     return " OR ".join(tests)
 

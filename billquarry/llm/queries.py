@@ -32,12 +32,13 @@ def _quality_sql() -> str:
     bucket = "CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END"
     value = {m: e[0].replace("DIV", "//") for m, e in quality.MEASURES.items()}
     rows = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS m, CASE WHEN n_words > 0 THEN {v} END AS v FROM counts" for m, v in value.items())
-    widths = "GREATEST({k} * (q2 - q1), CASE m {above} END) AS above, GREATEST({k} * (q3 - q2), CASE m {below} END) AS below".format(
-        k=quality.SPREADS,
-        above=" ".join(f"WHEN '{m}' THEN {e[1]}" for m, e in quality.MEASURES.items()),
-        below=" ".join(f"WHEN '{m}' THEN {e[2]}" for m, e in quality.MEASURES.items()),
-    )
-    lower = ", ".join(f"'{m}'" for m, e in quality.MEASURES.items() if e[2])
+    lower = ", ".join(f"'{m}'" for m, e in quality.MEASURES.items() if e[3])
+    factor = "CASE m {} END".format(" ".join(f"WHEN '{m}' THEN {e[1]}" for m, e in quality.MEASURES.items()))
+    step = "CASE m {} END".format(" ".join(f"WHEN '{m}' THEN {e[2]}" for m, e in quality.MEASURES.items()))
+    up, down = quality.SHARES, [100 - k for k in quality.SHARES]
+    top = " ".join(f"WHEN q{b} > factor * q{a} + step THEN q{a}" for a, b in zip(up, up[1:]))
+    bottom = " ".join(f"WHEN q{b} < q{a} - step THEN q{a}" for a, b in zip(down, down[1:]))
+    quantiles = ", ".join(f"MIN(CASE WHEN 100 * upto >= {k} * total THEN bucket END) AS q{k}" for k in sorted({*up, *down}))
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, COALESCE(text, '') AS text FROM documents),
 split AS (
@@ -63,21 +64,17 @@ levels AS (
 running AS (
   SELECT *, SUM(n) OVER (PARTITION BY level, lang, source, m ORDER BY bucket) AS upto, SUM(n) OVER (PARTITION BY level, lang, source, m) AS total FROM levels
 ),
-quartiles AS (
-  SELECT level, lang, source, m, MAX(total) AS total, MIN(CASE WHEN 4 * upto >= total THEN bucket END) AS q1,
-    MIN(CASE WHEN 2 * upto >= total THEN bucket END) AS q2, MIN(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
-  FROM running GROUP BY ALL
-),
+quantiles AS (SELECT level, lang, source, m, {factor} AS factor, {step} AS step, MAX(total) AS total, {quantiles} FROM running GROUP BY ALL),
+bodies AS (SELECT *, CASE {top} ELSE q{up[-1]} END AS body_top, CASE {bottom} ELSE q{down[-1]} END AS body_bottom FROM quantiles),
 chosen AS (
-  SELECT x.rid, x.m, x.v, q.q1, q.q2, q.q3 FROM measured x JOIN quartiles q ON q.m = x.m AND (
+  SELECT x.rid, x.m, x.v, q.q50, q.factor * q.body_top + q.step AS most, q.body_bottom - q.step AS least FROM measured x JOIN bodies q ON q.m = x.m AND (
     q.level = 2 AND q.lang IS NOT DISTINCT FROM x.lang AND q.source IS NOT DISTINCT FROM x.source AND q.total >= {quality.GROUP}
     OR q.level = 1 AND q.lang IS NOT DISTINCT FROM x.lang AND q.total >= {quality.GROUP} OR q.level = 0)
   QUALIFY row_number() OVER (PARTITION BY x.rid, x.m ORDER BY q.level DESC) = 1
 ),
-limited AS (SELECT rid, m, v, q2, {widths} FROM chosen WHERE v IS NOT NULL),
 outliers AS (
-  SELECT DISTINCT l.rid FROM limited l JOIN counts c ON l.rid = c.rid
-  WHERE (v - q2) * n_words > above * (n_words + {quality.SLACK}) OR m IN ({lower}) AND (q2 - v) * n_words > below * (n_words + {quality.SLACK})
+  SELECT DISTINCT l.rid FROM chosen l JOIN counts c ON l.rid = c.rid
+  WHERE v IS NOT NULL AND ((v - q50) * n_words > (most - q50) * (n_words + {quality.SLACK}) OR m IN ({lower}) AND (q50 - v) * n_words > (q50 - least) * (n_words + {quality.SLACK}))
 )
 SELECT doc_id, {", ".join(quality.COUNTS)}, base_failed, outlier, NOT base_failed AND NOT outlier AS kept FROM (
   SELECT c.*, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, o.rid IS NOT NULL AS outlier

@@ -51,6 +51,31 @@ def test_limits_stay_right_where_a_third_of_a_group_is_junk(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in quality.judge(docs).collect())
 
 
+def plain_limit(values, factor, step):
+    """The body of sorted values ends before the first jump between neighbouring quantiles."""
+    ordered = sorted(values)
+    at = [ordered[-(-k * len(ordered) // 100) - 1] for k in quality.SHARES]
+    for now, following in zip(at, at[1:]):
+        if following > factor * now + step:
+            return factor * now + step
+    return factor * at[-1] + step
+
+
+def test_each_group_has_limits_of_its_own(spark):
+    """Buckets up to 63 are exact, so the limits of small values equal those of the values themselves."""
+    chance = random.Random(8)
+    rows, values = [], {}
+    for source, spread, junk in [("calm", 5, 0), ("wide", 60, 0), ("soiled", 20, 130)]:
+        for n in range(400):
+            doubled = 900 if n < junk else chance.randrange(spread)
+            values.setdefault(source, []).append(doubled)
+            rows.append(("en", source, 1000, 5000, 0, 0, 0, 10, doubled))
+    counts = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    got = {r.source: r.doubled_median + r.doubled_above for r in quality.limits(counts).collect()}
+    assert got == {s: plain_limit(v, *quality.MEASURES["doubled"][1:3]) for s, v in values.items()}
+    assert len(set(got.values())) == 3 and got["soiled"] < 130
+
+
 def test_sql_gives_the_same_rows(spark, data, con_llm):
     df = queries.op1_quality_rules(spark, data)
     result = con_llm.execute(queries.SQL["op1_quality_rules"])
