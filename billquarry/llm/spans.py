@@ -1,9 +1,14 @@
 """Substring de-duplication by sliding sentence spans.
 
-A text is read as sentences: they end with a word that ends with ``.``, ``!`` or ``?``, with a line, or after ``PIECE`` words.
+A text is read as sentences: they end with a word that ends with ``.``, ``!`` or ``?``, or with a line. In every window of
+``WINDOW`` words without such an end the word with the smallest hash (the last of equal ones) ends a piece, and pieces are
+sentences too. So cuts depend on the words around them alone: a passage is cut alike wherever it stands, but for some words
+at its ends if it begins or ends inside a sentence, and no sentence has more than ``WINDOW`` words.
+
 From every sentence forwards and backwards the shortest run with at least ``SENTENCES`` sentences and ``WORDS`` words is
 hashed. A passage that repeats is made of such runs up to both of its ends. Runs join globally by their hash; the first is
-the one of the smallest document id, and there the first place. Sentences covered by any other one are removed.
+the one of the smallest document id, and there the first place. Sentences covered by any other one are removed, where those
+that follow each other have ``PASSAGE`` words or more.
 
 One document sends each run once, however often it holds it. The smallest document of a run and the number of its
 documents are plain aggregates, and only runs of several documents are joined back, so a passage that a third of all
@@ -14,22 +19,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billquarry.llm.shared import small_batches, stash
 
-#: Least sentences and words of a run; most words of a sentence.
-SENTENCES, WORDS, PIECE = 3, 25, 20
+#: Least sentences and words of a run; words in a window that holds an end; least words of a stretch that is removed.
+SENTENCES, WORDS, WINDOW, PASSAGE = 2, 16, 12, 25
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _ENDS = frozenset(".!?")
 _WORD = re.compile(r"\S+")
 
 
+@lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2 ** 64, as many as are asked for."""
 
@@ -58,11 +70,14 @@ def sentence_ends(text: str) -> tuple[list[str], np.ndarray]:
     ends[1:] = np.fromiter((w[-1] in _ENDS for w in words), dtype=bool, count=len(words))
     ends[lines] = True
     ends[0] = False
+    if len(words) >= WINDOW:
+        hashes = np.fromiter(map(_word_hash, words), dtype=np.uint64, count=len(words))
+        upto = np.cumsum(ends)  # ends among the first words; ends[n] says that n words end a sentence
+        free = np.flatnonzero(upto[WINDOW:] == upto[: len(words) - WINDOW + 1])
+        if len(free):
+            backwards = sliding_window_view(hashes, WINDOW)[:, ::-1].argmin(axis=1)  # the first found is the last of equal ones
+            ends[free + WINDOW - backwards[free]] = True
     at = np.flatnonzero(ends)
-    starts = np.concatenate([[0], at[:-1]]) if len(at) else at
-    if (long := at - starts > PIECE).any():
-        more = [np.arange(a + PIECE, b, PIECE) for a, b in zip(starts[long].tolist(), at[long].tolist())]
-        at = np.sort(np.concatenate([at, *more]))
     return words, at
 
 
@@ -90,7 +105,7 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def without(text: str, spans: list[int]) -> tuple[str, int, int]:
-    """The text without the sentences of the spans (first << 32 | end), how many those are, and how many it had.
+    """The text without the sentences of the spans (first << 32 | end), how many are gone, and how many it had.
 
     What stands between two kept sentences that are neighbours stays as it is; where sentences are gone between them, the
     white space before the later one parts them.
@@ -100,7 +115,12 @@ def without(text: str, spans: list[int]) -> tuple[str, int, int]:
     for span in spans:
         gone[span >> 32] += 1
         gone[span & 0xFFFFFFFF] -= 1
-    removed = np.cumsum(gone[:-1]) > 0
+    covered = np.cumsum(gone[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+    upto = np.concatenate([[0], ends])
+    removed = np.zeros(len(ends), dtype=bool)
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        removed[a:b] = upto[b] - upto[a] >= PASSAGE
     if not removed.any():
         return text, 0, len(ends)
     places = [m.span() for m in _WORD.finditer(text)]
