@@ -19,12 +19,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +35,19 @@ _ENDS = frozenset(".!?")
 _WORD = re.compile(r"\S+")
 
 
-@lru_cache(1 << 16)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+class _Codes(dict):
+    """A 64-bit hash of each word asked for, its lowest bit set if the word ends a sentence; forgets all when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word[-1] in _ENDS)
+        if len(word) <= 40:
+            if len(self) >= 1 << 18:
+                self.clear()
+            self[word] = code
+        return code
+
+
+_CODES = _Codes()
 
 
 class Powers:
@@ -58,47 +66,48 @@ class Powers:
 _POWERS = Powers()
 
 
-def sentence_ends(text: str) -> tuple[list[str], np.ndarray]:
-    """Words of a text, and for each sentence the number of words up to its end."""
-    words: list[str] = []
-    lines = []
+def sentence_ends(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of a text, and for each sentence the number of words up to its end."""
+    found: list[np.ndarray] = []
+    lines, count = [], 0
     for line in text.split("\n"):
-        if found := line.split():
-            words += found
-            lines.append(len(words))
-    ends = np.zeros(len(words) + 1, dtype=bool)
-    ends[1:] = np.fromiter((w[-1] in _ENDS for w in words), dtype=bool, count=len(words))
+        if words := line.split():
+            found.append(np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words)))
+            count += len(words)
+            lines.append(count)
+    codes = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+    ends = np.zeros(count + 1, dtype=bool)
+    ends[1:] = (codes & np.uint64(1)).astype(bool)
     ends[lines] = True
-    ends[0] = False
-    if len(words) >= WINDOW:
-        hashes = np.fromiter(map(_word_hash, words), dtype=np.uint64, count=len(words))
-        upto = np.cumsum(ends)  # ends among the first words; ends[n] says that n words end a sentence
-        free = np.flatnonzero(upto[WINDOW:] == upto[: len(words) - WINDOW + 1])
+    if count >= WINDOW:
+        upto = np.cumsum(ends)  # ends[n] says that n words end a sentence
+        free = np.flatnonzero(upto[WINDOW:] == upto[: count - WINDOW + 1])
         if len(free):
-            backwards = sliding_window_view(hashes, WINDOW)[:, ::-1].argmin(axis=1)  # the first found is the last of equal ones
-            ends[free + WINDOW - backwards[free]] = True
-    at = np.flatnonzero(ends)
-    return words, at
+            # upper half of the hash, then the place counted backwards: the least of a window is the last of equal hashes
+            least, size = codes & np.uint64(0xFFFFFFFF00000000) | np.uint64(0xFFFFFFFF) - np.arange(count, dtype=np.uint64), 1
+            while size < WINDOW:
+                more = min(size, WINDOW - size)
+                least = np.minimum(least[:-more], least[more:])
+                size += more
+            ends[(np.uint64(0x100000000) - (least[free] & np.uint64(0xFFFFFFFF))).astype(np.int64)] = True
+    return codes, np.flatnonzero(ends)
 
 
 def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first sentence and end of every run of a text."""
+    """Hash, first sentence and end of every run of a text; runs of the same words have the same hash."""
     words, ends = sentence_ends(text)
     count = len(ends)
     if count < SENTENCES:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     upto = np.concatenate([[0], ends])
-    digest = xxhash.xxh64_intdigest
-    bounds = upto.tolist()
-    each = np.fromiter((digest(" ".join(words[a:b]).encode("utf-8", "surrogatepass")) for a, b in zip(bounds, bounds[1:])), dtype=np.uint64, count=count)
     forward = np.maximum(np.searchsorted(upto, upto[:-1] + WORDS), np.arange(count) + SENTENCES)
     backward = np.minimum(np.searchsorted(upto, upto[1:] - WORDS, side="right") - 1, np.arange(1, count + 1) - SENTENCES)
     low, high = np.flatnonzero(forward <= count), np.flatnonzero(backward >= 0)
     codes = np.unique(np.concatenate([low * (count + 1) + forward[low], backward[high] * (count + 1) + high + 1]))
     first, end = np.divmod(codes, count + 1)
-    up, down = _POWERS(count + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(each * up[:count], dtype=np.uint64)])
-    hashes = (sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)
+    up, down = _POWERS(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    hashes = (sums[upto[end]] - sums[upto[first]]) * down[upto[first]] + (upto[end] - upto[first]).astype(np.uint64)
     hashes ^= hashes >> np.uint64(32)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     return hashes ^ (hashes >> np.uint64(29)), first, end

@@ -19,7 +19,7 @@ def plain_sentences(text):
     cuts = set(ends)
     for i in range(len(words) - spans.WINDOW + 1):
         if not any(i < e <= i + spans.WINDOW for e in ends):
-            cuts.add(min(range(i + 1, i + spans.WINDOW + 1), key=lambda k: (xxhash.xxh64_intdigest(words[k - 1].encode()), -k)))
+            cuts.add(min(range(i + 1, i + spans.WINDOW + 1), key=lambda k: (xxhash.xxh64_intdigest(words[k - 1].encode()) >> 32, -k)))
     out, start = [], 0
     for end in sorted(cuts):
         out.append(words[start:end])
@@ -49,7 +49,7 @@ def plain_removed(docs):
     for doc_id, text in sorted(docs):
         sentences = plain_sentences(text)
         for i, j in plain_runs(sentences):
-            key = tuple(map(tuple, sentences[i:j]))
+            key = tuple(w for s in sentences[i:j] for w in s)
             first.setdefault(key, (doc_id, i, j))
             where.setdefault(doc_id, []).append((key, (doc_id, i, j)))
     texts, out = dict(docs), {}
