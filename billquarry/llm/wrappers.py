@@ -1,11 +1,13 @@
 """Main text by wrapper induction: trees of same-host pages are aligned, constant nodes are template, varying ones content.
 
-A page becomes a tree of its block elements. A few pages of each host, chosen by hashes, lend their trees (tags, classes
-and hashed texts) as wrappers, and every other page of the host is aligned with them by simple tree matching. A wrapper
-node that many aligned pages hold with the same text is constant. Counting runs as partial sums, so that a host with a
-third of all pages is in no single task. What a page keeps are its blocks outside template nodes and outside elements that
-are never an article (menus, headers, footers, sidebars, notices, adverts, forms, comments). An article or main element
-bounds the text; inside it paragraphs stay even where pages share them.
+A page becomes a tree of its block elements. Pages of a host with the same upper tree are a layout; those of rare layouts
+are one group. A few pages of each group, chosen by hashes, lend their trees (tags, classes and hashed texts) as wrappers,
+and every page of the group is aligned with them by simple tree matching, which of the largest mappings takes one with
+the most equal texts. A wrapper node that most aligned pages hold with the same text is constant; pages with the same
+texts count once. Counting runs as partial sums, so that a host with a third of all pages is in no single task. A page
+keeps its blocks outside template nodes and outside elements that are never an article (menus, headers, footers,
+sidebars, notices, adverts, forms, comments). An article or main element is evidence where the trees leave it open:
+it bounds the text if it holds at least half of what is left, and it keeps paragraphs that only a few pages agree on.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 from billquarry.llm.shared import small_batches, stash
 from billquarry.llm.urls import host_of
 
-#: Wrapper pages of a host; pages that must align with a node, and the share of them with its text, to make it constant.
-WRAPPERS, LEAST_PAGES, CONSTANT = 3, 5, 0.6
-#: Depth beyond which elements are read as part of the one above; pairs of children beyond which two lists are aligned in order only.
-DEPTH, PAIRS = 200, 250_000
+#: Wrapper pages of a group; distinct pages from which on a layout is a group and agreement counts inside articles too;
+#: fewest that make a node constant; share of the aligned pages with its text.
+WRAPPERS, LEAST_PAGES, FEWEST, CONSTANT = 3, 5, 2, 0.6
+#: Depth beyond which elements are read as part of the one above; levels of a tree that make its layout; cells of a table held at once.
+DEPTH, UPPER, CELLS = 200, 4, 1 << 21
 #: Elements that are nodes of the tree.
 BLOCKS = frozenset(
     "html body div section article main header footer nav aside ul ol li dl dt dd table tbody thead tfoot tr td th caption p h1 h2 h3 h4 h5 h6"
@@ -43,8 +47,6 @@ MARKS = frozenset(
     " comment comments respond reply replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login"
     " search searchform pagination pager skip complementary contentinfo".split()
 )
-#: Elements that an equal text on many pages does not make template while they stand in an article.
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td th figcaption caption".split())
 #: A start tag ends an open element of these kinds.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOUNDS = frozenset("ul ol dl table tbody thead tfoot".split())
@@ -174,8 +176,26 @@ def _hash(pieces: list[tuple[int, str]]) -> int:
     return xxhash.xxh64_intdigest("".join([p for _, p in pieces]).strip().encode("utf-8", "surrogatepass")) | 1
 
 
+def profile(nodes: list[Node]) -> tuple[int, int]:
+    """Hashes of a page's layout (labels of the upper levels, repeats once) and of all its texts (0 if there is none)."""
+    layout, texts = [], []
+    waiting = [(nodes[0], 0)]
+    while waiting:
+        node, depth = waiting.pop()
+        if node.never:
+            continue
+        if depth < UPPER and (not layout or layout[-1] != node.label):
+            layout.append(node.label)
+        if node.pieces:
+            texts.append(_hash(node.pieces))
+        waiting.extend((c, depth + 1) for c in reversed(node.children))
+    signed = lambda value: value - (1 << 64) if value >> 63 else value
+    found = signed(xxhash.xxh64_intdigest(np.array(texts, dtype=np.uint64).tobytes()) | 1) if texts else 0
+    return signed(xxhash.xxh64_intdigest("\n".join(layout).encode("utf-8", "surrogatepass")) | 1), found
+
+
 class Shape:
-    """A wrapper's tree: children and size below each node."""
+    """A page's tree: children of each node, nodes below it, and hashes of its form and of its form with all texts."""
 
     def __init__(self, labels: list[str], counts: list[int], hashes: list[int]):
         self.labels, self.hashes = labels, hashes
@@ -188,64 +208,105 @@ class Shape:
                 self.children[waiting[-1][0]].append(n)
                 waiting[-1][1] -= 1
             waiting.append([n, count])
+        self.forms, self.texts, self.sizes = [0] * len(labels), [0] * len(labels), [1] * len(labels)
+        for n in range(len(labels) - 1, -1, -1):
+            below = self.children[n]
+            self.forms[n] = hash((labels[n], *[self.forms[c] for c in below]))
+            self.texts[n] = hash((labels[n], hashes[n], *[self.texts[c] for c in below]))
+            self.sizes[n] += sum([self.sizes[c] for c in below])
 
 
 def matched(a: Shape, b: Shape) -> list[tuple[int, int]]:
-    """Pairs of nodes of the largest mapping that keeps labels, parents and the order of children (simple tree matching)."""
-    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    """Pairs of nodes of the largest mapping that keeps labels, parents and the order of children (simple tree matching).
+
+    Of mappings of the same size, children whose texts are equal are preferred. Sizes are worked out once for each pair
+    of forms; lists of children of any length are aligned exactly, long ones in halves, so that no table is larger than
+    ``CELLS``.
+    """
+    known: dict[tuple[int, int], int] = {}
+    size_weight = 1 << 31  # a node more counts for more than any number of equal texts
 
     def size(x: int, y: int) -> int:
+        if a.forms[x] == b.forms[y]:
+            return a.sizes[x]
         if a.labels[x] != b.labels[y]:
             return 0
         if not a.children[x] or not b.children[y]:
             return 1
-        if (x, y) not in memo:
-            memo[x, y] = children(a.children[x], b.children[y])
-        return 1 + memo[x, y][0]
-
-    def children(left: list[int], right: list[int]) -> tuple[int, list[tuple[int, int]]]:
-        # leaves with the same label that begin or end both lists are matched in some largest mapping
-        pairs, low = [], 0
-        while low < min(len(left), len(right)) and plain(left[low], right[low]):
-            pairs.append((left[low], right[low]))
+        key = (a.forms[x], b.forms[y])
+        if key not in known:
+            low, left, right = trimmed(a.children[x], b.children[y], a.forms, b.forms)
+            shared = len(a.children[x]) - len(left)
+            ends = a.children[x][:low] + a.children[x][len(a.children[x]) - (shared - low) :]
+            known[key] = 1 + sum(a.sizes[c] for c in ends) + (int(scores(left, right, False)[-1]) if left and right else 0)
+        return known[key]
+
+    def trimmed(left: list[int], right: list[int], of_a: list[int], of_b: list[int]) -> tuple[int, list[int], list[int]]:
+        """Equal nodes that begin or end both lists are matched in some largest mapping; how many begin them, and the rest."""
+        most, low, tail = min(len(left), len(right)), 0, 0
+        while low < most and of_a[left[low]] == of_b[right[low]]:
             low += 1
-        tail = 0
-        while tail < min(len(left), len(right)) - low and plain(left[-1 - tail], right[-1 - tail]):
+        while tail < most - low and of_a[left[-1 - tail]] == of_b[right[-1 - tail]]:
             tail += 1
-            pairs.append((left[-tail], right[-tail]))
-        left, right = left[low : len(left) - tail], right[low : len(right) - tail]
-        if len(left) * len(right) > PAIRS:
-            pairs += [(x, y) for x, y in zip(left, right) if a.labels[x] == b.labels[y]]
-            return sum(size(x, y) for x, y in pairs), pairs
-        table = [[0] * (len(right) + 1)]
+        return low, left[low : len(left) - tail], right[low : len(right) - tail]
+
+    def weights(left: list[int], right: list[int], equal: bool) -> Iterator[np.ndarray]:
+        forms: dict[int, int] = {}
+        place = np.array([forms.setdefault(b.forms[y], len(forms)) for y in right])
+        some = {b.forms[y]: y for y in right}
+        texts = np.array([b.texts[y] for y in right], dtype=np.int64)
+        rows: dict[int, np.ndarray] = {}
         for x in left:
-            above, row = table[-1], [0]
-            for j, y in enumerate(right):
-                row.append(max(above[j + 1], row[j], above[j] + size(x, y)))
-            table.append(row)
-        total = len(pairs) + table[-1][-1]
-        i, j = len(left), len(right)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
+            form = a.forms[x]
+            if form not in rows:
+                rows[form] = np.array([size(x, some[f]) for f in forms], dtype=np.int64)[place]
+            yield rows[form] * size_weight + (texts == a.texts[x]) if equal else rows[form]
+
+    def scores(left: list[int], right: list[int], equal: bool, table: list | None = None) -> np.ndarray:
+        """Best weight of all of ``left`` with the first nodes of ``right``."""
+        row = np.zeros(len(right) + 1, dtype=np.int64)
+        for w in weights(left, right, equal):
+            if table is not None:
+                table.append((row, w))
+            new = row.copy()
+            np.maximum(new[1:], row[:-1] + w, out=new[1:])
+            row = np.maximum.accumulate(new)
+        return row
+
+    def pairs(left: list[int], right: list[int], out: list[tuple[int, int]]) -> None:
+        low, inner, other = trimmed(left, right, a.texts, b.texts)
+        tail = len(left) - low - len(inner)
+        out.extend(zip(left[:low], right[:low]))
+        if tail:
+            out.extend(zip(left[-tail:], right[-tail:]))
+        if not inner or not other:
+            return
+        if len(inner) > 1 and len(inner) * len(other) > CELLS:
+            half = len(inner) // 2
+            before, after = scores(inner[:half], other, True), scores(inner[:half - 1 : -1], other[::-1], True)[::-1]
+            cut = int((before + after).argmax())
+            pairs(inner[:half], other[:cut], out)
+            pairs(inner[half:], other[cut:], out)
+            return
+        table: list = []
+        row, j = scores(inner, other, True, table), len(other)
+        for x, (above, w) in zip(reversed(inner), reversed(table)):
+            while j and row[j] == row[j - 1]:
                 j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((left[i], right[j]))
-        return total, pairs
-
-    def plain(x: int, y: int) -> bool:
-        return a.labels[x] == b.labels[y] and not a.children[x] and not b.children[y]
+            if not j:
+                break
+            if row[j] != above[j]:
+                out.append((x, other[j - 1]))
+                j -= 1
+            row = above
 
     out: list[tuple[int, int]] = []
-    if size(0, 0):
-        waiting = [(0, 0)]
-        while waiting:
-            x, y = waiting.pop()
-            out.append((x, y))
-            if (x, y) in memo:
-                waiting.extend(memo[x, y][1])
+    waiting = [(0, 0)] if a.labels[0] == b.labels[0] else []
+    while waiting:
+        x, y = waiting.pop()
+        out.append((x, y))
+        if a.children[x] and b.children[y]:
+            pairs(a.children[x], b.children[y], waiting)
     return out
 
 
@@ -254,46 +315,78 @@ def _shape_of(nodes: list[Node]) -> Shape:
     return Shape([p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts])
 
 
-def main_text(nodes: list[Node], template: set[int]) -> str:
-    """Blocks of a page that are content, one a line. ``template``: numbers of nodes that are constant on the host."""
+def main_text(nodes: list[Node], template: set[int], thin: set[int] = frozenset()) -> str:
+    """Blocks of a page that are content, one a line.
+
+    ``template``: numbers of nodes that are constant on the host; ``thin``: those that only a few pages agree on, which
+    go outside an article alone. Where more than half of an article is constant and the rest of the page holds less than
+    it, page and wrapper are copies of one article, which stays; where nothing would be left, nothing is template.
+    """
     bounds = {n.number for n in nodes if n.tag == "article" and not n.never} or {n.number for n in nodes if n.tag == "main" and not n.never}
+    outside: dict[int, int] = {}
+    inside: dict[int, int] = {}  # visible nodes with text, and its length
+    waiting = [(nodes[0], False)]
+    while waiting:
+        node, within = waiting.pop()
+        if node.never:
+            continue
+        within = within or node.number in bounds
+        if node.pieces:
+            (inside if within else outside)[node.number] = len("".join([p for _, p in node.pieces]).strip())
+        waiting.extend((c, within) for c in node.children)
+    constant = {n for n in outside if n in template or n in thin}
+    shared = {n for n in inside if n in template}
+    left_outside = sum(length for n, length in outside.items() if n not in constant)
+    if 2 * sum(inside[n] for n in shared) <= sum(inside.values()) or sum(inside.values()) < left_outside:
+        constant |= shared
+    if len(constant) == len(inside) + len(outside):
+        constant = set()
+    in_bounds = sum(length for n, length in inside.items() if n not in constant)
+    bounded = in_bounds and in_bounds >= sum(length for n, length in outside.items() if n not in constant)
+    shown = ({*inside} if bounded else {*inside, *outside}) - constant
     blocks: list[str] = []
 
     def add(pieces: list[tuple[int, str]]) -> None:
         if pieces and (value := _clean([p for _, p in pieces])):
             blocks.append(value)
 
-    def visit(node: Node, inside: bool) -> None:
+    def visit(node: Node) -> None:
         if node.never:
             return
-        inside = inside or node.number in bounds
-        constant = node.number in template and not (inside and bounds and node.tag in PARAGRAPHS)
-        shown = node.pieces if (inside or not bounds) and not constant else []
+        pieces = node.pieces if node.number in shown else []
         at = 0
         for n, child in enumerate(node.children):
             to = at
-            while to < len(shown) and shown[to][0] <= n:
+            while to < len(pieces) and pieces[to][0] <= n:
                 to += 1
-            add(shown[at:to])
+            add(pieces[at:to])
             at = to
-            visit(child, inside)
-        add(shown[at:])
+            visit(child)
+        add(pieces[at:])
 
-    visit(nodes[0], False)
+    visit(nodes[0])
     return "\n".join(blocks)
 
 
 # --- over all pages -------------------------------------------------------------------------------------------------
 
 
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host`` and the hash of the page stay; layout and texts are added."""
+    for batch in batches:
+        found = [profile(_walk(parse(page))) for page in batch.column(2).to_pylist()]
+        columns = [pa.array([f[n] for f in found], type=pa.int64()) for n in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["host", "page", "layout", "texts"])
+
+
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [json.dumps(list(zip(*skeleton(_walk(parse(page)))))) for page in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.string())], ["host", "wrapper"])
+        rows = [json.dumps(list(zip(*skeleton(_walk(parse(page)))))) for page in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, type=pa.string())], ["host", "page", "wrapper"])
 
 
 class _Shapes:
-    """Wrappers of the hosts a worker has met, a bounded number of them."""
+    """Wrappers of the groups a worker has met, a bounded number of them."""
 
     def __init__(self) -> None:
         self.known: dict[str, list[Shape]] = {}
@@ -307,21 +400,21 @@ class _Shapes:
 
 
 def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many pages of a batch align with each wrapper node that has text, and how many hold the same text there."""
+    """Pages of a batch that align with each wrapper node that has text, and those with the same text; copies share one."""
     shapes = _Shapes()
     for batch in batches:
-        counts: dict[tuple, list[int]] = {}
-        for host, wrappers, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        counts: dict[tuple, list[float]] = {}
+        for host, group, wrappers, copies, page in zip(*(batch.column(i).to_pylist() for i in range(5))):
             own = _shape_of(_walk(parse(page)))
             for n, shape in enumerate(shapes(wrappers)):
                 for x, y in matched(own, shape):
                     if shape.hashes[y]:
-                        count = counts.setdefault((host, n, y), [0, 0])
-                        count[0] += 1
-                        count[1] += own.hashes[x] == shape.hashes[y]
-        columns = [list(c) for c in zip(*((*k, *v) for k, v in counts.items()))] or [[]] * 5
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], ["host", "wrapper", "node", "pages", "same"])
+                        count = counts.setdefault((host, group, n, y), [0.0, 0.0])
+                        count[0] += 1 / copies
+                        count[1] += (own.hashes[x] == shape.hashes[y]) / copies
+        columns = [list(c) for c in zip(*((*k, *v) for k, v in counts.items()))] or [[]] * 6
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], ["host", "layout", "wrapper", "node", "pages", "same"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,13 +422,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for page, wrappers, constants in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-            nodes, template = _walk(parse(page)), set()
+            nodes, template, thin = _walk(parse(page)), set(), set()
             if constants:
                 own, fixed = _shape_of(nodes), {tuple(map(int, c.split(":"))) for c in constants.split(" ")}
                 for n, shape in enumerate(shapes(wrappers)):
-                    if any(w == n for w, _ in fixed):
-                        template |= {x for x, y in matched(own, shape) if (n, y) in fixed and own.hashes[x] == shape.hashes[y]}
-            out.append(main_text(nodes, template))
+                    if any(f[0] == n for f in fixed):
+                        for x, y in matched(own, shape):
+                            if own.hashes[x] == shape.hashes[y]:
+                                if (n, y, 1) in fixed:
+                                    template.add(x)
+                                elif (n, y, 0) in fixed:
+                                    thin.add(x)
+            out.append(main_text(nodes, template, thin))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, type=pa.string())], ["page_id", "url", "text"])
 
 
@@ -344,24 +442,44 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by a
     line break; nothing is cut. A missing or empty page, and one without an article, gives an empty text. Pages without
-    a host (null, or a URL without ``://``) form one host. Repeated rows stay and count for their host; other columns are
-    not used. Elements nested deeper than ``DEPTH`` are read as text of the one above.
+    a host (null, or a URL without ``://``) form one host. Repeated rows stay; for their host, pages with the same texts
+    count as one. Other columns are not used. Elements nested deeper than ``DEPTH`` are read as text of the one above.
     """
     small_batches(pages.sparkSession)
     kind = pages.schema[page_id].dataType.simpleString()
-    page = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
-    picks = [F.xxhash64(F.lit(n), "url", "page_id") for n in range(WRAPPERS)]
-    chosen = stash(page.groupBy("host").agg(*[F.min(pick).alias(f"pick{n}") for n, pick in enumerate(picks)]), "wrapper-picks")
-    is_one = F.lit(False)
-    for n, pick in enumerate(picks):
-        is_one = is_one | (pick == F.col(f"pick{n}"))
-    lenders = page.join(chosen, "host").where(is_one).select("host", "html", picks[0].alias("pick")).dropDuplicates(["host", "pick"]).select("host", "html")
-    each = lenders.mapInArrow(_skeletons, "host string, wrapper string")
-    wrappers = stash(each.groupBy("host").agg(F.array_join(F.sort_array(F.collect_set("wrapper")), "\n").alias("wrappers")), "wrappers")
-    agreed = page.join(wrappers, "host").select("host", "wrappers", "html").mapInArrow(_agreements, "host string, wrapper int, node int, pages long, same long")
-    counted = agreed.groupBy("host", "wrapper", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = counted.where((F.col("pages") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("pages")))
-    of_host = constant.groupBy("host").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "wrapper", "node"))), " ").alias("constants"))
-    known = stash(wrappers.join(of_host, "host", "left"), "wrapper-constants")
-    texts = page.join(known, "host", "left").select("page_id", "url", "html", "wrappers", "constants").mapInArrow(_texts, f"page_id {kind}, url string, text string")
+    source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
+    page = source.withColumn("page", F.xxhash64("html"))
+    # one narrow row for each page of a host, with the number of rows that hold it
+    profiles = page.select("host", "page", "html").mapInArrow(_profiled, "host string, page long, layout long, texts long")
+    held = stash(profiles.groupBy("host", "page", "layout", "texts").agg(F.count("*").alias("copies")), "page-profiles")
+    alike = held.where("texts <> 0").groupBy("host", "layout", "texts").agg(F.count("*").alias("of_layout"))
+    layouts = alike.groupBy("host", "layout").agg(F.count("*").alias("distinct_pages")).where(F.col("distinct_pages") >= LEAST_PAGES).select("host", "layout")
+    grouped = stash(
+        held.join(layouts.withColumn("own", F.lit(True)), ["host", "layout"], "left")
+        .select("host", "page", F.when(F.col("own"), F.col("layout")).otherwise(F.lit(0)).alias("layout"), "texts", "copies"),
+        "page-groups",
+    )
+    weighed = grouped.where("texts <> 0").groupBy("host", "layout", "texts").agg(F.sum("copies").alias("copies"), F.min("page").alias("page"))
+    picks = [F.min_by("page", F.xxhash64(F.lit(n), "texts")).alias(f"pick{n}") for n in range(WRAPPERS)]
+    chosen = weighed.groupBy("host", "layout").agg(F.count("*").alias("distinct_pages"), *picks).where(F.col("distinct_pages") >= FEWEST)
+    lent = stash(chosen.select("host", "layout", F.explode(F.array_distinct(F.array(*[f"pick{n}" for n in range(WRAPPERS)]))).alias("page")), "wrapper-picks")
+    lenders = page.join(lent.select("host", "page").distinct(), ["host", "page"]).select("host", "page", "html").dropDuplicates(["host", "page"])
+    trees = stash(lenders.mapInArrow(_skeletons, "host string, page long, wrapper string"), "wrapper-trees")
+    wrappers = stash(
+        lent.join(trees, ["host", "page"]).groupBy("host", "layout").agg(F.array_join(F.sort_array(F.collect_set("wrapper")), "\n").alias("wrappers")), "wrappers"
+    )
+    shares = grouped.where("texts <> 0").drop("copies").join(weighed.select("host", "layout", "texts", "copies"), ["host", "layout", "texts"])
+    counted = shares.join(wrappers, ["host", "layout"]).select("host", "page", "layout", "wrappers", "copies")
+    agreed = (
+        page.select("host", "page", "html").join(counted, ["host", "page"]).select("host", "layout", "wrappers", "copies", "html")
+        .mapInArrow(_agreements, "host string, layout long, wrapper int, node int, pages double, same double")
+    )
+    totals = agreed.groupBy("host", "layout", "wrapper", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    slack = 1e-6  # shares of copies are fractions
+    constant = totals.where((F.col("pages") >= FEWEST - slack) & (F.col("same") >= CONSTANT * F.col("pages") - slack))
+    many = (F.col("pages") >= LEAST_PAGES - slack).cast("int")
+    of_group = constant.groupBy("host", "layout").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "wrapper", "node", many))), " ").alias("constants"))
+    known = stash(wrappers.join(of_group, ["host", "layout"]), "wrapper-constants")
+    of_page = grouped.select("host", "page", "layout").join(known, ["host", "layout"]).drop("layout")
+    texts = page.join(of_page, ["host", "page"], "left").select("page_id", "url", "html", "wrappers", "constants").mapInArrow(_texts, f"page_id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

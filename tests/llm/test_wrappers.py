@@ -77,7 +77,7 @@ def test_elements_and_wrappers(spark):
         got.setdefault(r.page_id, []).append(r.text)
         assert r.n_chars == len(r.text)
     for n in range(8):
-        assert got[n] == [f"Title {n}\nFirst & {n} line two\none\ntwo {n}\nShared end."]
+        assert got[n] == [f"Title {n}\nFirst & {n} line two\ntwo {n}"]  # what all eight articles share is template
     for n in range(1, 12):
         assert got[100 + n] == [f"Head {n}\nBody {n} a < b\nMore{n}"]
     assert got[100] == ["Head 0\nBody 0 a < b\nMore0"] * 2 and got[None] == got[100][:1]
@@ -94,3 +94,72 @@ def test_inline_and_unseen_elements():
     assert text("<article><p>a</p><noscript><p>turn on</p></noscript><div hidden><p>x</p></div><div style='display: none'>y</div><p>b</p></article>") == "a\nb"
     assert text("<main><p title='a > b'>x<p class='lead'>y &lt;p&gt;</main><p>out") == "x\ny <p>"
     assert text("<table><tr><td>a<td>b<tr><td>c</table>") == "a\nb\nc"
+
+
+def words(chance, count):
+    return " ".join("".join(chance.choice("abcdefghij") for _ in range(6)) for _ in range(count))
+
+
+def extracted(spark, pages):
+    rows = [(n, url, page) for n, (url, page) in enumerate(pages)]
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_teasers_notices_small_hosts_and_layouts(spark):
+    chance = random.Random(3)
+    pages, expected = [], []
+
+    def add(host, page, text):
+        pages.append((f"http://{host}/{len(pages)}", page))
+        expected.append(text)
+
+    menu = "<div class=top><ul><li>Start</li><li>Shop</li></ul></div>"
+    for n in range(40):  # the body stands beside a teaser
+        title, body, more = words(chance, 4), words(chance, 60), words(chance, 40)
+        add("teaser.org", f"<body>{menu}<article><h2>Read this too</h2></article><div class=content><h1>{title}</h1><p>{body}</p><p>{more}</p></div></body>", f"{title}\n{body}\n{more}")
+    for n in range(40):  # one notice in every article, after paragraphs of any number
+        body = [words(chance, 30) for _ in range(chance.randrange(1, 6))]
+        page = "".join(f"<p>{b}</p>" for b in body[:-1]) + "<p>Prices hold while stocks last</p>" + f"<p>{body[-1]}</p>"
+        add("notice.org", f"<body>{menu}<article>{page}</article></body>", "\n".join(body))
+    for n in range(3):
+        body = words(chance, 30)
+        add("small.org", f"<body>{menu}<div class=x><p>{body}</p></div></body>", body)
+    for layout in range(6):
+        for n in range(10):
+            body = words(chance, 30)
+            add("layouts.org", f"<body><div class=l{layout}>{menu}</div><section class=s{layout}><p>{body}</p></section><div class=e{layout}><p>Call us</p></div></body>", body)
+    repeated = words(chance, 30)
+    for n in range(30):  # most pages are one page
+        body = repeated if n < 22 else words(chance, 30)
+        add("copies.org", f"<body>{menu}<div class=x><p>{body}</p></div></body>", body)
+    first, second = words(chance, 30), words(chance, 30)
+    for n in range(8):  # near copies of one article
+        last = words(chance, 3)
+        add("near.org", f"<body>{menu}<article><p>{first}</p><p>{second}</p><p>{last}</p></article></body>", f"{first}\n{second}\n{last}")
+    for n in range(12):  # pages without a host are one host
+        body = words(chance, 20)
+        pages.append((None, f"<body>{menu}<div><p>{body}</p></div></body>"))
+        expected.append(body)
+    got = extracted(spark, pages)
+    assert [got[n] for n in range(len(pages))] == expected
+    assert not any("Start" in t or "stocks" in t for t in got.values())
+
+
+def test_long_lists_are_matched_exactly(spark):
+    chance = random.Random(5)
+    for _ in range(60):  # the table in halves gives a mapping as large as the whole one
+        a, b = [shape(("r", [tree(chance, 2) for _ in range(chance.randrange(1, 12))])) for _ in range(2)]
+        whole, cells = wrappers.matched(a, b), wrappers.CELLS
+        try:
+            wrappers.CELLS = 4
+            assert len(wrappers.matched(a, b)) == len(whole)
+        finally:
+            wrappers.CELLS = cells
+    rows = [f"<li>row {n}</li>" for n in range(1500)]
+    pages, bodies = [], [words(chance, 5) for _ in range(6)]
+    for n, body in enumerate(bodies):
+        own = [*rows[:700], *(f"<li>{body} {k}</li>" for k in range(n)), *rows[700:]]
+        own[300:300] = ["<li><p>" + body + "</p></li>"]
+        pages.append((f"http://long.org/{n}", f"<body><ul>{''.join(own)}</ul></body>"))
+    for n, text in extracted(spark, pages).items():
+        assert text.split("\n") == [bodies[n], *(f"{bodies[n]} {k}" for k in range(n))]
