@@ -2,9 +2,10 @@
 
 Words are case-folded and stripped of everything but letters, digits and underscores; what is empty then is no word.
 Texts are hashed word by word and their n-grams looked up in a bitmap of a fixed size that holds the seeds of all
-items; only around a hit a passage of hashed words leaves the task. Passages join items on equal seeds, each pair once,
-and every pair is aligned word by word. A seed is an n-gram that few items share; an item that has none uses its
-least shared ones, so that no item goes without.
+items; only around a hit a passage of hashed words leaves the task. Passages join distinct item texts on equal seeds,
+each pair once, and every pair is aligned word by word. Seeds are runs of four words and three words on either side of
+any one, all over the item: a copy with every fourth word changed still holds some. Those that few item texts share are
+used; an item text of which they are less than half uses all of its own.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import functions as F
 
 from billquarry.llm.shared import small_batches, stash
 
-#: Words in a seed, items that may share a rare one, seeds of an item that has no rare one.
-WORDS, SHARED, LEAST_SEEDS = 5, 8, 3
+#: Places of the words of a seed, run and gapped; words of the shortest and reach of the longest; item texts that may share a rare one.
+SEEDS = ((0, 1, 2, 3), (0, 1, 2, 4, 5, 6))
+WORDS, SPAN, SHARED = 4, 7, 8
 #: Scores of equal words, of unequal ones and of a gap; a passage counts from this share of the highest possible score.
 EQUAL, UNEQUAL, GAP, THRESHOLD = 2, -1, -1, 0.6
 #: Size of the bitmap (a power of two), cells aligned at a time, words a worker remembers.
 BITS, CELLS, REMEMBERED = 24, 1 << 21, 300_000
-_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SPAN)], dtype=np.uint64)
 _MARKS = re.compile(r"\W+")
 _BLOCK = 1 << 20
 _SPACE = re.compile(r"\s")
@@ -58,17 +60,21 @@ class Hasher:
         return hashes[hashes != 0]
 
 
-def grams(hashes: np.ndarray) -> np.ndarray:
-    """Hash of the n-gram that begins at each word."""
-    count = max(len(hashes) - WORDS + 1, 0)
-    out = np.zeros(count, dtype=np.uint64)
+def grams(hashes: np.ndarray, places: tuple[int, ...] = SEEDS[0]) -> np.ndarray:
+    """Hash of the words at ``places`` from each word on."""
+    count = max(len(hashes) - places[-1], 0)
+    out = np.full(count, len(places), dtype=np.uint64)
     mixed = hashes ^ (hashes >> np.uint64(29))
-    for k in range(WORDS):
+    for k in places:
         out += mixed[k : k + count] * _FACTORS[k]
     out ^= out >> np.uint64(32)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def all_grams(hashes: np.ndarray) -> np.ndarray:
+    return np.concatenate([grams(hashes, places) for places in SEEDS])
+
+
 def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of the bitmap that stand for an n-gram."""
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64), (hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)
@@ -79,19 +85,18 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashed = [hasher(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([h.view(np.int64) for h in hashed], type=pa.list_(pa.int64())), pa.array([grams(h).view(np.int64) for h in hashed], type=pa.list_(pa.int64()))],
+            [batch.column(0), pa.array([h.view(np.int64) for h in hashed], type=pa.list_(pa.int64())), pa.array([all_grams(h).view(np.int64) for h in hashed], type=pa.list_(pa.int64()))],
             ["item_id", "words", "grams"],
         )
 
 
-def _seeds(items: DataFrame) -> DataFrame:
-    """(``item_id``, ``gram``): the rare n-grams of every item, or its least shared ones."""
-    each = items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
+def _seeds(texts: DataFrame) -> DataFrame:
+    """(``item``, ``gram``): the rare seeds of every item text, or all of them where less than half are rare."""
+    each = texts.select("item", F.explode(F.array_distinct("grams")).alias("gram"))
     shared = each.groupBy("gram").agg(F.count("*").alias("items"))
-    counted = each.join(shared, "gram")
-    # the n-grams of one item: its window is as long as the item
-    ranked = counted.withColumn("place", F.expr("row_number() OVER (PARTITION BY item_id ORDER BY items, gram)"))
-    return stash(ranked.where((F.col("items") <= SHARED) | (F.col("place") <= LEAST_SEEDS)).select("item_id", "gram"), "seeds")
+    counted = each.join(shared, "gram").withColumn("rare", F.col("items") <= SHARED)
+    few = counted.groupBy("item").agg(F.expr("2 * count_if(rare) < count(*)").alias("few"))
+    return stash(counted.join(few, "item").where(F.col("rare") | F.col("few")).select("item", "gram"), "seeds")
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -122,14 +127,21 @@ def _passages(shared, reach: int):
             rows: list[tuple] = []
             for i, text in enumerate(batch.column(2)):
                 hashes = hasher(text.as_py())
-                seeds = grams(hashes)
-                first, second = _places(seeds)
-                hits = np.flatnonzero(bits[first])
-                hits = hits[bits[second[hits]]]
+                found = []
+                for places in SEEDS:
+                    seeds = grams(hashes, places)
+                    first, second = _places(seeds)
+                    hits = np.flatnonzero(bits[first])
+                    hits = hits[bits[second[hits]]]
+                    found.append((hits, seeds[hits]))
+                hits, seeds = (np.concatenate(part) for part in zip(*found))
                 if len(hits):  # hits whose surroundings meet make one passage
-                    for near in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1):
-                        low, high = max(0, near[0] - reach), near[-1] + WORDS + reach
-                        rows.append((i, int(low), hashes[low:high].view(np.int64), np.unique(seeds[near]).view(np.int64)))
+                    order = np.argsort(hits, kind="stable")
+                    hits, seeds = hits[order], seeds[order]
+                    cuts = np.flatnonzero(np.diff(hits) > 2 * reach) + 1
+                    for near, own in zip(np.split(hits, cuts), np.split(seeds, cuts)):
+                        low, high = max(0, near[0] - reach), near[-1] + SPAN + reach
+                        rows.append((i, int(low), hashes[low:high].view(np.int64), np.unique(own).view(np.int64)))
             at = pa.array([r[0] for r in rows], type=pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -192,7 +204,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = [s + r[1] for s, r in zip(batch.column(3).to_pylist(), found)]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in range(3)), pa.array(score, type=pa.float64()), pa.array(start, type=pa.int64()), pa.array([r[2] - r[1] for r in found], type=pa.int64())],
-            ["doc_id", "text_hash", "item_id", "score", "start", "length"],
+            ["doc_id", "text_hash", "item", "score", "start", "length"],
         )
 
 
@@ -203,7 +215,7 @@ def contaminated(
 
     ``doc_id``, ``text_hash`` (of the whole text), ``item_id``, ``score`` (share of the highest score the item allows),
     ``start`` and ``length`` of the passage in normalised words. Missing and empty texts hold no passages; an item with
-    fewer than five words has no seed and is not looked for; items with the same text are each reported; rows of
+    fewer than four words has no seed and is not looked for; items with the same text are aligned once and each reported; rows of
     ``docs`` that repeat give one result; other columns are not used.
     """
     spark = docs.sparkSession
@@ -214,20 +226,23 @@ def contaminated(
         .mapInArrow(_item_rows, f"item_id {kinds['item']}, words array<long>, grams array<long>").where(F.size("grams") > 0),
         "items",
     )
-    seeds = _seeds(items)
-    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
+    named = items.withColumn("item", F.xxhash64("words"))
+    texts = stash(named.select("item", "words", "grams").dropDuplicates(["item"]), "item-texts")
+    seeds = _seeds(texts)
+    longest = texts.agg(F.max(F.size("words"))).first()[0] or 0
     shared = spark.sparkContext.broadcast(_bitmap(seeds))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     reach = int(1.5 * longest)  # an alignment that scores has fewer gaps than the item has words
     found = stash(
         narrow.mapInArrow(_passages(shared, reach), PASSAGE.format(**kinds)).withColumn("passage", F.xxhash64("doc_id", "text_hash", "start")), "passages"
     )
-    pairs = found.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "item_id").distinct()
-    both = pairs.join(found.dropDuplicates(["passage"]), "passage").join(items.withColumnRenamed("words", "item_words").drop("grams"), "item_id")
-    result = "doc_id {id}, text_hash long, item_id {item}, score double, start long, length long".format(**kinds)
-    scored = both.select("doc_id", "text_hash", "item_id", "start", "words", "item_words").mapInArrow(_scored, result).where(F.col("score") >= threshold)
+    pairs = found.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "item").distinct()
+    both = pairs.join(found.dropDuplicates(["passage"]), "passage").join(texts.select("item", F.col("words").alias("item_words")), "item")
+    result = "doc_id {id}, text_hash long, item long, score double, start long, length long".format(**kinds)
+    scored = both.select("doc_id", "text_hash", "item", "start", "words", "item_words").mapInArrow(_scored, result).where(F.col("score") >= threshold)
     best = F.max_by(F.struct("score", "start", "length"), F.struct("score", -F.col("start"))).alias("best")
-    return scored.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.*")
+    of_text = scored.groupBy("doc_id", "text_hash", "item").agg(best)
+    return of_text.join(named.select("item", "item_id"), "item").select("doc_id", "text_hash", "item_id", "best.*")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

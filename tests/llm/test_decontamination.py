@@ -25,15 +25,14 @@ def test_alignment_matches_a_plain_table():
 
 
 def plain_query(docs, items):
-    """Every document against every item."""
+    """Every document against every item of four words or more, whether they share a seed or not."""
     hasher, out = decontamination.Hasher(), {}
-    hashed = {i: hasher(t).view(np.int64) for i, t in items if t}
+    hashed = {i: words for i, t in items if len(words := hasher(t).view(np.int64)) >= decontamination.WORDS}
     for doc_id, text in docs:
         words = hasher(text).view(np.int64)
-        for item_id, item in hashed.items():
-            if len(words) and len(item) >= decontamination.WORDS and set(decontamination.grams(words.view(np.uint64)).tolist()) & set(decontamination.grams(item.view(np.uint64)).tolist()):
-                score = decontamination.align([(words, item)])[0][0] / (2 * len(item))
-                if score >= decontamination.THRESHOLD:
+        if len(words) and hashed:
+            for (item_id, item), (top, _, _) in zip(hashed.items(), decontamination.align([(words, item) for item in hashed.values()])):
+                if (score := top / (2 * len(item))) >= decontamination.THRESHOLD:
                     out[doc_id, item_id] = round(score, 9)
     return out
 
@@ -68,3 +67,23 @@ def test_edited_copies_shared_grams_and_edge_rows(spark):
     assert kept.columns == docs_df.columns and sorted(r.doc_id for r in kept.collect()) == [50, 51, 52, 53]
     assert decontamination.contaminated(docs_df.where("false"), items_df).count() == 0
     assert decontamination.contaminated(docs_df, items_df.where("false")).count() == 0
+
+
+def test_words_changed_all_over_and_items_that_share_their_text(spark):
+    chance = random.Random(6)
+    word = lambda: "".join(chance.choice("abcdefghijkl") for _ in range(6))
+    own = [[word() for _ in range(30)] for _ in range(8)]
+    template = [word() for _ in range(28)]
+    items = [(i, " ".join(w)) for i, w in enumerate(own)]
+    items += [(100 + i, " ".join(own[0])) for i in range(30)]  # many items with one text
+    items += [(200 + i, " ".join([*template[:14], word(), *template[14:], word()])) for i in range(20)]  # and many of one template
+    docs = []
+    for step in (4, 5, 6, 9):
+        for i, words in enumerate([*own, template]):
+            changed = [word() if n % step == step - 1 else w for n, w in enumerate(words)]
+            docs.append((step * 100 + i, " ".join([*(word() for _ in range(200)), *changed, *(word() for _ in range(200))])))
+    docs.append((1, " ".join(word() for _ in range(3000))))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): round(r.score, 9) for r in got}
+    assert len(found) == len(got) and found == plain_query(docs, items)
+    assert all((step * 100 + i, i) in found for step in (4, 5, 6, 9) for i in range(8)) and all((900, 100 + i) in found for i in range(30))
