@@ -274,13 +274,23 @@ def matched(a: Shape, b: Shape) -> list[tuple[int, int]]:
         return row
 
     def pairs(left: list[int], right: list[int], out: list[tuple[int, int]]) -> None:
-        low, inner, other = trimmed(left, right, a.texts, b.texts)
-        tail = len(left) - low - len(inner)
-        out.extend(zip(left[:low], right[:low]))
-        if tail:
-            out.extend(zip(left[-tail:], right[-tail:]))
+        def ends(inner: list[int], other: list[int], of_a: list[int], of_b: list[int]) -> tuple[list[int], list[int]]:
+            low, rest, beside = trimmed(inner, other, of_a, of_b)
+            tail = len(inner) - low - len(rest)
+            out.extend(zip(inner[:low], other[:low]))
+            if tail:
+                out.extend(zip(inner[-tail:], other[-tail:]))
+            return rest, beside
+
+        inner, other = ends(left, right, a.texts, b.texts)
+        if inner and other and {a.texts[x] for x in inner}.isdisjoint([b.texts[y] for y in other]):
+            inner, other = ends(inner, other, a.forms, b.forms)  # no texts to prefer: equal forms will do
         if not inner or not other:
             return
+        if len(inner) == len(other) == 1:
+            if a.labels[inner[0]] == b.labels[other[0]]:
+                out.append((inner[0], other[0]))
+            return
         if len(inner) > 1 and len(inner) * len(other) > CELLS:
             half = len(inner) // 2
             before, after = scores(inner[:half], other, True), scores(inner[:half - 1 : -1], other[::-1], True)[::-1]
@@ -372,17 +382,21 @@ def main_text(nodes: list[Node], template: set[int], thin: set[int] = frozenset(
 
 
 def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host`` and the hash of the page stay; layout and texts are added."""
+    """``host``, hashes of layout and texts, and the tree of every page."""
     for batch in batches:
-        found = [profile(_walk(parse(page))) for page in batch.column(2).to_pylist()]
-        columns = [pa.array([f[n] for f in found], type=pa.int64()) for n in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["host", "page", "layout", "texts"])
+        found = []
+        for page in batch.column(1).to_pylist():
+            nodes = _walk(parse(page))
+            found.append((*profile(nodes), json.dumps(list(zip(*skeleton(nodes))), separators=(",", ":"))))
+        columns = [pa.array([f[n] for f in found], type=t) for n, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["host", "layout", "texts", "tree"])
 
 
-def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns stay; the hash of the page's layout is added."""
     for batch in batches:
-        rows = [json.dumps(list(zip(*skeleton(_walk(parse(page)))))) for page in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, type=pa.string())], ["host", "page", "wrapper"])
+        found = [profile(_walk(parse(page)))[0] for page in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=pa.int64())], ["page_id", "url", "html", "host", "layout"])
 
 
 class _Shapes:
@@ -400,20 +414,20 @@ class _Shapes:
 
 
 def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of a batch that align with each wrapper node that has text, and those with the same text; copies share one."""
+    """How many pages of a batch align with each wrapper node that has text, and how many hold the same text there."""
     shapes = _Shapes()
     for batch in batches:
-        counts: dict[tuple, list[float]] = {}
-        for host, group, wrappers, copies, page in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            own = _shape_of(_walk(parse(page)))
+        counts: dict[tuple, list[int]] = {}
+        for host, group, wrappers, tree in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            own = Shape(*json.loads(tree))
             for n, shape in enumerate(shapes(wrappers)):
                 for x, y in matched(own, shape):
                     if shape.hashes[y]:
-                        count = counts.setdefault((host, group, n, y), [0.0, 0.0])
-                        count[0] += 1 / copies
-                        count[1] += (own.hashes[x] == shape.hashes[y]) / copies
+                        count = counts.setdefault((host, group, n, y), [0, 0])
+                        count[0] += 1
+                        count[1] += own.hashes[x] == shape.hashes[y]
         columns = [list(c) for c in zip(*((*k, *v) for k, v in counts.items()))] or [[]] * 6
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], ["host", "layout", "wrapper", "node", "pages", "same"])
 
 
@@ -442,44 +456,37 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by a
     line break; nothing is cut. A missing or empty page, and one without an article, gives an empty text. Pages without
-    a host (null, or a URL without ``://``) form one host. Repeated rows stay; for their host, pages with the same texts
-    count as one. Other columns are not used. Elements nested deeper than ``DEPTH`` are read as text of the one above.
+    a host (null, or a URL without ``://``) form one host. Repeated rows stay; for their host, pages of a layout with
+    the same texts count as one. Other columns are not used. Elements nested deeper than ``DEPTH`` are read as text of the one above.
     """
     small_batches(pages.sparkSession)
     kind = pages.schema[page_id].dataType.simpleString()
-    source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
-    page = source.withColumn("page", F.xxhash64("html"))
-    # one narrow row for each page of a host, with the number of rows that hold it
-    profiles = page.select("host", "page", "html").mapInArrow(_profiled, "host string, page long, layout long, texts long")
-    held = stash(profiles.groupBy("host", "page", "layout", "texts").agg(F.count("*").alias("copies")), "page-profiles")
-    alike = held.where("texts <> 0").groupBy("host", "layout", "texts").agg(F.count("*").alias("of_layout"))
-    layouts = alike.groupBy("host", "layout").agg(F.count("*").alias("distinct_pages")).where(F.col("distinct_pages") >= LEAST_PAGES).select("host", "layout")
-    grouped = stash(
-        held.join(layouts.withColumn("own", F.lit(True)), ["host", "layout"], "left")
-        .select("host", "page", F.when(F.col("own"), F.col("layout")).otherwise(F.lit(0)).alias("layout"), "texts", "copies"),
-        "page-groups",
-    )
-    weighed = grouped.where("texts <> 0").groupBy("host", "layout", "texts").agg(F.sum("copies").alias("copies"), F.min("page").alias("page"))
-    picks = [F.min_by("page", F.xxhash64(F.lit(n), "texts")).alias(f"pick{n}") for n in range(WRAPPERS)]
-    chosen = weighed.groupBy("host", "layout").agg(F.count("*").alias("distinct_pages"), *picks).where(F.col("distinct_pages") >= FEWEST)
-    lent = stash(chosen.select("host", "layout", F.explode(F.array_distinct(F.array(*[f"pick{n}" for n in range(WRAPPERS)]))).alias("page")), "wrapper-picks")
-    lenders = page.join(lent.select("host", "page").distinct(), ["host", "page"]).select("host", "page", "html").dropDuplicates(["host", "page"])
-    trees = stash(lenders.mapInArrow(_skeletons, "host string, page long, wrapper string"), "wrapper-trees")
-    wrappers = stash(
-        lent.join(trees, ["host", "page"]).groupBy("host", "layout").agg(F.array_join(F.sort_array(F.collect_set("wrapper")), "\n").alias("wrappers")), "wrappers"
-    )
-    shares = grouped.where("texts <> 0").drop("copies").join(weighed.select("host", "layout", "texts", "copies"), ["host", "layout", "texts"])
-    counted = shares.join(wrappers, ["host", "layout"]).select("host", "page", "layout", "wrappers", "copies")
-    agreed = (
-        page.select("host", "page", "html").join(counted, ["host", "page"]).select("host", "layout", "wrappers", "copies", "html")
-        .mapInArrow(_agreements, "host string, layout long, wrapper int, node int, pages double, same double")
+    page = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
+    # trees, not pages, are shuffled: one for all pages of a layout that have the same texts
+    trees = page.select("host", "html").mapInArrow(_profiled, "host string, layout long, texts long, tree string").where("texts <> 0")
+    each = stash(trees.groupBy("host", "layout", "texts").agg(F.first("tree").alias("tree")), "page-trees")
+    sizes = each.groupBy("host", "layout").agg(F.count("*").alias("n"))
+    layouts = stash(sizes.where(F.col("n") >= LEAST_PAGES).select("host", "layout", F.lit(True).alias("own")), "page-layouts")
+
+    def in_groups(rows: DataFrame) -> DataFrame:
+        group = F.when(F.col("own"), F.col("layout")).otherwise(F.lit(0).cast("long"))
+        return rows.join(layouts, ["host", "layout"], "left").withColumn("layout", group).drop("own")
+
+    grouped = in_groups(each)
+    picks = [F.min_by("tree", F.xxhash64(F.lit(n), "texts")) for n in range(WRAPPERS)]
+    lent = grouped.groupBy("host", "layout").agg(F.count("*").alias("n"), F.sort_array(F.array_distinct(F.array(*picks))).alias("trees")).where(F.col("n") >= FEWEST)
+    wrappers = stash(lent.select("host", "layout", F.array_join("trees", "\n").alias("wrappers")), "wrappers")
+    agreed = grouped.join(wrappers, ["host", "layout"]).select("host", "layout", "wrappers", "tree").mapInArrow(
+        _agreements, "host string, layout long, wrapper int, node int, pages long, same long"
     )
     totals = agreed.groupBy("host", "layout", "wrapper", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    slack = 1e-6  # shares of copies are fractions
-    constant = totals.where((F.col("pages") >= FEWEST - slack) & (F.col("same") >= CONSTANT * F.col("pages") - slack))
-    many = (F.col("pages") >= LEAST_PAGES - slack).cast("int")
+    constant = totals.where((F.col("pages") >= FEWEST) & (F.col("same") >= CONSTANT * F.col("pages")))
+    many = (F.col("pages") >= LEAST_PAGES).cast("int")
     of_group = constant.groupBy("host", "layout").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "wrapper", "node", many))), " ").alias("constants"))
     known = stash(wrappers.join(of_group, ["host", "layout"]), "wrapper-constants")
-    of_page = grouped.select("host", "page", "layout").join(known, ["host", "layout"]).drop("layout")
-    texts = page.join(of_page, ["host", "page"], "left").select("page_id", "url", "html", "wrappers", "constants").mapInArrow(_texts, f"page_id {kind}, url string, text string")
+    laid = in_groups(page.mapInArrow(_with_layout, f"page_id {kind}, url string, html string, host string, layout long"))
+    texts = (
+        laid.join(known, ["host", "layout"], "left").select("page_id", "url", "html", "wrappers", "constants")
+        .mapInArrow(_texts, f"page_id {kind}, url string, text string")
+    )
     return texts.withColumn("n_chars", F.length("text").cast("long"))
