@@ -42,3 +42,39 @@ def test_overrides_move_up_places(spark):
     assert got == [
         (1, "items", 1, 2), (1, "rib", 1, 0), (1, "vendor_name", 1, 0), (1, "vendor_name", 2, 1), (1, "vendor_name", 3, 2), (2, "items", 1, 0), (2, "vendor_name", 1, 0),
     ]
+
+
+def test_led_patterns_find_the_same(spark):
+    from billquarry.functions import text as X
+    from billquarry.operators import totals
+
+    assert X.led(r"\btotal\b") == r"(?=t)\btotal\b" and X.led("total") == "total"
+    lines = ["TOTAL HT 12,000", "Sous-total ht 5", "Tımbre fiscal 0,600", "ſubtotal 4,000", "net à payer 3", "\ttotal 7,500", "Taxe 1", "x y", "a \tb", " a  b\t"]
+    for pattern, _ in totals.LABELS.values():
+        plain, first = X.IU + "|".join(pattern), X.IU + X.any_of(pattern)
+        rows = spark.createDataFrame([(s,) for s in lines], "s string").select(F.col("s").rlike(plain), F.col("s").rlike(first)).collect()
+        assert all(r[0] == r[1] for r in rows)
+    got = spark.createDataFrame([(s,) for s in lines], "s string").select(X.squeeze(F.col("s")).alias("q"), F.regexp_replace("s", X.U + r"\s+", " ").alias("w"), F.size(X.split_lines(F.col("s"))).alias("n")).collect()
+    assert all(r["q"] == r["w"] for r in got) and [r["n"] for r in got] == [1] * 7 + [2, 1, 1]
+
+
+def test_texts_are_rendered_once_for_the_pack(spark, data):
+    assert plan(entry.queries()["txt_candidate_pack"](spark, data)).count("FACTURE") == 1
+
+
+def test_targeted_fields_do_not_join_texts(spark, data):
+    # chunks of the ranked passages, and the whole texts that fill in
+    assert plan(entry.queries()["txt_fields_targeted"](spark, data)).count("--- Page 1 ---") == 2
+
+
+def test_issues_are_rendered_once(spark, data):
+    for name in ("q_route", "q_recommend"):
+        assert "--- Page 1 ---" not in plan(entry.queries()[name](spark, data)), name
+
+
+def test_lines_of_an_invoice_are_dealt_out_once(spark, data):
+    from billquarry.plans import rendering as R
+
+    executed = R.sheets(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("hashpartitioning(invoice_id#") == 1
+    assert ", page#" not in "".join(line for line in executed.splitlines() if "Exchange" in line)
