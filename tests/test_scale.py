@@ -78,3 +78,35 @@ def test_lines_of_an_invoice_are_dealt_out_once(spark, data):
     executed = R.sheets(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("hashpartitioning(invoice_id#") == 1
     assert ", page#" not in "".join(line for line in executed.splitlines() if "Exchange" in line)
+
+
+def test_contacts_are_found_once(spark, data):
+    # a filter on the contacts found them a second time, and the name's letters were made at every line
+    text = plan(entry.queries()["txt_named_contacts"](spark, data))
+    assert text.count("Generate inline") == 1 and text.count("rue\\b|avenue") == 1
+
+
+def test_contacts_of_odd_names(spark):
+    from billquarry.operators import fields as E
+
+    text = "Ste Été : 12 rue X\nTél : 71 222 333\nste ete: sans adresse\n : 5 rue\n"
+    rows = [("STE ETE", text), ("Ste", text), (None, text), ("STE ETE", None), ("STE ETE", text + "STE-ETE:avenue Y")]
+    got = spark.createDataFrame(rows, "name string, text string").select(E.named_contacts(F.col("name"), F.col("text")).alias("c")).collect()
+    assert [r["c"] and tuple(r["c"]) for r in got] == [("12 rue X", "71 222 333", None), None, None, None, None]
+
+
+def test_distinct_identifiers_are_not_scored(spark, data):
+    from billquarry.operators import fields as E
+
+    assert " AS lead" not in plan(entry.queries()["distinct_tax_ids"](spark, data))
+    texts = ["MF : 1234567 puis 1234567A/M/000", "code 12345678ABC123 x", "matricule fiscal 12345678ABC123 x", "sans", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(E.distinct_tax_ids(F.col("t")).alias("a"), F.array_distinct(F.transform(E.tax_id_candidates(F.col("t")), lambda c: c["value"])).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and got[2]["a"] == ["12345678ABC123"]
+
+
+def test_amounts_are_looked_for_once_an_invoice(spark, data):
+    # five questions about an invoice searched its text five times, and took each find apart twice
+    text = plan(entry.queries()["ret_labelled_answer"](spark, data))
+    assert text.count("montant\\s+(?:total\\s+)?ttc") == 1
+    assert text.index("CROSS" if "CROSS" in text else "Join") < text.index("montant\\s+(?:total\\s+)?ttc")
