@@ -110,3 +110,13 @@ def test_amounts_are_looked_for_once_an_invoice(spark, data):
     text = plan(entry.queries()["ret_labelled_answer"](spark, data))
     assert text.count("montant\\s+(?:total\\s+)?ttc") == 1
     assert text.index("CROSS" if "CROSS" in text else "Join") < text.index("montant\\s+(?:total\\s+)?ttc")
+
+
+def test_lines_are_judged_once(spark, data):
+    # filters for empty arrays, pushed down, judged all lines and made all items a second time
+    text = plan(entry.queries()["q_line_filter"](spark, data))
+    assert text.count("not_proven_inside_article_table") == 1 and text.count("cachet\\s+et\\s+signature") == 1
+    assert plan(entry.queries()["q_item_grounding"](spark, data)).count(" neuf") == 1
+    for name in ("q_item_grounding", "q_visual_grounding"):  # texts are prepared below the rows of their items
+        rows, below = plan(entry.queries()[name](spark, data)).split("Generate ", 1)
+        assert "text#" not in rows, name
