@@ -120,3 +120,32 @@ def test_lines_are_judged_once(spark, data):
     for name in ("q_item_grounding", "q_visual_grounding"):  # texts are prepared below the rows of their items
         rows, below = plan(entry.queries()[name](spark, data)).split("Generate ", 1)
         assert "text#" not in rows, name
+
+
+def test_cells_are_told_apart_before_the_join(spark, data):
+    # what is shuffled is the key of a cell, not its text beside it
+    text = entry.queries()["join_unique_location"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert " AS raw" not in text and " AS exact" in text
+
+
+def test_discount_lines_are_read_once(spark):
+    from billquarry.operators import totals
+
+    texts = [
+        "Désignation | Qte | Remise 5% | Total\na | 1 | 2,500 | 9\nb\nc | 1 | x | 9\nd | 1 | 3,000 | 9",
+        "Remise\nDesignation | Remise | Rabais | Prix\na | 1 | 2 | 3\nRemise (10%) : 12,500", "Prix | Remise : 4,000 | x", "rabais 3 000,500\nDISCOUNT (-) 7\nprix unitaire remise 8",
+        "Article | Remise | Total\na | 1,5 | 2\nTotal\nb | 2,5 | 2", "Article | Remise | Total\nRemise 10 %\nb | 2,5 | 2\n\nc | 3 | 2", "sans", None, "",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(totals.discounts(F.col("t")).alias("d"))
+    got = [r["d"] and [(e["scope"], float(e["amount"]), e["rate"] and float(e["rate"]), e["line_id"]) for e in r["d"]] for r in rows.collect()]
+    assert got == [
+        [("item", 2.5, 5.0, 2)], [("invoice", 12.5, 10.0, 4)], [("invoice", 4.0, None, 1)], [("invoice", 3000.5, None, 1), ("invoice", 7.0, None, 2)],
+        [("item", 1.5, None, 2)], [("item", 2.5, None, 3), ("item", 3.0, None, 5)], [], [], [],
+    ]
+    assert plan(rows).count("^(?:remise|discount|rabais)") == 1
+
+
+def test_table_borders_of_lines_without_words(spark, data):
+    lines = ["Désignation | Qté", "small ring | U | 2", "Total HT 5", "unit price", "prix reference", "Adresse : x", "--- Page 2 ---", "montant ttc", "", None, "TÉLÉPHONE 1", "mon total"]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in lines], "s string").select(L.table_border(F.col("s"))).collect()]
+    assert got == [True, None, False, True, True, False, False, False, None, None, False, None]
