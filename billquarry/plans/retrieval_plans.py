@@ -168,7 +168,7 @@ def fused_scores(spark, d):
     asked = questions(spark, d)
     keys = ["doc_id", "chunk_index"]
     weights = asked_of(spark, d).join(T.hash_weights(asked, ["qid"], "question"), "qid")
-    semantic = T.sparse_cosine(weights, T.hash_weights(chunks, keys), ["doc_id", "qid"], keys, ["doc_id"])
+    semantic = T.sparse_cosine(weights, T.hash_weights(chunks, keys, deal=["doc_id"]), ["doc_id", "qid"], keys, ["doc_id"])
     return T.fused(document_scores(spark, d), semantic, keys, ["doc_id", "qid"])
 
 

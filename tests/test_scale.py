@@ -149,3 +149,25 @@ def test_table_borders_of_lines_without_words(spark, data):
     lines = ["Désignation | Qté", "small ring | U | 2", "Total HT 5", "unit price", "prix reference", "Adresse : x", "--- Page 2 ---", "montant ttc", "", None, "TÉLÉPHONE 1", "mon total"]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in lines], "s string").select(L.table_border(F.col("s"))).collect()]
     assert got == [True, None, False, True, True, False, False, False, None, None, False, None]
+
+
+def test_scoped_scores_shuffle_texts_once(spark, data):
+    # passages of a document meet its own question where they were dealt to; they were shuffled for every join and sum
+    words = ["total", "ht", "tva", "a b", "net net", "", "z"]
+    passages = spark.createDataFrame([(d, c, " ".join(words[(d + c * k) % 7] for k in range(5))) for d in range(6) for c in range(4)], "doc_id int, chunk_index int, text string")
+    asked = spark.createDataFrame([(0, "total ht"), (1, "tva tva b"), (2, "nothing")], "qid int, query string")
+    pairs = spark.createDataFrame([(d, q) for d in range(5) for q in (d % 3, (d + 1) % 3)], "doc_id int, qid int")
+    keys = ["doc_id", "chunk_index"]
+    weights = T.hash_weights(asked, ["qid"], "query")
+    got = T.sparse_cosine(pairs.join(weights, "qid"), T.hash_weights(passages, keys, deal=["doc_id"]), ["doc_id", "qid"], keys, ["doc_id"])
+    every = T.sparse_cosine(weights, T.hash_weights(passages, keys), ["qid"], keys).join(pairs, ["doc_id", "qid"])
+    told = lambda df: {(r["doc_id"], r["qid"], r["chunk_index"]): round(r["semantic"], 9) for r in df.collect()}
+    assert told(got) == told(every) and told(got)
+    scores = {(r["doc_id"], r["qid"], r["chunk_index"]): r["bm25"] for r in T.bm25(asked, passages, keys, ["doc_id"], pairs).collect()}
+    for d in range(5):
+        one = passages.where(F.col("doc_id") == d)
+        plain = {(r["doc_id"], r["qid"], r["chunk_index"]): r["bm25"] for r in T.bm25(asked, one, keys).collect() if r["qid"] in (d % 3, (d + 1) % 3)}
+        mine = {k: v for k, v in scores.items() if k[0] == d}
+        assert plain.keys() == mine.keys() and all(abs(plain[k] - mine[k]) < 1e-9 for k in plain)
+    whole = plan(entry.queries()["ret_rrf"](spark, data))
+    assert whole.count("md5(") <= 4  # of questions and passages, each once: digests were made again for the lengths
