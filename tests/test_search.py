@@ -112,3 +112,30 @@ def test_hybrid_has_the_rows_of_the_plain_one(spark, monkeypatch):
     assert V.HASH_DIMENSIONS == 384 and hybrid.search(questions.where("false"), passages, ["doc", "part"]).collect() == []
     plain = retrieval.top_k(retrieval.lexical_overlap(questions, passages, ["doc", "part"]), ["qid"], [F.desc("lexical"), F.col("doc"), F.col("part")], 7)
     assert told(hybrid.lexical(questions, passages, ["doc", "part"], 7)) == told(plain)
+
+
+def test_trigrams_of_all_texts(spark):
+    """Pieces of plain and of other texts, with characters beyond two bytes, are those of a walk over the characters."""
+    from billquarry.operators import search
+
+    texts = ["ABCabc", "ab", "", None, "aaaa", "été\n12", "x\U0001f600y\U0001f600z", "a\nb\r\nc", "___%"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(search.trigrams(F.col("t")).alias("p")).collect()
+    for text, row in zip(texts, got):
+        low = (text or "").lower()
+        assert sorted(row["p"] or []) == sorted({low[i : i + 3] for i in range(len(low) - 2)})
+
+
+def test_postings_are_not_shuffled(spark):
+    """Postings are written where their rows are; the files of a range of ids are in the order of trigrams."""
+    from billquarry.operators import search
+
+    table = spark.range(300).selectExpr("id", "concat('name ', id) AS name")
+    index = search.text_index(table, "id", ["name"])
+    files = index.postings.select("id", "trigram", F.input_file_name().alias("f")).collect()
+    spans = {}
+    for r in files:
+        spans.setdefault(r["f"], []).append(r)
+    assert len(files) == sum(len(set(f"name {i}"[j : j + 3] for j in range(len(f"name {i}") - 2))) for i in range(300))
+    ranges = sorted((min(r["id"] for r in v), max(r["id"] for r in v)) for v in spans.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # before, a file held a range of trigrams of all ids
+    assert all([r["trigram"] for r in v] == sorted(r["trigram"] for r in v) for v in spans.values())
