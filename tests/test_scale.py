@@ -171,3 +171,17 @@ def test_scoped_scores_shuffle_texts_once(spark, data):
         assert plain.keys() == mine.keys() and all(abs(plain[k] - mine[k]) < 1e-9 for k in plain)
     whole = plan(entry.queries()["ret_rrf"](spark, data))
     assert whole.count("md5(") <= 4  # of questions and passages, each once: digests were made again for the lengths
+
+
+def test_tax_rows_look_at_a_line_once(spark):
+    from billquarry.operators import fields as E
+    from billquarry.operators import totals
+
+    texts = ["TVA (19%) 5,000 | fodec 1 % 2,000\nx | 19 | 3\nvat: 7% : 1 000,5", "TVA 19", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(totals.tax_rows(F.col("t")).alias("r"), E.vendor_name(F.col("t")).alias("v"))
+    got = [r["r"] and [(e["label"], float(e["rate"]), float(e["amount"]), e["line_id"]) for e in r["r"]] for r in rows.collect()]
+    assert got == [[("TVA", 19.0, 5.0, 1), ("FODEC", 1.0, 2.0, 1), ("VAT", 7.0, 1000.5, 3)], [], [], None]
+    assert "RLIKE" in plan(rows).split("(FODEC")[0]  # one look before three
+    heads = ["Facture N° 12-3", "INVOICE #A7", "BL", "B.L. - Facture N°77", "N° de facture : 00456", "FOURNISSEUR : X\nSupplier - Y", "ſupplier : Z"]
+    plain = spark.createDataFrame([(t,) for t in heads], "t string").select(E.invoice_number(F.col("t")), E.vendor_name(F.col("t"))).collect()
+    assert [tuple(r) for r in plain] == [("12-3", None), ("A7", "INVOICE #A7"), (None, None), ("77", None), ("00456", None), (None, "X"), (None, "Z")]
