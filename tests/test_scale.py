@@ -185,3 +185,49 @@ def test_tax_rows_look_at_a_line_once(spark):
     heads = ["Facture N° 12-3", "INVOICE #A7", "BL", "B.L. - Facture N°77", "N° de facture : 00456", "FOURNISSEUR : X\nSupplier - Y", "ſupplier : Z"]
     plain = spark.createDataFrame([(t,) for t in heads], "t string").select(E.invoice_number(F.col("t")), E.vendor_name(F.col("t"))).collect()
     assert [tuple(r) for r in plain] == [("12-3", None), ("A7", "INVOICE #A7"), (None, None), ("77", None), ("00456", None), (None, "X"), (None, "Z")]
+
+
+ODD = [
+    "Facture N° 12-3\nTOTAL HT 12,000\nTımbre fıscal 0,600\nTotal TTC\n15,600 TND\n\nPayée en espèces", "ſous-total : 5,000\tKg\nCLİENT : İzmir\r\nclient tel: 71 222 333\nRemiſe 4,000",
+    "net  à payer\x0b7,000\x1cMONTANT TTC 9,000 DT TVA : 19%", "code TVA : 7\nT.V.A. 19% 3,000\nPrix total ht 8,000", "Date : 31/02/2020 et 01/02/2020 date 03/04/2021",
+    "Total T T C\n--- Page 2 ---\nraiſon sociale: A&B\nnom du client ; X\nRIB: TN59\nMode paiement : chèque\nUSD 4 EUR", "1234567 A / M / 000 fournisseur client société 1234568/B/P\nMF : 1234567AM000",
+    "non " + " " * 27 + "payé en espèces", "non" + " " * 28 + "payé en espèces", "pas encore réglement en espèces", "Somme de : Cent Dinars\nDinar", "€", "", None,
+]
+
+
+def test_cheap_looks_find_the_same(spark):
+    # texts were searched by a pattern for every field, whether or not they hold a word of it
+    from billquarry.functions import text as X
+    from billquarry.operators import fields as E
+    from billquarry.operators import totals
+
+    t = F.col("t")
+    rows = spark.createDataFrame([(s,) for s in ODD], "t string")
+    low, lines = X.sought(t), totals.tidy_lines(t)
+    pairs = {
+        "lines": (F.concat_ws("/", lines), F.concat_ws("/", F.transform(F.filter(X.split_lines(t), lambda s: F.trim(s) != ""), lambda s: F.btrim(F.regexp_replace(s, X.U + r"\s+", " "), F.lit(" |:;"))))),
+        "split": (F.size(X.split_lines(t)), F.size(F.split(F.regexp_replace(t, "(?:" + X.LINE_BREAK + ")$", ""), X.LINE_BREAK)) - (t == "").cast("int")),
+        "currency": (E.currency(t), F.when(X.match(t, r"\beur\b|€"), "EUR").when(X.match(t, r"\busd\b|\$"), "USD").otherwise("TND")),
+        "cash": (E.cash_payment(t), F.when(X.match(t, E.CASH) & ~X.tail(F.regexp_extract(t, "(?siU)^(.*?)" + E.CASH, 1), 30).rlike(X.IU + r"(?:non|pas(?:\s+encore)?)\s*$"), X.grab(t, E.CASH, 0))),
+        "customer": (E.customer_name(t), E.customer_name(t, F.lit("raison nom client"))), "words": (E.amount_in_words(t), E.amount_in_words(t, F.lit("dinar"))),
+        "phone": (E.phone(t, ["client", "buyer"], 0), E.phone(t, ["client", "buyer"], 0, None, F.lit("client"))),
+        "discounts": (totals.discounts(t).cast("string"), F.when(t.isNull(), "[]").otherwise(totals.discounts(t, F.lit("remise")).cast("string"))),
+    }
+    for word in ("total", "timbre", "sous", "client", "izmir", "raison", "remise", "kg"):
+        pairs["word " + word] = (low.contains(word), t.rlike(X.IU + word))
+    for name, (patterns, _) in totals.LABELS.items():
+        pairs["mark " + name] = (totals.labelled_among(totals.label_lines(low), name), totals.labelled_money(lines, name))
+    got = rows.select("t", *[F.struct(a.alias("a"), b.alias("b")).alias(n) for n, (a, b) in pairs.items()]).collect()
+    for r in got:
+        for n in pairs:
+            assert r[n]["a"] == r[n]["b"], (n, r["t"])
+    told = {n: [r["mark " + n]["a"] and float(r["mark " + n]["a"]) for r in got[:4]] for n in ("subtotal", "stamp_duty", "total_amount", "net_payable")}
+    assert told == {"subtotal": [12.0, None, None, None], "stamp_duty": [0.6, None, None, None], "total_amount": [15.6, None, 9.0, None], "net_payable": [None, None, 7.0, None]}
+
+
+def test_wide_fields_look_once(spark):
+    from billquarry.operators import fields as E
+
+    wide = plan(E.wide_fields(spark.createDataFrame([(1, "x")], "doc_id int, text string")))
+    assert wide.count("[tmns]") == 1  # lines with a label were looked for in all lines for every amount
+    assert wide.count("_common_expr") == 0  # a group that a pattern found was looked for twice under a condition
