@@ -231,3 +231,27 @@ def test_wide_fields_look_once(spark):
     wide = plan(E.wide_fields(spark.createDataFrame([(1, "x")], "doc_id int, text string")))
     assert wide.count("[tmns]") == 1  # lines with a label were looked for in all lines for every amount
     assert wide.count("_common_expr") == 0  # a group that a pattern found was looked for twice under a condition
+
+
+def test_line_passages_carry_numbers(spark):
+    # every pending line was copied at every line; a fold over numbers cuts the same passages
+    from billquarry.operators import passages as P
+
+    text = "A\n\n --- Page 2 ---\n\xa0b \n" + "\n".join(f"ligne {i}" for i in range(9)) + "\nDésignation | Prix\nx | 1\n\t\ny | 2\nTotal TTC 3\n--- Page 99999999999 ---\nfin\n---page 7---\n\n" + "z" * 460 + "\n" + "w" * 300 + "\nTotal HT 1\n--- Page 8 ---"
+    rows = P.line_passages(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "--- Page 3 ---"), (5, "\n \nseul")], "doc_id int, text string")).collect()
+    got = [(r["doc_id"], r["chunk_index"], r["source_id"], r["kind"], r["line_start"], r["line_end"], r["text"][:7]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["chunk_index"]))]
+    assert got == PASSAGES
+    assert "ends" not in plan(P.line_passages(spark.createDataFrame([(1, text)], "doc_id int, text string")))
+
+
+PASSAGES = [
+    (1, 0, "P1:L1-1", "text", 1, 1, "A"),
+    (1, 1, "P2:L1-6", "text", 4, 9, "b\nligne"),
+    (1, 2, "P2:L6-10", "text", 9, 13, "ligne 4"),
+    (1, 3, "P2:L11-14", "table", 14, 17, "Désigna"),
+    (1, 4, "P2:L15-17", "text", 18, 20, "Total T"),
+    (1, 5, "P7:L2-2", "text", 23, 23, "zzzzzzz"),
+    (1, 6, "P7:L2-3", "text", 23, 24, "zzzzzzz"),
+    (1, 7, "P7:L3-4", "text", 24, 25, "wwwwwww"),
+    (5, 0, "P1:L3-3", "text", 3, 3, "seul"),
+]
