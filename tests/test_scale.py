@@ -255,3 +255,49 @@ PASSAGES = [
     (1, 7, "P7:L3-4", "text", 24, 25, "wwwwwww"),
     (5, 0, "P1:L3-3", "text", 3, 3, "seul"),
 ]
+
+
+def test_words_are_looked_for_before_patterns(spark, data):
+    from billquarry import vocabulary as V
+    from billquarry.functions import text as X
+    from billquarry.operators import grounding as G
+
+    assert X.needed(r"\bnet\s+[aà]\s+payer\b") == ["payer"] and X.needed(r"t\.?v") is None and X.needed(r"\btotal?") is None
+    assert X.word_first(r"\btotal\s+ht\b") == r"total(?<=\btotal)\s+ht\b" and X.word_first(r"\btotals?\b") == r"total(?<=\btotal)s?\b"
+    texts = [
+        "facture n 123 total ht 5", "subtotal", "xtotal total_ totalé", "net\tà\npayer", "net a  payer tva", "المبلغ  الجملي", "المبلغ", "مجموع", "taxes", "tax", "le montant\x85ttc", "price.", "", None,
+        "totaĺ x́total", "FACTU RE N° A12", "İNVOICE", "ınvoice ſ", "bon de livraison 12/01/2020", "Bon de  livraison facture", "عرض سعر", "DEVIS", "proforma",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    low = F.lower("text")
+    found = rows.select("text", *[X.has_pattern(low, p).alias(f"a{i}") for i, p in enumerate(V.AMOUNT_LABEL_PATTERNS)], *[low.rlike(X.U + p).alias(f"b{i}") for i, p in enumerate(V.AMOUNT_LABEL_PATTERNS)])
+    for r in found.collect():
+        assert [r[f"a{i}"] for i in range(16)] == [r[f"b{i}"] for i in range(16)], r["text"]
+    blocks = F.array(F.struct(F.lit("table").alias("label"), F.lit(0.8).alias("score")))
+    out = G.classify_with_layout(G.classify(rows, keep=["text"]), F.col("text"), blocks)
+    plain = X.match(F.col("text"), V.INVOICE_WORD), low.rlike(X.U + V.INVOICE_WORD), low.rlike(X.U + V.INVOICE_NUMBER_HINT), low.rlike(X.U + V.OTHER_TITLE) | (low.rlike(X.U + V.DELIVERY_TITLE) & ~low.rlike(X.U + V.INVOICE_WORD))
+    for r in out.select("*", *[p.alias(f"p{i}") for i, p in enumerate(plain)]).collect():
+        assert (r["labelled"], r["numbered"], r["other_title"]) == (r["p1"], r["p2"], r["p3"]), r["text"]
+        assert "_sought" not in r and (r["layout_score"] == 15 or r["layout_score"] >= 0 or r["text"] is None)
+    text = plan(entry.queries()["q_classify_layout"](spark, data))
+    assert text.count("subtotal(?<=") == 1 and "Contains(_low" in text
+
+
+def test_section_hints_try_few_patterns(spark):
+    # every line was tried by up to ten patterns
+    from billquarry.functions import text as X
+
+    lines = {
+        "Désignation | Qté | Prix": "line_items", "DESCRIPTION": None, "Total HT 5": "totals", "code T.V.A : total": None, "Identifiant fiscal": None, "t.va 19%": "totals", "TVA": "totals", "Montant H.T": "totals",
+        "Payée en espèces": None, "paye en especes": "payment_information", "RIB : 1": "payment_information", "Client : A date : B": "other", "Cachet client": None, "Bill To x": "customer",
+        "Émetteur X": "supplier", "FACTURE 1": "invoice_info", "المورد : س": "supplier", "تاريخ": "invoice_info", "البيان كمية": "line_items", "subtotals": None, "attractive": None, "": None,
+    }
+    got = spark.createDataFrame([(s,) for s in lines], "s string").select("s", X.section_hint(F.col("s")).alias("h"))
+    assert {r["s"]: r["h"] for r in got.collect()} == {**lines, "Payée en espèces": "payment_information", "Total HT 5": "totals"}
+    text = plan(got)
+    assert text.count("Contains(") > 20
+
+
+def test_pages_of_sections_are_found_once(spark, data):
+    # lines were cut from the texts for the blocks' pages twice
+    assert plan(entry.queries()["txt_passages_sections"](spark, data)).count("--- Page 1 ---") == 1
