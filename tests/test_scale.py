@@ -301,3 +301,24 @@ def test_section_hints_try_few_patterns(spark):
 def test_pages_of_sections_are_found_once(spark, data):
     # lines were cut from the texts for the blocks' pages twice
     assert plan(entry.queries()["txt_passages_sections"](spark, data)).count("--- Page 1 ---") == 1
+
+
+def test_party_zones_and_roles_try_few_patterns(spark, data):
+    # every line and cell was tried by up to five patterns, the identifier's letters were made at every line
+    from billquarry import vocabulary as V
+    from billquarry.functions import text as X
+    from billquarry.operators import fields as E
+    from billquarry.operators import grounding as G
+
+    texts = [
+        "NOM DU CLIENT : A\nMF : 1\nDéSIGNATION\nx", "sold\tto | B\nprix unitaire", "Raison Sociale X\nCode  client 7\nfin", "raiſon sociale Y\nx\ncode client", "raison sociale Z", "Client : C", "CUſTOMER: ſ\nQuantity", "", None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    zones = [r[0] for r in rows.select(G.customer_zone(F.col("text"))).collect()]
+    assert zones == ["NOM DU CLIENT : A\nMF : 1", "sold\tto | B", "Raison Sociale X\nCode  client 7\nfin", "raiſon sociale Y\nx\ncode client", "", "", "CUſTOMER: ſ", "", ""]
+    cells = ["Fournisseur : A", "ÉMETTEUR", "Client", "clients", "ſeller", "Livré à", "Ship  to", "RAISON SOCIALE", "raiſonsocial", "Bill to x", "Items", "quantité", "--- Page 2", "unsold to", ""]
+    docs = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "doc_id int, text string")
+    plain = F.coalesce(*[F.when(F.col("cell").rlike(X.IU + p), F.lit(n)) for n, p in V.ROLE_WORDS.items()], F.when(F.col("cell").rlike(X.IU + r"raison\s*sociale?"), F.lit("customer")))
+    told = E.cell_roles(docs).select("cell", "role", plain.alias("p"), F.col("cell").rlike(X.IU + V.ROLE_ZONE_END).alias("end")).collect()
+    assert len(told) == len(cells) - 1 and all(r["role"] == (None if r["end"] else r["p"]) for r in told)
+    assert plan(entry.queries()["q_party_conflicts"](spark, data)).count("--- Page 1 ---") == 0  # written once, read twice
