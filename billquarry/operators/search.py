@@ -94,8 +94,9 @@ def text_index(df: DataFrame, id_: str, columns: list[str], path: str | None = N
     rows = written(df.repartitionByRange(int(parts), id_).sortWithinPartitions(id_), "indexed-rows", path and f"{path}/rows")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), trigrams(F.col(c)).alias("found")) for c in columns])
     pieces = rows.select(id_, F.inline(pairs)).select(id_, "column", F.explode("found").alias("trigram"))
-    # each file holds the postings of a range of ids, in the order of trigrams: they are neither shuffled nor made twice to find ranges
-    postings = written(pieces.sortWithinPartitions("trigram", id_), "trigrams", path and f"{path}/trigrams")
+    # each file holds the postings of a range of ids, in the order of trigrams: they are neither shuffled nor made twice to find ranges;
+    # ids of a trigram need no order, without which rows are compared by a prefix alone
+    postings = written(pieces.sortWithinPartitions("trigram"), "trigrams", path and f"{path}/trigrams")
     held = written(postings.groupBy("trigram").agg(F.count(F.lit(1)).alias("rows")), "trigram-rows", path and f"{path}/held")
     return TextIndex(rows, postings, held, id_)
 

@@ -322,3 +322,17 @@ def test_party_zones_and_roles_try_few_patterns(spark, data):
     told = E.cell_roles(docs).select("cell", "role", plain.alias("p"), F.col("cell").rlike(X.IU + V.ROLE_ZONE_END).alias("end")).collect()
     assert len(told) == len(cells) - 1 and all(r["role"] == (None if r["end"] else r["p"]) for r in told)
     assert plan(entry.queries()["q_party_conflicts"](spark, data)).count("--- Page 1 ---") == 0  # written once, read twice
+
+
+def test_postings_are_sorted_by_trigram_alone(spark, data, monkeypatch):
+    # rows of equal trigrams were compared by their ids as well, most of what sorting costs
+    from billquarry.operators import search
+    from billquarry.storage import written
+
+    plans = []
+    monkeypatch.setattr(search, "written", lambda df, *args: plans.append(plan(df)) or written(df, *args))
+    rows = spark.createDataFrame([(i, f"abc{i}", "xabcx") for i in range(50)], "id long, a string, b string")
+    index = search.text_index(rows, "id", ["a", "b"])
+    assert "Sort [trigram#" in plans[1] and "ASC NULLS FIRST], false" in plans[1].split("Sort [trigram#")[1].split("\n")[0] and ", id#" not in plans[1].split("Sort [")[1].split("]")[0]
+    assert sorted(r["id"] for r in index.candidates(["a"], "ABC4").collect()) == [4, *range(40, 50)]
+    assert index.postings.count() == sum(len({f"abc{i}"[k : k + 3] for k in range(len(f"abc{i}") - 2)}) for i in range(50)) + 50 * 3
