@@ -336,3 +336,16 @@ def test_postings_are_sorted_by_trigram_alone(spark, data, monkeypatch):
     assert "Sort [trigram#" in plans[1] and "ASC NULLS FIRST], false" in plans[1].split("Sort [trigram#")[1].split("\n")[0] and ", id#" not in plans[1].split("Sort [")[1].split("]")[0]
     assert sorted(r["id"] for r in index.candidates(["a"], "ABC4").collect()) == [4, *range(40, 50)]
     assert index.postings.count() == sum(len({f"abc{i}"[k : k + 3] for k in range(len(f"abc{i}") - 2)}) for i in range(50)) + 50 * 3
+
+
+def test_amounts_are_found_in_lowered_texts(spark, data):
+    # amounts were looked for without regard to case in every proposal's copy of the text
+    from billquarry.functions import text as X
+    from billquarry.operators import totals
+
+    texts = [*ODD, "TOTAL HT TND 1 234,500", "Tımbre Fıscal : 0,600\ntotal 7,000\nTotal HT 8", "T.V.A (19%) 3,000 €\nmontant TTC 5,000USD", "المبلغ دون احتساب الأداء 12", "Timbre fiscal\n0,600"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = [F.struct(totals.source_amounts(F.col("t"), n).alias("a"), totals.source_amounts(X.sought(F.col("t")), n, True).alias("b")).alias(n) for n in totals.SOURCE_LABELS]
+    got = rows.select("t", *both).collect()
+    assert all(r[n]["a"] == r[n]["b"] for r in got for n in totals.SOURCE_LABELS) and any(r["subtotal"]["a"] for r in got)
+    assert "low#" in plan(entry.queries()["q_evidence_guard"](spark, data))
